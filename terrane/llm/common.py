@@ -65,28 +65,52 @@ def crc_fold(doc_id: Column | str, parts: int) -> Column:
 BITMAP_BUCKET = 32768  # bits in one row of bitmap_construct_agg
 
 
+def _slot(col: str, bits: int) -> Column:
+    """From 1, as the bitmap functions count."""
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(bits)) + 1
+
+
 def bitmap_table(hashes: DataFrame, col: str, bits: int) -> DataFrame:
-    """Rows (bucket, bitmap) marking xxhash64(col) modulo bits; never more than bits/8 bytes in all."""
-    slot = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
-    return hashes.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+    """Rows (__bucket, __bitmap) marking xxhash64(col) modulo bits; never more than bits/8 bytes in all."""
+    slots = hashes.select(_slot(col, bits).alias("__slot"))
+    return slots.groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bitmap"))
+
+
+def _with_bit(df: DataFrame, col: str, bitmap: DataFrame, bits: int) -> DataFrame:
+    keyed = df.withColumn("__slot", _slot(col, bits)).withColumn("__bucket", F.bitmap_bucket_number("__slot"))
+    byte = "cast(conv(hex(substring(__bitmap, int(bitmap_bit_position(__slot) div 8) + 1, 1)), 16, 10) as bigint)"
+    bit = F.expr(f"coalesce(getbit({byte}, int(bitmap_bit_position(__slot) % 8)), 0)")
+    return keyed.join(F.broadcast(bitmap), "__bucket", "left").withColumn("__bit", bit).drop("__slot", "__bucket", "__bitmap")
 
 
 def maybe_in(df: DataFrame, col: str, bitmap: DataFrame, bits: int) -> DataFrame:
-    """Rows whose key may be in the bitmap's set: false positives pass, no member is lost. The bitmap is
-    broadcast: its size is bounded by `bits`."""
-    slot = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
-    keyed = df.withColumn("__slot", slot)
-    hit = keyed.join(F.broadcast(bitmap), F.bitmap_bucket_number("__slot") == F.col("bucket"))
-    bit = "getbit(cast(conv(hex(substring(bitmap, int(bitmap_bit_position(__slot) div 8) + 1, 1)), 16, 10) as bigint), int(bitmap_bit_position(__slot) % 8))"
-    return hit.where(F.expr(f"{bit} = 1")).drop("__slot", "bucket", "bitmap")
+    """Rows whose key may be in the bitmap's set: false positives pass, no member is lost. The bitmap is broadcast;
+    its size is bounded by `bits`, whatever the number of rows."""
+    return _with_bit(df, col, bitmap, bits).where("__bit = 1").drop("__bit")
+
+
+def surely_not_in(df: DataFrame, col: str, bitmap: DataFrame, bits: int) -> DataFrame:
+    """The other rows."""
+    return _with_bit(df, col, bitmap, bits).where("__bit = 0").drop("__bit")
+
+
+def without_ids(docs: DataFrame, id_col: str, dropped: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """docs without the rows whose id is in the one column of `dropped`. Only rows that the bitmap can't rule out are
+    shuffled. Rows with null id stay."""
+    name = dropped.columns[0]
+    dropped = dropped.select(F.col(name).alias("__gone")).where("__gone is not null").distinct()
+    marks = bitmap_table(dropped, "__gone", bits)
+    keyed = docs.withColumn("__id", F.col(id_col).cast("long"))
+    doubtful = maybe_in(keyed, "__id", marks, bits).join(dropped, F.col("__id") == F.col("__gone"), "left_anti")
+    return surely_not_in(keyed, "__id", marks, bits).unionByName(doubtful).drop("__id")
 
 
 def collect_bitmap(hashes: DataFrame, col: str, bits: int) -> np.ndarray:
     """The bitmap as bits/8 bytes on the driver, indexed by xxhash64(col) modulo bits."""
     out = np.zeros(bits // 8, np.uint8)
     for r in bitmap_table(hashes, col, bits).collect():  # at most bits / 32768 rows of 4 KB
-        part = np.frombuffer(bytes(r["bitmap"]), np.uint8)
-        at = (r["bucket"] - 1) * BITMAP_BUCKET // 8
+        part = np.frombuffer(bytes(r["__bitmap"]), np.uint8)
+        at = (r["__bucket"] - 1) * BITMAP_BUCKET // 8
         out[at : at + len(part)] |= part[: len(out) - at]
     return out
 

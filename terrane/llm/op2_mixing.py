@@ -62,14 +62,39 @@ def mix(
     tolerance: float = 1e-4, most_sweeps: int = 40, id_col: str = "doc_id", text_col: str = "text", topics=TOPICS,
 ) -> DataFrame:
     """One row per document: id, source, lang, topic, n_tokens, weight (mass per token), probability, sampled."""
+    marked, rates = _rates(docs, stash, targets, budget, tolerance, most_sweeps, text_col, topics, id_col)
+    return marked.join(rates, list(MARGINS)).select(
+        F.col("id").alias(id_col), *MARGINS, "n_tokens", "weight", "probability", (_draw(F.col("id"), seed) < F.col("probability")).alias("sampled")
+    )
+
+
+def sampled(
+    docs: DataFrame, stash: Stash, targets=None, budget: float = 0.5, seed: int = 17, tolerance: float = 1e-4, most_sweeps: int = 40,
+    id_col: str = "doc_id", text_col: str = "text", topics=TOPICS,
+) -> DataFrame:
+    """The sampled rows of docs, all columns. Cells are joined to the rows themselves, so texts are not shuffled as
+    long as Spark finds the table of cells small enough to broadcast."""
+    _, rates = _rates(docs, stash, targets, budget, tolerance, most_sweeps, text_col, topics, id_col)
+    rates = rates.select(*[F.col(c).alias(f"__{c}") for c in MARGINS], F.col("probability").alias("__p"))
+    keyed = docs.withColumns({f"__k_{c}": v for c, v in _cell(F.coalesce(F.col(text_col), F.lit("")), topics).items()})
+    chosen = keyed.join(rates, [F.col(f"__k_{c}") == F.col(f"__{c}") for c in MARGINS]).where(_draw(F.col(id_col), seed) < F.col("__p"))
+    return chosen.select(*[F.col(c) for c in docs.columns])
+
+
+def _draw(id_: Column, seed: int) -> Column:
+    """Uniform in [0, 1)."""
+    return F.pmod(F.xxhash64(id_.cast("string"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def _cell(text: Column, topics) -> dict[str, Column]:
+    return {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "lang")} | {"topic": topic(text, topics)}
+
+
+def _rates(docs, stash, targets, budget, tolerance, most_sweeps, text_col, topics, id_col) -> tuple[DataFrame, DataFrame]:
+    """Documents with their cell and tokens, and cells with weight and probability."""
     targets = {"source": 0.5, "lang": 0.7, "topic": 0.5} | dict(targets or {})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.select(
-        F.col(id_col).alias("id"),
-        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")],
-        topic(text, topics).alias("topic"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"),
-    )
+    marked = docs.select(F.col(id_col).alias("id"), *[v.alias(c) for c, v in _cell(text, topics).items()], F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"))
     marked = stash.put(marked, "marked")  # a few bytes a row; texts are read once
     cells = stash.put(marked.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")), "cells")
     total = float(cells.agg(F.sum("n")).first()[0] or 0)
@@ -79,11 +104,7 @@ def mix(
     else:
         fitted, scale = cells.withColumn("m", F.lit(0.0)), 0.0
     rate = F.when(F.col("n") > 0, F.col("m") / F.col("n")).otherwise(0.0)
-    rates = fitted.select(*MARGINS, rate.alias("weight"), F.least(F.lit(1.0), rate * F.lit(scale)).alias("probability"))
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return marked.join(rates, list(MARGINS)).select(
-        F.col("id").alias(id_col), *MARGINS, "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("sampled")
-    )
+    return marked, stash.put(fitted.select(*MARGINS, rate.alias("weight"), F.least(F.lit(1.0), rate * F.lit(scale)).alias("probability")), "rates")
 
 
 def rake(cells: DataFrame, stash: Stash, targets, total: float, tolerance: float, most_sweeps: int, sweeps_at_once: int = 4) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, bitmap_table, maybe_in
+from .common import Stash, bitmap_table, maybe_in, surely_not_in
 
 #: Bits of the bitmap of repeated hashes: 4 MB at most.
 BITS = 1 << 25
@@ -28,9 +28,35 @@ def _hash(text):
     return half(1), half(17)
 
 
+def first_copies(docs: DataFrame, stash: Stash, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """The rows of docs that stay, one for each distinct text, with all their columns. Of rows that repeat both id and
+    text one stays. Rows whose hash is certainly single pass without a shuffle."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hi, lo = _hash(text)
+    rows = _grouped(docs, stash, id_col, text_col, keep)
+    several = stash.put(rows.where("n > 1").select("id", "hi", "lo", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")), "several")
+    marks = stash.put(bitmap_table(several.select("hi"), "hi", BITS), "marks")
+    body = docs.withColumns({"__hi": hi, "__lo": lo})
+    stay = several.where("kept").select(F.col("id").alias("__id"), F.col("hi").alias("__h"), F.col("lo").alias("__l")).distinct()
+    single = several.select(F.col("hi").alias("__h"), F.col("lo").alias("__l")).distinct()
+    doubtful = maybe_in(body, "__hi", marks, BITS)
+    same = (F.col("__hi") == F.col("__h")) & (F.col("__lo") == F.col("__l"))
+    alone = doubtful.join(single, same, "left_anti")
+    kept = doubtful.join(stay, same & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    kept = kept.groupBy("__hi", "__lo", F.col(id_col).alias("__id")).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return surely_not_in(body, "__hi", marks, BITS).select(*docs.columns).unionByName(alone.select(*docs.columns)).unionByName(kept)
+
+
 def exact_groups(docs: DataFrame, stash: Stash, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, with the id of the row that stays (the
     smallest or largest of its group)."""
+    return _grouped(docs, stash, id_col, text_col, keep).select(
+        F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
+    )
+
+
+def _grouped(docs: DataFrame, stash: Stash, id_col: str, text_col: str, keep: str) -> DataFrame:
+    """Rows (id, keep_id, n, sha, hi, lo)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     hi, lo = _hash(text)
     rows = docs.select(F.col(id_col).alias("id"), hi.alias("hi"), lo.alias("lo"), F.sha2(text.cast("binary"), 256).alias("sha"))
@@ -43,14 +69,12 @@ def exact_groups(docs: DataFrame, stash: Stash, id_col: str = "doc_id", text_col
     again = maybe_in(body, "hi", marks, BITS)
     texts = again.groupBy("hi", "lo", "body").agg(best("id").alias("keep_id"), F.count("*").alias("n"))
     clash = stash.put(texts.groupBy("hi", "lo").agg(F.count("*").alias("texts")).where("texts > 1").select("hi", "lo"), "clash")
-    out = rows.join(groups, ["hi", "lo"]).select("id", "keep_id", "n", "sha")
+    out = rows.join(groups, ["hi", "lo"]).select("id", "keep_id", "n", "sha", "hi", "lo")
     if not clash.isEmpty():  # one hash, several texts: such rows are grouped by the text itself
         sound = groups.join(clash, ["hi", "lo"], "left_anti")
         split = texts.join(clash, ["hi", "lo"], "left_semi")
         apart = maybe_in(body, "hi", bitmap_table(clash, "hi", BITS), BITS).join(split, ["hi", "lo", "body"])
-        out = rows.join(sound, ["hi", "lo"]).select("id", "keep_id", "n", "sha").unionByName(
-            apart.select("id", "keep_id", "n", F.sha2(F.col("body").cast("binary"), 256).alias("sha"))
+        out = rows.join(sound, ["hi", "lo"]).select("id", "keep_id", "n", "sha", "hi", "lo").unionByName(
+            apart.select("id", "keep_id", "n", F.sha2(F.col("body").cast("binary"), 256).alias("sha"), "hi", "lo")
         )
-    return out.select(
-        F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+    return out

@@ -190,14 +190,14 @@ def fit(rows: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     return Model(x[order], [langs[i] for i in order])
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs, then lang_pred and score."""
+def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs, then the predicted language and its score under the given names."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = list(dict.fromkeys([*keep, text_col]))
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches):
         model = shared.value
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
                     ok = model.langs and any(c.isalpha() for c in (text[i + r].as_py() or ""))
                     lang.append(l[r] if ok else "und")
                     score.append(float(s[r]) if ok else 0.0)
-            yield pa.RecordBatch.from_arrays([*[b.column(cols.index(c)) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(cols.index(c)) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
     return docs.select(*cols).mapInArrow(run, schema)
 
@@ -223,3 +223,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     held = crc_fold(id_col, 4) == 2
     model = fit(docs.where(~held), id_col=id_col)
     return predict(docs, model, [id_col]).select(id_col, (crc_fold(id_col, 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", least: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose language is known: neither `und` nor scored below `least`."""
+    model = fit(docs.where(crc_fold(id_col, 4) != 2), id_col=id_col)
+    known = predict(docs, model, docs.columns, names=("__lang", "__score"))
+    return known.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)

@@ -25,6 +25,12 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), Stash(spark), keep="max")
 
 
+def op6_minhash(spark, sf_dir):
+    from .op6_minhash import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"), Stash(spark), words=3, percent=85)
+
+
 def op7_language_id(spark, sf_dir):
     from .op7_langid import identify
 
@@ -38,7 +44,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_mixing, op5_exact_dedup, op7_language_id, op10_packing)}
+    return {f.__name__: f for f in (op2_mixing, op5_exact_dedup, op6_minhash, op7_language_id, op10_packing)}
 
 
 def oracle_sql():
