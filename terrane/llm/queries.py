@@ -56,6 +56,12 @@ def op3_html(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark, sf_dir):
+    from .op4_toxicity import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Stash(spark)).drop("evidence")
+
+
 def op5_exact_dedup(spark, sf_dir):
     from .op5_exact_dedup import exact_groups
 
@@ -81,7 +87,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_html, op5_exact_dedup, op6_minhash, op7_language_id, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_html, op4_toxicity, op5_exact_dedup, op6_minhash, op7_language_id, op10_packing)}
 
 
 def oracle_sql():
