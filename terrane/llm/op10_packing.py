@@ -26,28 +26,90 @@ from .common import Stash
 SIZE, END = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a worker remembers; past it the memory starts anew.
-REMEMBERED = 400_000
-_tokenizers: dict[str, object] = {}
+REMEMBERED = 1_000_000
+_coders: dict[str, "Coder"] = {}
 
 
-def token_bytes(texts, tokenizer_path: str, known: dict):
-    """The ids of each text as little-endian unsigned 32-bit bytes. The tokenizer drops white space and never looks
-    across it, so the ids of a text are those of its words one after another, and each distinct word is encoded once."""
-    tok = _tokenizers.get(tokenizer_path)
-    if tok is None:
+class Coder:
+    """The ids of texts, word by word. The tokenizer drops white space and never looks across it, so the ids of a text
+    are those of its words one after another, and a worker encodes each distinct word once. Where the tokenizer folds
+    case, words are folded first; where it always parts letters from what follows them, a word is its stem and its
+    trailing punctuation."""
+
+    def __init__(self, path: str):
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        tok = _tokenizers[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
-    for text in texts:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        fresh = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(fresh) > REMEMBERED and known:
-            known.clear()
-            fresh = list(dict.fromkeys(words))
-        if fresh:
-            for w, e in zip(fresh, tok.encode_batch([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        yield b"".join(map(known.__getitem__, words))
+        self.tok = Tokenizer.from_file(path)
+        made = json.loads(self.tok.to_str())
+        self.folds = '"Lowercase"' in json.dumps(made["normalizer"])
+        self.parts = "[\\\\p{L}]+|" in json.dumps(made["pre_tokenizer"])
+        special = [x for x in made["added_tokens"] if x["special"] and not (x["lstrip"] or x["rstrip"] or x["single_word"])]
+        self.mark = (special[0]["content"], special[0]["id"]) if special else None
+        self.known: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        if self.mark and not any("<" in t for t in texts):  # one call, words kept apart by a token none of them holds
+            text, number = self.mark
+            ids = np.asarray(self.tok.encode_batch_fast([text.join(texts)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == number)
+            if len(cut) == len(words) - 1:
+                raw, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
+                start = 0
+                for w, end in zip(words, ends):
+                    self.known[w] = raw[start:end]
+                    start = end + 4
+                return
+        for w, e in zip(words, self.tok.encode_batch(texts, add_special_tokens=False)):
+            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        known, split, need = self.known, [], {}
+        for w in fresh:
+            stem = w.rstrip(b".,;:!?") if self.parts else w
+            if stem != w and stem and (stem[-1:].isalpha() or stem[-1] > 127 and stem.decode("utf-8", "replace")[-1].isalpha()):
+                tail = w[len(stem) :]
+                split.append((w, stem, tail))
+                for x in (stem, tail):
+                    if x not in known:
+                        need[x] = None
+            else:
+                need[w] = None
+        words = list(need)
+        for i in range(0, len(words), 5000):
+            self._encode(words[i : i + 5000])
+        for w, stem, tail in split:
+            known[w] = known[stem] + known[tail]
+
+    def __call__(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        words = (raw.lower() if self.folds else raw).split()
+        return b"".join(map(self.known.__getitem__, words))
+
+    def prepare(self, texts: list[str | None]) -> None:
+        """Learns the words of the texts that are not known yet."""
+        words: set[bytes] = set()
+        for t in texts:
+            raw = (t or "").encode("utf-8", "surrogatepass")
+            words.update((raw.lower() if self.folds else raw).split())
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known.clear()
+        self._learn([w for w in words if w not in self.known])
+
+
+def token_bytes(texts: list[str | None], tokenizer_path: str):
+    """The ids of each text as bytes."""
+    coder = _coders.get(tokenizer_path)
+    if coder is None:
+        coder = _coders[tokenizer_path] = Coder(tokenizer_path)
+    for i in range(0, len(texts), 500):
+        coder.prepare(texts[i : i + 500])
+        yield from map(coder, texts[i : i + 500])
 
 
 def pieces_of(ids: bytes, size: int = SIZE, end: int = END):
@@ -63,10 +125,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int = EN
     import pyarrow as pa
 
     def run(batches):
-        known: dict = {}
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
-            for i, x in zip(ids, token_bytes((t.as_py() for t in b.column(1)), tokenizer_path, known)):
+            for i, x in zip(ids, token_bytes(b.column(1).to_pylist(), tokenizer_path)):
                 rows += [(i, *p) for p in pieces_of(x, size, end)]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])

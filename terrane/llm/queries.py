@@ -80,6 +80,12 @@ def op7_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_tree(spark, sf_dir):
+    from .op8_suffix_tree import judge
+
+    return judge(table(spark, sf_dir, "documents"), Stash(spark))
+
+
 def op10_packing(spark, sf_dir):
     from .op10_packing import pack
 
@@ -87,7 +93,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_html, op4_toxicity, op5_exact_dedup, op6_minhash, op7_language_id, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_html, op4_toxicity, op5_exact_dedup, op6_minhash, op7_language_id, op8_suffix_tree, op10_packing)}
 
 
 def oracle_sql():
