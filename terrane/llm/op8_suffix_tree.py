@@ -1,7 +1,7 @@
 """LM scoring by a probabilistic suffix tree over bytes.
 
-A document is its tokens, words with A-Z lower-cased and an end; as symbols it is the words' bytes with one space between
-words and a newline for the end, so the model's probability of the symbols is one of the token sequence. Counts of all
+A document is its tokens, words with A-Z lower-cased and an end; as symbols it is each word's bytes and a space, then a
+newline for the end, so the tree gives each token a probability, given all before it, that is one over tokens. Counts of all
 (DEPTH + 1)-grams of symbols are gathered from every training document, with partial sums in each task. Counts of shorter
 contexts are sums of these. An entry (context, next symbol) is kept if its share of the corpus is at least SHARE, which
 bounds the tree at 1/SHARE entries a depth whatever the input; a context is retained as a state if the likelihood it gains
@@ -9,8 +9,13 @@ over its parent (the divergence of its next-symbol distribution from the parent'
 half the log of its count for each of its entries, and so are its ancestors. Distributions are smoothed with the parent's
 (Witten-Bell). Each symbol is scored by the longest retained suffix of what precedes it.
 
-The base score needs the count of every word: words with at least 1/WORDS of all tokens (at most WORDS of them) are looked
-up where the text is read; the others go through a join, one row per document and word.
+A token's score smooths the words' own frequencies with the tree: (max(c - D, 0) + D V q) / N, with c the token's count, V
+the distinct tokens, N all of them, D the absolute discount n1 / (n1 + 2 n2) and q = (1 - EVEN) p + EVEN / (V + 1), p being
+the tree's probability. Words seen often keep their frequency, new and rare ones live on the tree. Unseen words are one
+symbol more, as in the base; EVEN is what an unseen word gets at least.
+
+Scores need the count of every word: words with at least 1/WORDS of all tokens (at most WORDS of them) are looked
+up where the text is read; the others go through a join, one row per occurrence.
 
 Defined results: null text is empty text, the end alone; rows that repeat are scored one by one and alike; without
 training rows the base is 0 and every symbol is equally likely; an empty table gives an empty result; other columns pass by
@@ -31,6 +36,7 @@ from .common import Stash, crc_fold
 DEPTH = 5
 SHARE = 1e-6
 WORDS = 1 << 20
+EVEN = 0.5
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MASK = [np.uint64((1 << (8 * k)) - 1) for k in range(DEPTH + 2)]
 SLICE = 1_000_000
@@ -42,30 +48,29 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def _slices(texts):
-    """(words of each text, grams, row of each gram) for runs of texts."""
+    """(words of each text, grams) for runs of texts; one gram per symbol, in order."""
     words: list[list[bytes]] = []
     size = 0
     for t in texts:
         words.append(tokens(t))
         size += len(t or "")
         if size > SLICE:
-            yield words, *_grams(words)
+            yield words, _grams(words)
             words, size = [], 0
     if words:
-        yield words, *_grams(words)
+        yield words, _grams(words)
 
 
-def _grams(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def _grams(words: list[list[bytes]]) -> np.ndarray:
     pad = b"\n" * DEPTH
-    parts = [pad + b" ".join(w) + b"\n" for w in words]
+    parts = [pad + b" ".join([*w, b"\n"]) for w in words]
     length = np.array([len(p) for p in parts])
     b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
     key = np.zeros(max(0, len(b) - DEPTH), np.uint64)
     for j in range(DEPTH + 1):
         key = (key << np.uint64(8)) | b[j : j + len(key)]
     row = np.repeat(np.arange(len(parts)), length)
-    inside = row[: len(key)] == row[DEPTH:]
-    return key[inside], row[: len(key)][inside]
+    return key[row[: len(key)] == row[DEPTH:]]
 
 
 def gather(train: DataFrame) -> DataFrame:
@@ -88,7 +93,7 @@ def gather(train: DataFrame) -> DataFrame:
             sums, wait_k, wait_n = np.bincount(at, n, len(keys)).astype(np.int64), [], []
 
         for b in batches:
-            for words, grams, _ in _slices(x.as_py() for x in b.column(0)):
+            for words, grams in _slices(x.as_py() for x in b.column(0)):
                 for w in words:
                     of_word.update(w)
                 of_word[b""] += len(words)
@@ -227,54 +232,57 @@ def score(docs: DataFrame, train_where, stash: Stash, id_col: str = "doc_id", te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = stash.put(gather(docs.where(train_where).select(F.col(text_col).alias("text"))), "counts")
     words = counts.where("word is not null").select("word", "n")
-    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
     n, v = total["n"] or 0, total["v"] or 0
     below = math.log10(n + 0.1 * (v + 1))
+    discount = total["n1"] / (total["n1"] + 2 * total["n2"]) if total["n1"] else 0.5
+    free, all_ = (discount * v, float(n)) if n else (1.0, 1.0)
+    even = EVEN / (v + 1)
     least = max(1, n / WORDS)
     often = words.where(F.col("n") >= least).toArrow()  # at most WORDS rows
-    shared = spark.sparkContext.broadcast((grow(counts), often.column("word").to_pylist(), np.log10(np.asarray(often.column("n")) + 0.1) - below))
+    shared = spark.sparkContext.broadcast((grow(counts), often.column("word").to_pylist(), often.column("n").to_pylist()))
 
     def run(batches):
         from pyspark import TaskContext
 
-        tree, top, logs = shared.value
-        known = dict(zip(top, logs.tolist()))
+        tree, top, counted = shared.value
+        known = dict(zip(top, counted))
         row = TaskContext.get().partitionId() << 40
-        end = known.get(b"")
         for b in batches:
             at = 0
-            for words, grams, of in _slices(x.as_py() for x in b.column(1)):
-                score = np.bincount(of, tree.score(grams), len(words))
-                n_tokens, n_top, base, rare, rare_n = [], [], [], [], []
-                for w in words:
-                    c = Counter(w)
-                    if end is None:
-                        c[b""] += 1
-                    have = [x for x in c if x in known]
-                    base.append(math.fsum(c[x] * known[x] for x in have) + (end or 0.0))
-                    n_top.append(sum(c[x] for x in have) + (end is not None))
-                    n_tokens.append(len(w) + 1)
-                    left = [x for x in c if x not in known]
-                    rare.append(left)
-                    rare_n.append([c[x] for x in left])
+            for words, grams in _slices(x.as_py() for x in b.column(1)):
                 m = len(words)
+                for w in words:
+                    w.append(b"")
+                flat = [x for w in words for x in w]
+                size = np.array([len(w) for w in words])
+                of = np.repeat(np.arange(m), size)
+                start = np.cumsum([0, *[len(x) + 1 for x in flat[:-1]]])
+                p = np.add.reduceat(tree.score(grams), start)
+                c = np.fromiter((known.get(x, 0) for x in flat), np.int64, len(flat))
+                seen = c > 0
+                base = np.bincount(of[seen], np.log10(c[seen] + 0.1) - below, m)
+                own = np.bincount(of[seen], np.log10((np.maximum(c[seen] - discount, 0) + free * ((1 - EVEN) * 10 ** p[seen] + even)) / all_), m)
+                left = np.flatnonzero(~seen)
+                cut = pa.array(np.searchsorted(of[left], np.arange(m + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + m)), b.column(0).slice(at, m), pa.array(n_tokens, pa.int64()), pa.array(n_top, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int32()))],
-                    ["row", "id", "n_tokens", "n_top", "base", "score", "rare", "rare_n"],
+                    [pa.array(np.arange(row, row + m)), b.column(0).slice(at, m), pa.array(size), pa.array(np.bincount(of[seen], minlength=m)), pa.array(base), pa.array(own), pa.ListArray.from_arrays(cut, pa.array([flat[i] for i in left], pa.binary())), pa.ListArray.from_arrays(cut, pa.array(p[left].astype(np.float32)))],
+                    ["row", "id", "n_tokens", "n_top", "base", "score", "rare", "p"],
                 )
                 row += m
                 at += m
 
     id_type = dict(texts.dtypes)["id"]
-    scored = stash.put(texts.mapInArrow(run, f"row long, id {id_type}, n_tokens long, n_top long, base double, score double, rare array<binary>, rare_n array<int>"), "scored")
-    one = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times"))
+    scored = stash.put(texts.mapInArrow(run, f"row long, id {id_type}, n_tokens long, n_top long, base double, score double, rare array<binary>, p array<float>"), "scored")
+    one = scored.select("row", F.explode(F.arrays_zip("rare", "p")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.p").cast("double").alias("p"))
     c = F.coalesce(F.col("n"), F.lit(0))
     rest = one.join(words.where(F.col("n") < least), "word", "left").groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * (F.log10(c + 0.1) - F.lit(below))).alias("add")
+        F.count_if(c > 0).alias("more"), F.sum(F.log10(c + 0.1) - F.lit(below)).alias("add"),
+        F.sum(F.log10((F.greatest(c - F.lit(discount), F.lit(0.0)) + F.lit(free) * (F.lit(1 - EVEN) * F.pow(F.lit(10.0), "p") + F.lit(even))) / F.lit(all_))).alias("add_score"),
     )
-    return scored.drop("rare", "rare_n").join(rest, "row", "left").select(
+    return scored.drop("rare", "p").join(rest, "row", "left").select(
         F.col("id").alias(id_col), "n_tokens", (F.col("n_top") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("add_score", F.lit(0.0))).alias("score"),
     )
 
 
