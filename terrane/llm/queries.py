@@ -86,6 +86,12 @@ def op8_suffix_tree(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"), Stash(spark))
 
 
+def op9_embeddings(spark, sf_dir):
+    from .op9_vamana import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), Stash(spark))
+
+
 def op10_packing(spark, sf_dir):
     from .op10_packing import pack
 
@@ -93,7 +99,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_html, op4_toxicity, op5_exact_dedup, op6_minhash, op7_language_id, op8_suffix_tree, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_html, op4_toxicity, op5_exact_dedup, op6_minhash, op7_language_id, op8_suffix_tree, op9_embeddings, op10_packing)}
 
 
 def oracle_sql():
