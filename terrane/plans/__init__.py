@@ -1 +1,10 @@
+"""The queries over the driver's tables, by operator id."""
 
+from __future__ import annotations
+
+
+def registry() -> dict[str, tuple]:
+    """name -> (function of a session and a folder, SQL or None)."""
+    from . import spatial
+
+    return dict(spatial.QUERIES)
