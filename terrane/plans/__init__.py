@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registry() -> dict[str, tuple]:
     """name -> (function of a session and a folder, SQL or None)."""
-    from . import spatial
+    from . import paths, spatial
 
-    return dict(spatial.QUERIES)
+    return {**spatial.QUERIES, **paths.QUERIES}
