@@ -25,8 +25,8 @@ from .common import Stash
 
 SIZE, END = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker remembers; past it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers at least; past it, those not met again are forgotten.
+REMEMBERED = 500_000
 _coders: dict[str, "Coder"] = {}
 
 
@@ -49,24 +49,43 @@ class Coder:
         self.parts = "[\\\\p{L}]+|" in json.dumps(made["pre_tokenizer"])
         special = [x for x in made["added_tokens"] if x["special"] and not (x["lstrip"] or x["rstrip"] or x["single_word"])]
         self.mark = (special[0]["content"], special[0]["id"]) if special else None
+        vocabulary = self.tok.get_vocab()
+        suffix = made["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if suffix and self.parts else None
+        if self.ends is not None:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        if self.mark and not any("<" in t for t in texts):  # one call, words kept apart by a token none of them holds
+        if self.ends is not None:  # words of letters alone are one piece each, whose last id ends a word
+            plain = [i for i, t in enumerate(texts) if t.isalpha()]
+            ids = self._at_once(" ".join([texts[i] for i in plain]))
+            if self._cut([words[i] for i in plain], ids, np.flatnonzero(self.ends[ids]) + 1, 0):
+                rest = set(range(len(texts))).difference(plain)
+                words, texts = [words[i] for i in rest], [texts[i] for i in rest]
+        if self.mark and texts and not any("<" in t for t in texts):  # kept apart by a token that none of them holds
             text, number = self.mark
-            ids = np.asarray(self.tok.encode_batch_fast([text.join(texts)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(ids == number)
-            if len(cut) == len(words) - 1:
-                raw, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
-                start = 0
-                for w, end in zip(words, ends):
-                    self.known[w] = raw[start:end]
-                    start = end + 4
+            ids = self._at_once(text.join(texts))
+            if self._cut(words, ids, np.append(np.flatnonzero(ids == number), len(ids)), 1):
                 return
         for w, e in zip(words, self.tok.encode_batch(texts, add_special_tokens=False)):
             self.known[w] = np.asarray(e.ids, "<u4").tobytes()
 
+    def _at_once(self, text: str) -> np.ndarray:
+        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _cut(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray, gap: int) -> bool:
+        """Gives each word its ids if there are as many ends as words."""
+        if len(ends) != len(words):
+            return False
+        raw, start = ids.tobytes(), 0
+        for w, end in zip(words, (4 * ends).tolist()):
+            self.known[w] = raw[start:end]
+            start = end + 4 * gap
+        return True
+
     def _learn(self, fresh: list[bytes]) -> None:
         known, split, need = self.known, [], {}
         for w in fresh:
@@ -76,7 +95,10 @@ class Coder:
                 split.append((w, stem, tail))
                 for x in (stem, tail):
                     if x not in known:
-                        need[x] = None
+                        if x in self.old:
+                            known[x] = self.old[x]
+                        else:
+                            need[x] = None
             else:
                 need[w] = None
         words = list(need)
@@ -85,21 +107,23 @@ class Coder:
         for w, stem, tail in split:
             known[w] = known[stem] + known[tail]
 
-    def __call__(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
+    def words(self, text: str | None) -> list[bytes]:
         raw = (text or "").encode("utf-8", "surrogatepass")
-        words = (raw.lower() if self.folds else raw).split()
-        return b"".join(map(self.known.__getitem__, words))
-
-    def prepare(self, texts: list[str | None]) -> None:
-        """Learns the words of the texts that are not known yet."""
-        words: set[bytes] = set()
-        for t in texts:
-            raw = (t or "").encode("utf-8", "surrogatepass")
-            words.update((raw.lower() if self.folds else raw).split())
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        self._learn([w for w in words if w not in self.known])
+        return (raw.lower() if self.folds else raw).split()
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        split = list(map(self.words, texts))
+        if len(self.known) > REMEMBERED:
+            self.known, self.old = {}, self.known
+        fresh = set().union(*split).difference(self.known)
+        if self.old:
+            again = fresh.intersection(self.old)
+            self.known.update(zip(again, map(self.old.__getitem__, again)))
+            fresh -= again
+        self._learn(list(fresh))
+        get = self.known.__getitem__
+        return [b"".join(map(get, w)) for w in split]
 
 
 def token_bytes(texts: list[str | None], tokenizer_path: str):
@@ -107,9 +131,8 @@ def token_bytes(texts: list[str | None], tokenizer_path: str):
     coder = _coders.get(tokenizer_path)
     if coder is None:
         coder = _coders[tokenizer_path] = Coder(tokenizer_path)
-    for i in range(0, len(texts), 500):
-        coder.prepare(texts[i : i + 500])
-        yield from map(coder, texts[i : i + 500])
+    for i in range(0, len(texts), 1000):
+        yield from coder.ids(texts[i : i + 1000])
 
 
 def pieces_of(ids: bytes, size: int = SIZE, end: int = END):
@@ -164,6 +187,11 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[tuple
         hit = np.flatnonzero(ok)
         return (int(a[hit[-1]]), int(total - a[hit[-1]])) if len(hit) else None
 
+    def pair_sums() -> np.ndarray:
+        have = np.fft.rfft((left > 0).astype(float), 4 * size)
+        return np.fft.irfft(have * have, 4 * size)[: size + 1] > 0.5
+
+    sums, sums_at = pair_sums(), 0
     hopeless: list[int] = []
     for first in range(size, 0, -1):
         while left[first]:
@@ -179,10 +207,13 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[tuple
                 take([first, *two])
                 continue
             three = None
-            for a in np.flatnonzero(left[: gap - 1])[::-1] if gap > 2 else ():
-                if left[a] - (a == first) > 0 and (two := pair(gap - int(a), {first: 1, **{int(a): 1 + (a == first)}})):
-                    three = (int(a), *two)
-                    break
+            if gap > 2:
+                if len(out) >= sums_at + 64:  # sums of two lengths; counts only fall, so an old index errs to one side
+                    sums, sums_at = pair_sums(), len(out)
+                for a in np.flatnonzero((left[: gap - 1] > 0) & sums[gap : 1 : -1])[::-1]:
+                    if left[a] - (a == first) > 0 and (two := pair(gap - int(a), {first: 1, **{int(a): 1 + (a == first)}})):
+                        three = (int(a), *two)
+                        break
             if three:
                 take([first, *three])
                 continue
