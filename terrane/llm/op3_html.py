@@ -32,6 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Stash
 from .op1_urlfilter import host_of
 
 MIN_PAGES, MIN_TOKENS, SHORT_RUN = 5, 3, 16
@@ -141,9 +142,6 @@ def read(page: str):
     yield from text(page[at:])
 
 
-_seed = 0xCBF29CE484222325
-
-
 def _hash(kind: str, path: str, word: str = "") -> int:
     import xxhash
 
@@ -197,7 +195,7 @@ def _occurrence_table(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, fields)
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def templates(pages: DataFrame, stash: Stash) -> DataFrame:
     """One row per host with a template: host, tokens (of the root class and the classes nested in it)."""
     keyed = pages.where("host <> ''").select(F.xxhash64("id", "url").alias("key"), "host", "html")
     # Long addition wraps in hexadecimal halves, so that sums can't overflow.
@@ -206,10 +204,10 @@ def templates(pages: DataFrame) -> DataFrame:
         F.sum("pages").alias("pages"), F.sum("times").alias("times"), (F.sum("place") / F.sum("pages")).alias("place"), F.max("markup").alias("markup"),
     )
     sizes = keyed.groupBy("host").agg(F.count("*").alias("all_pages")).where(F.col("all_pages") >= MIN_PAGES)
-    often = seen.join(sizes, "host").where((F.col("pages") >= MIN_PAGES) & (F.col("pages") * 5 >= F.col("all_pages")))
-    classes = often.groupBy("host", "low", "high", "pages", "times").agg(F.count("*").alias("size"), F.max("markup").alias("markup"), F.min("place").alias("from"), F.max("place").alias("to"))
+    often = stash.put(seen.join(sizes, "host").where((F.col("pages") >= MIN_PAGES) & (F.col("pages") * 5 >= F.col("all_pages"))).drop("all_pages"), "often")
+    classes = often.groupBy("host", "low", "high", "pages", "times").agg(F.count("*").alias("size"), F.max("markup").alias("markup"))
     valid = classes.where((F.col("size") >= MIN_TOKENS) & (F.col("markup") == 1))
-    members = often.join(valid.drop("markup", "from", "to", "size"), ["host", "low", "high", "pages", "times"])
+    members = often.join(valid.drop("markup", "size"), ["host", "low", "high", "pages", "times"])
     # Once a page: the root and optional parts. Several times a page: lists, nested in the gap where their places lie.
     return members.groupBy("host").agg(F.collect_list(F.struct("token", "place", (F.col("times") == F.col("pages")).alias("once"))).alias("tokens"))
 
@@ -218,11 +216,8 @@ def main_text(page: str, template: dict[int, tuple[float, bool]] | None = None)
     """The main text of one page."""
     runs: list[tuple[int, int, str]] = []
     best = 0
-    last = -1.0
     for x in read(page):
         if x[0] == "tag":
-            if template and (t := template.get(_hash("tag", x[1]))) and t[1]:
-                last = max(last, t[0])
             continue
         _, path, raw, place, block = x
         if not place:
@@ -245,13 +240,14 @@ def main_text(page: str, template: dict[int, tuple[float, bool]] | None = None)
     return "\n".join(x for x in lines if x)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, stash: Stash, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars."""
     import pyarrow as pa
 
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     id_type = dict(own.dtypes)["id"]
-    joined = own.join(templates(own), "host", "left").select("id", "url", "html", "host", "tokens")
+    # Written, the table of templates has a known size: Spark broadcasts it if it is small and sorts both sides if not.
+    joined = own.join(stash.put(templates(own, stash), "templates"), "host", "left").select("id", "url", "html", "host", "tokens")
 
     def run(batches):
         known: dict[str, dict] = {}

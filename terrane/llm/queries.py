@@ -53,7 +53,7 @@ def op2_mixing(spark, sf_dir):
 def op3_html(spark, sf_dir):
     from .op3_html import extract
 
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(table(spark, sf_dir, "pages"), Stash(spark))
 
 
 def op4_toxicity(spark, sf_dir):
