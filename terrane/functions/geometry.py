@@ -16,6 +16,19 @@ NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 NEAR = 1e-9
 
 
+def at(array: Column, i: int) -> Column:
+    """The i-th element from 1, or from the end if negative; null if there is none."""
+    return F.try_element_at(array, F.lit(i))
+
+
+def _but_last(array: Column) -> Column:
+    return F.slice(array, 1, F.greatest(F.size(array) - 1, F.lit(0)))
+
+
+def _but_first(array: Column) -> Column:
+    return F.slice(array, 2, F.greatest(F.size(array) - 1, F.lit(0)))
+
+
 def vertex(x, y) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -60,7 +73,7 @@ def from_wkt(text: Column) -> Column:
 
     def read(part: Column) -> Column:
         return F.transform(
-            F.filter(F.split(F.regexp_replace(part, r"[()]", " "), ","), lambda s: s.rlike(NUMBER)),
+            F.filter(F.split(F.regexp_replace(part, r"[()]", " "), ","), lambda s: F.trim(s) != ""),
             lambda s: F.struct(
                 F.regexp_extract(s, rf"({NUMBER})\s+({NUMBER})", 1).try_cast("double").alias("x"),
                 F.regexp_extract(s, rf"({NUMBER})\s+({NUMBER})", 2).try_cast("double").alias("y"),
@@ -78,7 +91,7 @@ def to_wkt(g: Column, digits: int = 6, close: bool = False) -> Column:
 
     def ring(part: Column) -> Column:
         if close:
-            part = F.when(is_polygonal(g) & (F.size(part) > 0) & (F.element_at(part, 1) != F.element_at(part, -1)), F.concat(part, F.slice(part, 1, 1))).otherwise(part)
+            part = F.when(is_polygonal(g) & (F.size(part) > 0) & (at(part, 1) != at(part, -1)), F.concat(part, F.slice(part, 1, 1))).otherwise(part)
         return F.array_join(F.transform(part, lambda v: F.format_string(number, v["x"], v["y"])), ", ")
 
     each = F.transform(g["parts"], ring)
@@ -100,7 +113,7 @@ def bounds(g: Column) -> dict[str, Column]:
 
 def _previous(ring: Column) -> Column:
     """Each vertex's predecessor, cyclically."""
-    return F.concat(F.slice(ring, -1, 1), F.slice(ring, 1, F.size(ring) - 1))
+    return F.concat(F.slice(ring, -1, 1), _but_last(ring))
 
 
 def _sum(values: Column) -> Column:
@@ -140,19 +153,18 @@ def segment_distance(x: Column, y: Column, a: Column, b: Column) -> Column:
 
 def line_distance(x: Column, y: Column, line: Column) -> Column:
     """Distance to the nearest segment of a vertex list."""
-    n = F.size(line)
-    return F.array_min(F.zip_with(F.slice(line, 1, n - 1), F.slice(line, 2, n - 1), lambda a, b: segment_distance(x, y, a, b)))
+    return F.array_min(F.zip_with(_but_last(line), _but_first(line), lambda a, b: segment_distance(x, y, a, b)))
 
 
 def intersects(a: Column, b: Column, multi: bool = True, point_in_area: bool = False) -> Column:
     """Some vertex of a touches b: coincides with point b, lies on line b, or inside polygon b. With point_in_area a
     point b inside polygon a counts too. A multi-point or multi-line b never counts."""
     va = vertices(a)
-    p = F.element_at(F.element_at(b["parts"], 1), 1)
+    p = at(at(b["parts"], 1), 1)
     at_point = F.exists(va, lambda v: F.sqrt(F.pow(v["x"] - p["x"], 2) + F.pow(v["y"] - p["y"], 2)) < NEAR)
     if point_in_area:
         at_point = at_point | in_feature(p["x"], p["y"], a, multi)
-    on_line = F.exists(va, lambda v: F.coalesce(line_distance(v["x"], v["y"], F.element_at(b["parts"], 1)) < NEAR, F.lit(False)))
+    on_line = F.exists(va, lambda v: F.coalesce(line_distance(v["x"], v["y"], at(b["parts"], 1)) < NEAR, F.lit(False)))
     inside = F.exists(va, lambda v: in_feature(v["x"], v["y"], b, multi))
     out = F.when(b["kind"] == "POINT", F.coalesce(at_point, F.lit(False))).when(b["kind"] == "LINESTRING", on_line).when(b["kind"].isin(*(("POLYGON", "MULTIPOLYGON") if multi else ("POLYGON",))), inside)
     return out.otherwise(False)
@@ -179,12 +191,12 @@ def _step(a: Column, b: Column) -> Column:
 
 def line_length(line: Column) -> Column:
     n = F.size(line)
-    return F.when(n > 1, _sum(F.zip_with(F.slice(line, 1, n - 1), F.slice(line, 2, n - 1), _step))).otherwise(0.0)
+    return F.when(n > 1, _sum(F.zip_with(_but_last(line), _but_first(line), _step))).otherwise(0.0)
 
 
 def measures(g: Column) -> dict[str, Column]:
     """area, perimeter, length and vertices of single-part geometries; what doesn't apply is 0."""
-    part = F.element_at(g["parts"], 1)
+    part = at(g["parts"], 1)
     area = F.when(g["kind"] == "POLYGON", F.abs(ring_area2(part)) / 2).otherwise(0.0)
     perimeter = F.when(g["kind"] == "POLYGON", ring_length(part)).otherwise(0.0)
     length = F.when(g["kind"] == "LINESTRING", line_length(part)).otherwise(0.0)
@@ -208,8 +220,7 @@ def _ring_centre(ring: Column) -> Column:
 
 def _line_middle(line: Column) -> Column:
     """(x, y, weight) of the point halfway along a line."""
-    n = F.size(line)
-    steps = F.zip_with(F.slice(line, 1, n - 1), F.slice(line, 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"), _step(a, b).alias("l")))
+    steps = F.zip_with(_but_last(line), _but_first(line), lambda a, b: F.struct(a.alias("a"), b.alias("b"), _step(a, b).alias("l")))
     total = line_length(line)
     start = F.struct(F.lit(0.0).alias("done"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
 
@@ -223,7 +234,7 @@ def _line_middle(line: Column) -> Column:
         )
 
     mid = F.aggregate(steps, start, walk)
-    first = F.element_at(line, 1)
+    first = at(line, 1)
     return F.struct(F.coalesce(mid["x"], first["x"]).alias("x"), F.coalesce(mid["y"], first["y"]).alias("y"), total.alias("w"))
 
 

@@ -14,7 +14,6 @@ from ..functions import geometry as G
 from ..functions.condition import parse_condition
 from ..functions.expression import compile_expression, names_in
 
-V = F.col("v")
 
 
 @dataclass(frozen=True)
@@ -74,9 +73,9 @@ def filter_raster(raster: Raster, condition: str) -> Raster:
     test = F.lit(True)
     for _, op, value in parse_condition(condition):
         v = float(value)
-        near = F.abs(V - v) < 1e-9
-        test = test & {"=": near, "!=": ~near, ">": V > v, "<": V < v, ">=": V >= v, "<=": V <= v}[op]
-    return raster.map(F.when(test, V))
+        near = F.abs(F.col("v") - v) < 1e-9
+        test = test & {"=": near, "!=": ~near, ">": F.col("v") > v, "<": F.col("v") < v, ">=": F.col("v") >= v, "<=": F.col("v") <= v}[op]
+    return raster.map(F.when(test, F.col("v")))
 
 
 def calc(rasters: Sequence[Raster], expression: str, stems: Sequence[str] = ()) -> Raster:
@@ -103,7 +102,7 @@ def reclass(raster: Raster, rules: Sequence[tuple[float, float, float]]) -> Rast
     """(from, to, new) with both ends inside, or (value, value, new) within 1e-9; the first rule that fits wins."""
     out = None
     for lo, hi, new in rules:
-        test = F.abs(V - lo) < 1e-9 if lo == hi else V.between(lo, hi)
+        test = F.abs(F.col("v") - lo) < 1e-9 if lo == hi else F.col("v").between(lo, hi)
         out = F.when(test, float(new)) if out is None else out.when(test, float(new))
     return raster.map(out if out is not None else F.lit(None).cast("double"))
 
@@ -112,7 +111,7 @@ def reclass_by_table(raster: Raster, rules: DataFrame) -> Raster:
     """F07 for long tables (ord, lo, hi, new): a range join reduced to the first rule of each cell."""
     rules = rules.select(F.col("ord"), F.col("lo"), F.col("hi"), F.col("new"))
     value = raster.df.select(F.col("v")).where("v is not null").distinct()
-    fits = value.join(rules, (V >= F.col("lo") - F.when(F.col("lo") == F.col("hi"), 1e-9).otherwise(0.0)) & (V <= F.col("hi") + F.when(F.col("lo") == F.col("hi"), 1e-9).otherwise(0.0)))
+    fits = value.join(rules, (F.col("v") >= F.col("lo") - F.when(F.col("lo") == F.col("hi"), 1e-9).otherwise(0.0)) & (F.col("v") <= F.col("hi") + F.when(F.col("lo") == F.col("hi"), 1e-9).otherwise(0.0)))
     new = fits.groupBy("v").agg(F.min_by("new", "ord").alias("new"))
     return Raster(raster.header, raster.df.join(new, "v", "left").select("r", "c", F.col("new").alias("v")))
 
@@ -158,7 +157,7 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     if hi - lo < 1e-12:
         bins, hi = 1, lo + 1
     width = (hi - lo) / bins
-    counts = values.groupBy(F.greatest(F.lit(0), F.least(F.lit(bins - 1), ((V - lo) / width).cast("int"))).alias("bin")).agg(F.count("*").alias("k"))
+    counts = values.groupBy(F.greatest(F.lit(0), F.least(F.lit(bins - 1), ((F.col("v") - lo) / width).cast("int"))).alias("bin")).agg(F.count("*").alias("k"))
     every = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(counts, "bin", "left").select("bin", (F.lit(lo) + F.col("bin") * width).alias("bin_low"), (F.lit(lo) + (F.col("bin") + 1) * width).alias("bin_high"), F.coalesce("k", F.lit(0)).alias("count"))
 
@@ -186,14 +185,14 @@ def zonal(raster: Raster, zones: DataFrame, zone: str = "fid") -> DataFrame:
     inside = cells_in_zones(raster, zones, zone)
     base = inside.groupBy("zone").agg(
         F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"), F.var_pop("v").alias("variance"),
-        F.count("v").alias("count"), (F.count("*") - F.count("v")).alias("nodata_count"), F.sum(V * V).alias("sum_sq"),
+        F.count("v").alias("count"), (F.count("*") - F.count("v")).alias("nodata_count"), F.sum(F.col("v") * F.col("v")).alias("sum_sq"),
     )
     r = ranked(inside, "v", ["zone"])
     n = F.col("n")
-    at = lambda k: F.max(F.when((F.col("first") <= k) & (k <= F.col("last")), V))
+    at = lambda k: F.max(F.when((F.col("first") <= k) & (k <= F.col("last")), F.col("v")))
     kinds = r.groupBy("zone").agg(
         at(F.floor(n / 2)).alias("median"), at(F.floor(n / 4)).alias("p25"), at(F.floor(3 * n / 4)).alias("p75"), F.count("*").alias("variety"),
-        F.min_by("v", F.struct(-F.col("k"), V)).alias("majority"), F.min_by("v", F.struct(F.col("k"), V)).alias("rarest"),
+        F.min_by("v", F.struct(-F.col("k"), F.col("v"))).alias("majority"), F.min_by("v", F.struct(F.col("k"), F.col("v"))).alias("rarest"),
     )
     all_ = zones.where(F.size(G.vertices(F.col("geom"))) >= 3).select(F.col(zone).alias("zone")).join(base, "zone", "left").join(kinds, "zone", "left")
     some = F.col("count") > 0
@@ -225,7 +224,7 @@ def clip_polygon(raster: Raster, area: Column, box: tuple[float, float, float, f
     cut = clip_box(raster, box)
     x, y = cut.header.x(F.col("c")), cut.header.y(F.col("r"))
     hit = F.exists(area["parts"], lambda p: G.in_ring(x, y, p))
-    return cut.map(F.when(~hit if invert else hit, V))
+    return cut.map(F.when(~hit if invert else hit, F.col("v")))
 
 
 def mosaic(rasters: Sequence[Raster], method: str = "first") -> Raster:
@@ -260,7 +259,7 @@ def resample(raster: Raster, cellsize: float, method: str = "nearest") -> Raster
         near = near.withColumns({"r0": F.floor("py").cast("int"), "c0": F.floor("px").cast("int"), "fy": F.col("py") - F.floor("py"), "fx": F.col("px") - F.floor("px")})
         corners = F.explode(F.array(*[F.struct((F.col("r0") + i).alias("sr"), (F.col("c0") + j).alias("sc"), ((F.col("fy") if i else 1 - F.col("fy")) * (F.col("fx") if j else 1 - F.col("fx"))).alias("w")) for i in (0, 1) for j in (0, 1)]))
         four = near.select("r", "c", corners.alias("k")).select("r", "c", F.col("k.sr").alias("sr"), F.col("k.sc").alias("sc"), F.col("k.w").alias("w")).join(source, ["sr", "sc"])
-        smooth = four.groupBy("r", "c").agg(F.sum(V * F.col("w")).alias("s"), F.count("v").alias("k")).where("k = 4")
+        smooth = four.groupBy("r", "c").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.count("v").alias("k")).where("k = 4")
         plain = near.select("r", "c", "sr", "sc").join(source, ["sr", "sc"], "left").select("r", "c", "v")
         return Raster(head, plain.join(smooth, ["r", "c"], "left").select("r", "c", F.coalesce("s", "v").alias("v")))
     ratio = cellsize / h.cellsize
@@ -282,8 +281,8 @@ def rasterize(features: DataFrame, header: Header, value: str) -> Raster:
     single = features.where(g["kind"].isin("POINT", "LINESTRING", "POLYGON") & (F.size(G.vertices(g)) > 0))
     near = single.select("fid", g.alias("g"), F.col(value).try_cast("double").alias("v"), F.explode(span(row(b["maxy"]), row(b["miny"]), header.nrows)).alias("r"), span(col(b["minx"]), col(b["maxx"]), header.ncols).alias("cs"))
     near = near.select("fid", "g", "v", "r", F.explode("cs").alias("c")).where(F.col("r").between(0, header.nrows - 1) & F.col("c").between(0, header.ncols - 1))
-    x, y, part = header.x(F.col("c")), header.y(F.col("r")), F.element_at(F.col("g")["parts"], 1)
-    p = F.element_at(part, 1)
+    x, y, part = header.x(F.col("c")), header.y(F.col("r")), G.at(F.col("g")["parts"], 1)
+    p = G.at(part, 1)
     hit = (
         F.when(F.col("g")["kind"] == "POINT", F.sqrt(F.pow(p["x"] - x, 2) + F.pow(p["y"] - y, 2)) < half)
         .when(F.col("g")["kind"] == "LINESTRING", G.line_distance(x, y, part) <= half)
@@ -321,8 +320,8 @@ def terrain(raster: Raster, operation: str, z_factor: float = 1.0, units: str =
     """Slope, aspect and hillshade by Horn's weights, curvature by Zevenbergen and Thorne (times 100). A missing
     neighbour takes the centre's value."""
     cs = raster.header.cellsize
-    k = {n: F.coalesce(F.col(n), V) * z_factor for n in ("n", "ne", "e", "se", "s", "sw", "w", "nw")}
-    z = V * z_factor
+    k = {n: F.coalesce(F.col(n), F.col("v")) * z_factor for n in ("n", "ne", "e", "se", "s", "sw", "w", "nw")}
+    z = F.col("v") * z_factor
     dx = ((k["ne"] + 2 * k["e"] + k["se"]) - (k["nw"] + 2 * k["w"] + k["sw"])) / (8 * cs)
     dy = ((k["sw"] + 2 * k["s"] + k["se"]) - (k["nw"] + 2 * k["n"] + k["ne"])) / (8 * cs)
     steep = F.sqrt(dx * dx + dy * dy)
@@ -349,7 +348,7 @@ def terrain(raster: Raster, operation: str, z_factor: float = 1.0, units: str =
         value = {"profile": profile, "planform": plan}.get(kind, -2 * (d + e)) * 100
     else:
         raise ValueError(operation)
-    return Raster(raster.header, neighbours(raster).select("r", "c", F.when(V.isNotNull(), value).alias("v")))
+    return Raster(raster.header, neighbours(raster).select("r", "c", F.when(F.col("v").isNotNull(), value).alias("v")))
 
 
 #: D8 codes in the order in which equal drops are decided: name, code, distance in cells.
@@ -360,17 +359,17 @@ def steepest(raster: Raster) -> Raster:
     """R12 without flats: the code of the steepest falling neighbour, the first of equals; 0 where none falls."""
     best, code = F.lit(0.0), F.lit(0)
     for n, number, far in D8:
-        drop = F.coalesce((V - F.col(n)) / (far * raster.header.cellsize), F.lit(-1.0))
+        drop = F.coalesce((F.col("v") - F.col(n)) / (far * raster.header.cellsize), F.lit(-1.0))
         code = F.when(drop > best, number).otherwise(code)
         best = F.greatest(best, drop)
-    return Raster(raster.header, neighbours(raster).select("r", "c", F.when(V.isNotNull(), code.cast("double")).alias("v")))
+    return Raster(raster.header, neighbours(raster).select("r", "c", F.when(F.col("v").isNotNull(), code.cast("double")).alias("v")))
 
 
 def corridor(a: Raster, b: Raster, threshold: float | None = None) -> Raster:
     """The sum of two cost surfaces where it is at most the threshold (1.1 times the least sum)."""
-    total = a.df.join(b.df.select("r", "c", F.col("v").alias("w")), ["r", "c"]).select("r", "c", (V + F.col("w")).alias("v"))
+    total = a.df.join(b.df.select("r", "c", F.col("v").alias("w")), ["r", "c"]).select("r", "c", (F.col("v") + F.col("w")).alias("v"))
     limit = threshold if threshold is not None else (total.agg(F.min("v")).first()[0] or 0.0) * 1.1
-    return Raster(a.header, total.select("r", "c", F.when(V <= limit + 1e-9, V).alias("v")))
+    return Raster(a.header, total.select("r", "c", F.when(F.col("v") <= limit + 1e-9, F.col("v")).alias("v")))
 
 
 # Interpolation
@@ -472,8 +471,8 @@ def _natural(values: DataFrame, classes: int, start: list[tuple[float, float]])
     for _ in range(100):
         nearest = F.expr("0")
         for i in range(1, len(centres)):
-            nearest = F.when(V > (centres[i - 1] + centres[i]) / 2, i).otherwise(nearest)
-        got = {x["g"]: x for x in counts.groupBy(nearest.alias("g")).agg((F.sum(V * F.col("k")) / F.sum("k")).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+            nearest = F.when(F.col("v") > (centres[i - 1] + centres[i]) / 2, i).otherwise(nearest)
+        got = {x["g"]: x for x in counts.groupBy(nearest.alias("g")).agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
         now = [got[g]["m"] for g in sorted(got)]
         if len(now) == len(centres) and max(abs(a - b) for a, b in zip(now, centres)) < 1e-12:
             break
@@ -502,8 +501,8 @@ def join_rat(raster: Raster, rat: DataFrame, tolerance: float = 1e-6) -> DataFra
     sides of a boundary, then within the tolerance."""
     step = lambda v: F.round(v / tolerance).cast("long")
     near = rat.select(F.explode(F.array(*[(step(F.col("value")) + i) for i in (-1, 0, 1)])).alias("k"), F.struct(*rat.columns).alias("rat"))
-    cells = raster.df.withColumn("k", step(V))
-    hit = (cells["k"] == near["k"]) & (F.abs(V - F.col("rat.value")) < tolerance)
+    cells = raster.df.withColumn("k", step(F.col("v")))
+    hit = (cells["k"] == near["k"]) & (F.abs(F.col("v") - F.col("rat.value")) < tolerance)
     return cells.join(near, hit, "left").select("r", "c", "v", "rat.*")
 
 

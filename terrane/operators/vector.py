@@ -95,21 +95,23 @@ def candidate_pairs(source: DataFrame, target: DataFrame, predicate, kind: str,
     keep = ["s", "t", *[f"__t_{c}" for c in first]]
     if is_small(target):
         return s.join(F.broadcast(t), predicate(F.col("sg"), F.col("tg"))).select(*keep, "sg", "tg")
-    size = max(cell_size(target), reach)
-    area = with_bounds(t, "tg").withColumn("cell", F.explode(_covered(F.col("__minx") - reach, F.col("__miny") - reach, F.col("__maxx") + reach, F.col("__maxy") + reach, size)))
-    if kind == "within":  # all vertices lie inside, so the first one's cell is covered
-        v = F.element_at(G.vertices(F.col("sg")), 1)
-        keyed = s.withColumn("cell", F.struct(F.floor(v["x"] / size).alias("cx"), F.floor(v["y"] / size).alias("cy")))
-        empty = s.where(F.size(G.vertices(F.col("sg"))) <= 0).join(t.where(G.is_polygonal(F.col("tg"))))  # within any polygon
-        found = keyed.where("cell.cx is not null").join(area, "cell").where(predicate(F.col("sg"), F.col("tg")))
+    size = max(cell_size(source if kind == "contains" else target), reach)
+    if kind in ("within", "contains"):  # all vertices of the inner side lie inside, so its first one's cell is covered
+        inner, outer, ig, og = (s, t, "sg", "tg") if kind == "within" else (t, s, "tg", "sg")
+        v = G.at(G.vertices(F.col(ig)), 1)
+        keyed = inner.withColumn("cell", F.struct(F.floor(v["x"] / size).alias("cx"), F.floor(v["y"] / size).alias("cy"))).where("cell.cx is not null")
+        area = with_bounds(outer, og).withColumn("cell", F.explode(_covered(F.col("__minx"), F.col("__miny"), F.col("__maxx"), F.col("__maxy"), size)))
+        found = keyed.join(area, "cell").where(predicate(F.col("sg"), F.col("tg")))
+        empty = inner.where(F.size(G.vertices(F.col(ig))) <= 0).join(outer.where(G.is_polygonal(F.col(og))))  # lies in any polygon
         return found.select(*keep, "sg", "tg").unionByName(empty.select(*keep, "sg", "tg"))
+    area = with_bounds(t, "tg").withColumn("cell", F.explode(_covered(F.col("__minx") - reach, F.col("__miny") - reach, F.col("__maxx") + reach, F.col("__maxy") + reach, size)))
     keyed = with_bounds(s, "sg", "__s").withColumn("cell", F.explode(_covered(F.col("__sminx"), F.col("__sminy"), F.col("__smaxx"), F.col("__smaxy"), size)))
     return keyed.join(area.drop("__minx", "__miny", "__maxx", "__maxy"), "cell").where(predicate(F.col("sg"), F.col("tg"))).select(*keep, "sg", "tg")
 
 
 PREDICATES = {
     "within": (lambda a, b: G.within(a, b), "within"),
-    "contains": (lambda a, b: G.contains(a, b), "near"),
+    "contains": (lambda a, b: G.contains(a, b), "contains"),
     "intersects": (lambda a, b: G.intersects(a, b), "near"),
 }
 
@@ -367,7 +369,7 @@ def centroids(df: DataFrame, types: Sequence[str] = ("line", "polygon")) -> Data
 
 def buffer_points(df: DataFrame, distance: float, segments: int = 8) -> DataFrame:
     """V03 for points."""
-    v = F.element_at(G.vertices(F.col(GEOM)), 1)
+    v = G.at(G.vertices(F.col(GEOM)), 1)
     return df.where(F.col(GEOM)["kind"] == "POINT").withColumn(GEOM, G.point_buffer(v["x"], v["y"], distance, segments))
 
 
@@ -398,8 +400,8 @@ def validate(df: DataFrame) -> DataFrame:
     g = F.col(GEOM)
     poly = G.is_polygonal(g)
     part = F.col("part")
-    pairs = F.zip_with(F.slice(part, 1, F.size(part) - 1), F.slice(part, 2, F.size(part) - 1), lambda a, b: a == b)
-    closed = F.element_at(part, 1) == F.element_at(part, -1)
+    pairs = F.zip_with(G._but_last(part), G._but_first(part), lambda a, b: a == b)
+    closed = G.at(part, 1) == G.at(part, -1)
     least = F.when(poly, 4).when(g["kind"].isin("LINESTRING", "MULTILINESTRING"), 2).otherwise(1)
     check = lambda test, issue, severity: F.when(test, F.struct(F.lit(issue).alias("issue"), F.lit(severity).alias("severity")))
     issues = F.array(
