@@ -2,16 +2,20 @@
 calibrated, with the neighbours as evidence.
 
 Terms are byte 5-grams over the folded text (A-Z lower-cased, ASCII that is no letter as one space each), as exact 40-bit
-numbers. Of these the vocabulary keeps at most TERMS whose presence is associated with the label in the examples
-(chi-square at least CHI); on invented or inflected words this keeps stems, and the words all texts share fall away.
+numbers, each taken with how often it occurs: once at least, twice, four times. Of these the vocabulary keeps at most
+TERMS that are associated with the label in the examples (chi-square at least CHI); on invented or inflected words this
+keeps stems, and what all texts share falls away.
 Examples are a bounded sample of labelled rows: about MOST_POSITIVE and MOST_NEGATIVE at most, drawn by a hash of the id;
 votes are weighted back to the label's true shares. Document frequencies are counted over all documents.
 
-The index is postings by (term, block of examples) with each term's largest weight in each block. For a text, blocks are
-visited in the order of their upper bounds until no bound exceeds the k-th best similarity, so the k nearest are exact.
+The index is postings by (term, block of examples) with each term's largest weight in each block. For a text, the block of
+the highest upper bound is scored first, then all blocks whose bound reaches the k-th best similarity there, so the k
+nearest are exact.
 Votes go through an isotonic curve fitted on leave-one-out votes of the examples. Texts without any term of the
 vocabulary take the calibrated rate of such examples.
 
+Examples with one text are one example, so a text with many copies is no evidence about its words.
+
 Defined results: null text is empty text; labels that are null are unlabelled; of several labels for one id the largest
 counts; without labelled rows every score is 0, and with one class alone it is that class's; repeated rows are scored
 alike; an empty table gives an empty result; other columns pass by unread.
@@ -27,9 +31,11 @@ from .common import Stash, crc_fold, string_slices
 from .op7_langid import _FOLD
 
 #: Most examples of either label, about.
-MOST_POSITIVE, MOST_NEGATIVE = 2000, 4000
-TERMS, CHI, LEAST_DF = 4096, 30.0, 5
-GRAM, BLOCK, NEIGHBOURS = 5, 64, 25
+MOST_POSITIVE, MOST_NEGATIVE = 1200, 2400
+TERMS, CHI, LEAST_DF = 1024, 30.0, 5
+GRAM, BLOCK, NEIGHBOURS = 5, 512, 25
+#: Occurrences from which a gram is a term of its own.
+LEVELS = (1, 2, 4)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,26 +56,37 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.sort(keys.astype(np.uint64))
+    """Terms are gram * 4 + level."""
+
+    def __init__(self, terms: np.ndarray):
+        terms = np.sort(terms.astype(np.uint64))
+        self.size = len(terms)
+        self.keys, at = np.unique(terms >> np.uint64(2), return_inverse=True)
+        self.term = np.full((len(self.keys), len(LEVELS)), -1)
+        self.term[at, (terms & np.uint64(3)).astype(np.int64)] = np.arange(len(terms))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.keys * _MULT) >> np.uint64(44)] = True
 
-    def find(self, key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(term, row) of the positions whose gram is in the vocabulary."""
-        if not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def counts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, times), sorted by row and term."""
+        none = np.zeros(0, np.int64)
+        if not self.size:
+            return none, none, none
+        key, row = grams(data, off)
         at = np.flatnonzero(self.bits[(key * _MULT) >> np.uint64(44)])
         k = key[at]
         i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
         ok = self.keys[i] == k
-        return i[ok], row[at[ok]]
-
-    def counts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, times), sorted by row and term."""
-        term, row = self.find(*grams(data, off))
-        code, times = np.unique(row.astype(np.int64) * TERMS + term, return_counts=True)
-        return code // TERMS, code % TERMS, times
+        code, times = np.unique(row[at[ok]].astype(np.int64) * len(self.keys) + i[ok], return_counts=True)
+        row, gram = code // len(self.keys), code % len(self.keys)
+        parts = []
+        for l, least in enumerate(LEVELS):
+            term = self.term[gram, l]
+            hit = (times >= least) & (term >= 0)
+            parts.append((row[hit], term[hit], times[hit]))
+        row, term, times = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((term, row))
+        return row[order], term[order], times[order]
 
 
 class Index:
@@ -104,22 +121,26 @@ class Index:
     def nearest(self, term: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above 0, exactly; ties go to the earlier example."""
         bound = w @ self.most[term]
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            cell = term * self.blocks + b
-            lo, size = self.ptr[cell], self.ptr[cell + 1] - self.ptr[cell]
-            total = int(size.sum())
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-            s = np.bincount(self.ex[at] - b * BLOCK, np.repeat(w, size) * self.w[at], BLOCK)
-            hit = np.flatnonzero(s > 0)
-            i = hit + b * BLOCK
-            keep = i != skip
-            best_i, best_s = np.concatenate([best_i, i[keep]]), np.concatenate([best_s, s[hit][keep]])
-            order = np.lexsort((best_i, -best_s))[:k]
-            best_i, best_s = best_i[order], best_s[order]
-        return best_i, best_s
+        order = np.argsort(-bound, kind="stable")
+        best_i, best_s = self._visit(term, w, order[:1], skip)  # the most promising block gives the bar for the others
+        bar = np.sort(best_s)[-k] - 1e-12 if len(best_s) >= k else 0.0
+        rest = order[1:][(bound[order[1:]] > 0) & (bound[order[1:]] >= bar)]
+        if len(rest):
+            i, s = self._visit(term, w, rest, skip)
+            best_i, best_s = np.concatenate([best_i, i]), np.concatenate([best_s, s])
+        top = np.lexsort((best_i, -best_s))[:k]
+        return best_i[top], best_s[top]
+
+    def _visit(self, term: np.ndarray, w: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the blocks with a cosine above 0, and the cosines."""
+        cell = (term[:, None] * self.blocks + blocks[None, :]).ravel()
+        lo, size = self.ptr[cell], self.ptr[cell + 1] - self.ptr[cell]
+        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        ex = self.ex[at]
+        s = np.bincount(ex, np.repeat(np.repeat(w, len(blocks)), size) * self.w[at], len(self.ids))
+        hit = np.flatnonzero(s > 0)
+        hit = hit[hit != skip]
+        return hit, s[hit]
 
     def vote(self, term, w, skip: int = -1):
         i, s = self.nearest(term, w, skip=skip)
@@ -162,14 +183,115 @@ def fit(docs: DataFrame, labels: DataFrame, train, stash: Stash, id_col: str = "
     share = F.when(F.col("label") == 1, rate[1]).otherwise(rate[0])
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))  # bounded by the two numbers above
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = stash.put(texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"]), "examples")
+    # Copies of one text are one example, with the largest label and id of theirs.
+    sample = texts.join(F.broadcast(drawn), "id").groupBy("text").agg(F.max("label").alias("label"), F.max("id").alias("id"))
+    sample = stash.put(sample.select("id", "text", "label"), "examples")
+
+    def presence(batches):
+        for b in batches:
+            label = b.column(1).to_numpy()
+            for i, data, off in string_slices(b.column(0)):
+                key, row = grams(data, off)
+                key, row = _levels(key, row)
+                keys, at = np.unique(key, return_inverse=True)
+                pos = np.bincount(at, label[i + row], len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(pos), pa.array(np.bincount(at, minlength=len(keys)).astype(np.int64))], ["key", "pos", "n"])
+
+    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+    df = sample.select("text", "label").mapInArrow(presence, "key long, pos long, n long").groupBy("key").agg(F.sum("pos").alias("a"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DF)
+    a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
+    c, d = F.lit(float(n1)) - a, F.lit(float(n0)) - b
+    chi = (n1 + n0) * F.pow(a * d - b * c, 2) / F.greatest((a + b) * (c + d) * F.lit(float(max(1, n1))) * F.lit(float(max(1, n0))), F.lit(1.0))
+    best = df.withColumn("chi", chi).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "key").limit(TERMS).select("key").collect()
+    vocabulary = Vocabulary(np.array([r["key"] for r in best], np.int64).view(np.uint64) if best else np.zeros(0, np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def frequencies(batches):
+        total, rows = np.zeros(TERMS, np.int64), 0
+        for b in batches:
+            for _, data, off in string_slices(b.column(0)):
+                _, term, _ = shared.value.counts(data, off)
+                total += np.bincount(term, minlength=TERMS)
+                rows += len(off) - 1
+        yield pa.RecordBatch.from_arrays([pa.array([*np.flatnonzero(total), -1], pa.int64()), pa.array([*total[total > 0], rows], pa.int64())], ["term", "n"])
+
+    freq = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    idf = np.log((1 + freq.get(-1, 0)) / (1 + np.array([freq.get(i, 0) for i in range(vocabulary.size)], float))) + 1
+
+    def vectors(batches):
+        for b in batches:
+            for i, data, off in string_slices(b.column(2)):
+                row, term, times = shared.value.counts(data, off)
+                cut = np.searchsorted(row, np.arange(len(off)))
+                part = lambda x, r: x[cut[r] : cut[r + 1]].astype(np.int64).tolist()
+                rows = range(len(off) - 1)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(off) - 1), b.column(1).slice(i, len(off) - 1), pa.array([part(term, r) for r in rows], pa.list_(pa.int64())), pa.array([part(times, r) for r in rows], pa.list_(pa.int64()))], ["id", "label", "terms", "times"])
+
+    got = sorted(sample.select("id", "label", "text").mapInArrow(vectors, "id long, label int, terms array<long>, times array<long>").collect(), key=lambda r: (-r["label"], r["id"]))  # like examples share blocks
+    labels_ = np.array([r["label"] for r in got], float)
+    weights = np.where(labels_ == 1, 1 / max(rate[1], 1e-12), 1 / max(rate[0], 1e-12))
+    weights = weights / weights.mean() if len(weights) else weights
+    rows = [(np.array(r["terms"], np.int64), np.array(r["times"], np.int64)) for r in got]
+    return Index(vocabulary, idf, rows, np.array([r["id"] for r in got], np.int64), labels_, weights)
+
+
+def _levels(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms that each row has, once each."""
+    order = np.lexsort((key, row))
+    key, row = key[order], row[order]
+    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(start, len(key)))
+    parts = [(key[start[times >= least]] * np.uint64(4) + np.uint64(l), row[start[times >= least]]) for l, least in enumerate(LEVELS)]
+    return np.concatenate([k for k, _ in parts]), np.concatenate([r for _, r in parts])
+
+
+def score(self, term: np.ndarray, times: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(score, neighbours, similarities)."""
+        term, w = self.vector(term, times)
+        if not len(term):
+            return self.bare, np.zeros(0, np.int64), np.zeros(0)
+        raw, i, s = self.vote(term, w)
+        return float(0.99 * np.interp(raw, *self.curve) + 0.01 * raw), i, s
+
+
+def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a non-decreasing curve through weighted means (pooled adjacent violators)."""
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []
+    for i in order:
+        pools.append([float(w[i]), float(w[i] * y[i]), float(x[i]), float(x[i])])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            a, b = pools.pop(), pools.pop()
+            pools.append([a[0] + b[0], a[1] + b[1], b[2], a[3]])
+    xs, ys = [], []
+    for weight, hits, low, high in pools:
+        p = (hits + 0.01) / (weight + 0.02)
+        xs += [low, high] if high > low else [low]
+        ys += [p, p] if high > low else [p]
+    return np.array(xs), np.maximum.accumulate(np.array(ys))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train, stash: Stash, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
+    """Learns from labelled rows that satisfy `train`, a condition on the id column."""
+    import pyarrow as pa
+
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & train).groupBy(F.col(id_col).alias("id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("label"))
+    have = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rate = {1: min(1.0, MOST_POSITIVE / max(1, have.get(1, 0))), 0: min(1.0, MOST_NEGATIVE / max(1, have.get(0, 0)))}
+    share = F.when(F.col("label") == 1, rate[1]).otherwise(rate[0])
+    drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))  # bounded by the two numbers above
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Copies of one text are one example, with the largest label and id of theirs.
+    sample = texts.join(F.broadcast(drawn), "id").groupBy("text").agg(F.max("label").alias("label"), F.max("id").alias("id"))
+    sample = stash.put(sample.select("id", "text", "label"), "examples")
 
     def presence(batches):
         for b in batches:
             label = b.column(1).to_numpy()
             for i, data, off in string_slices(b.column(0)):
                 key, row = grams(data, off)
-                key, row = _distinct(key, row)
+                key, row = _levels(key, row)
                 keys, at = np.unique(key, return_inverse=True)
                 pos = np.bincount(at, label[i + row], len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(pos), pa.array(np.bincount(at, minlength=len(keys)).astype(np.int64))], ["key", "pos", "n"])
@@ -194,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, stash: Stash, id_col: str = "
         yield pa.RecordBatch.from_arrays([pa.array([*np.flatnonzero(total), -1], pa.int64()), pa.array([*total[total > 0], rows], pa.int64())], ["term", "n"])
 
     freq = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1 + freq.get(-1, 0)) / (1 + np.array([freq.get(i, 0) for i in range(len(vocabulary.keys))], float))) + 1
+    idf = np.log((1 + freq.get(-1, 0)) / (1 + np.array([freq.get(i, 0) for i in range(vocabulary.size)], float))) + 1
 
     def vectors(batches):
         for b in batches:
@@ -205,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, stash: Stash, id_col: str = "
                 rows = range(len(off) - 1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(off) - 1), b.column(1).slice(i, len(off) - 1), pa.array([part(term, r) for r in rows], pa.list_(pa.int64())), pa.array([part(times, r) for r in rows], pa.list_(pa.int64()))], ["id", "label", "terms", "times"])
 
-    got = sorted(sample.select("id", "label", "text").mapInArrow(vectors, "id long, label int, terms array<long>, times array<long>").collect(), key=lambda r: r["id"])
+    got = sorted(sample.select("id", "label", "text").mapInArrow(vectors, "id long, label int, terms array<long>, times array<long>").collect(), key=lambda r: (-r["label"], r["id"]))  # like examples share blocks
     labels_ = np.array([r["label"] for r in got], float)
     weights = np.where(labels_ == 1, 1 / max(rate[1], 1e-12), 1 / max(rate[0], 1e-12))
     weights = weights / weights.mean() if len(weights) else weights
