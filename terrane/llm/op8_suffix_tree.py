@@ -266,7 +266,7 @@ def score(docs: DataFrame, train_where, stash: Stash, id_col: str = "doc_id", te
                 left = np.flatnonzero(~seen)
                 cut = pa.array(np.searchsorted(of[left], np.arange(m + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + m)), b.column(0).slice(at, m), pa.array(size), pa.array(np.bincount(of[seen], minlength=m)), pa.array(base), pa.array(own), pa.ListArray.from_arrays(cut, pa.array([flat[i] for i in left], pa.binary())), pa.ListArray.from_arrays(cut, pa.array(p[left].astype(np.float32)))],
+                    [pa.array(np.arange(row, row + m)), b.column(0).slice(at, m), pa.array(size), pa.array(np.bincount(of[seen], minlength=m)), pa.array(base.astype(float)), pa.array(own.astype(float)), pa.ListArray.from_arrays(cut, pa.array([flat[i] for i in left], pa.binary())), pa.ListArray.from_arrays(cut, pa.array(p[left].astype(np.float32)))],
                     ["row", "id", "n_tokens", "n_top", "base", "score", "rare", "p"],
                 )
                 row += m
