@@ -9,9 +9,10 @@ with T collisions is confirmed on the full sets, in integers.
 
 What is asked for is components, so a list of m classes isn't expanded into m * m pairs. Rounds of stars come first: each
 list's members are compared with one pivot and components are formed from the confirmed links; a list whose members are
-all in one component is finished. Lists that still span several components are then expanded over pairs from different
-components only, all of them, so that no link between components is lost. A copy group of any size ends in its first
-rounds.
+all in one component is finished. A class that is in open lists still gets the largest of them as its home, lists that
+share a good part of their classes are one home, and the classes of one home are compared in full, block by block, in tasks of bounded size that return no pairs but one edge to the
+least linked class. What is left, pairs that meet in an open list and differ in home and component, is expanded and
+compared one by one, all of it, so that no link between components is lost.
 
 T lies five standard deviations below the collisions expected at the threshold itself (K = 64, similarity 0.85: T = 40),
 where a pair is missed with probability below 1e-5; full sets are 64-bit shingle hashes.
@@ -32,9 +33,14 @@ from pyspark.sql import functions as F
 from .common import Stash, collect_bitmap, components, mix64, string_slices, without_ids, word_hashes
 
 K = 64
-#: Bits of the bitmap of classes that may match: 16 MB at most.
-BITS = 1 << 27
-PIVOT_ROUNDS = 4
+#: Bits of the bitmap of classes that may match: 4 MB at most.
+BITS = 1 << 25
+PIVOT_ROUNDS = 1
+HOME_ROUNDS = 1
+#: Lists are one home if so much of the smaller is in both.
+SHARED = 0.2
+#: Classes of one home that a task compares with as many others.
+BLOCK = 400
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -161,27 +167,99 @@ def near_groups(docs: DataFrame, stash: Stash, words: int = 5, percent: int = 80
         """Sets of too different sizes can't reach the threshold."""
         return 100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)
 
-    lists = prefix.withColumn("comp", F.col("id"))
-    comp = None
-    for r in range(PIVOT_ROUNDS):
+    lists, comp, left, r = prefix.withColumn("comp", F.col("id")), None, 1, 0
+    for _ in range(PIVOT_ROUNDS):
         pivot = lists.groupBy("key").agg(F.min_by(F.struct("id", "size", "comp"), F.struct(F.xxhash64("id", F.lit(r)), "id") if r else F.struct("id")).alias("p"))
         star = lists.join(pivot, "key").where((F.col("comp") != F.col("p.comp")) & close(F.col("size"), F.col("p.size")))
         confirm(star.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")), f"links-{r}")
         comp, lists, left = _regroup(prefix, links, stash, r)
+        r += 1
         if not left:
             break
-    else:
-        a = lists.select("key", F.col("id").alias("a"), F.col("size").alias("za"), F.col("comp").alias("ca"))
-        b = lists.select("key", F.col("id").alias("b"), F.col("size").alias("zb"), F.col("comp").alias("cb"))
-        rest = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("za"), F.col("zb"))).select("a", "b")
-        confirm(rest, "links-rest")
-        comp, _, _ = _regroup(prefix, links, stash, PIVOT_ROUNDS)
+    homes: list[DataFrame] = []
+    for _ in range(HOME_ROUNDS if left else 0):
+        homes.append(stash.put(_homes(lists, homes, stash, r), f"homes-{r}"))
+        links.append(stash.put(_compare_homes(homes[-1], sets, t, percent), f"links-{r}"))
+        comp, lists, left = _regroup(prefix, links, stash, r)
+        r += 1
+        if not left:
+            break
+    if left:
+        for i, h in enumerate(homes):
+            lists = lists.join(h.select("id", F.col("home").alias(f"home{i}")), "id", "left")
+        apart = [f"home{i}" for i in range(len(homes))]
+        side = lambda x: lists.select("key", F.col("id").alias(x), F.col("size").alias(f"z{x}"), F.col("comp").alias(f"c{x}"), *[F.col(h).alias(f"{h}{x}") for h in apart])
+        rest = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close(F.col("za"), F.col("zb")))
+        for h in apart:  # pairs of one home have been compared
+            rest = rest.where(F.coalesce(F.col(f"{h}a") != F.col(f"{h}b"), F.lit(True)))
+        confirm(rest.select("a", "b"), f"links-{r}")
+        comp, _, _ = _regroup(prefix, links, stash, r)
     of_class = classes.select("hi", "lo", "rep").join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("root"))
     out = signed.select("id", "n", "hi", "lo").join(of_class, ["hi", "lo"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("root")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def _homes(lists: DataFrame, before: list[DataFrame], stash: Stash, r: int) -> DataFrame:
+    """(id, comp, home): the largest open list of each class; in later rounds, the largest counting only members whose
+    earlier home isn't the list's most common one."""
+    for i, h in enumerate(before):
+        usual = lists.join(h.select("id", "home"), "id", "left").groupBy("key", "home").agg(F.count("*").alias("m"))
+        usual = usual.groupBy("key").agg(F.max_by("home", F.struct("m", "home")).alias("usual"))
+        seen = lists.join(h.select("id", "home"), "id", "left").join(usual, "key")
+        odd = seen.where(~F.col("home").eqNullSafe(F.col("usual"))).select("key").distinct()
+        lists = lists.join(odd, "key", "left_semi")
+    size = lists.groupBy("key").agg(F.count("*").alias("m"))
+    own = stash.put(lists.join(size, "key").groupBy("id").agg(F.max_by("key", F.struct("m", "key")).alias("home"), F.min("comp").alias("comp")), f"own-{r}")
+    other = size.select(F.col("key").alias("home"), F.col("m").alias("mh"))
+    both = lists.join(own.select("id", "home"), "id").where("key <> home").groupBy("key", "home").agg(F.count("*").alias("n")).join(size, "key").join(other, "home")
+    family = components(both.where(F.col("n") >= SHARED * F.least("m", "mh")).where("least(m, mh) >= 20").select(F.col("key").alias("a"), F.col("home").alias("b")), stash, f"family-{r}")
+    return own.join(family.select(F.col("node").alias("home"), "root"), "home", "left").select("id", "comp", F.coalesce("root", "home").alias("home"))
+
+
+def _compare_homes(homes: DataFrame, sets: DataFrame, t: int, percent: int) -> DataFrame:
+    """Edges (a, b) that join all linked classes of one home; every pair of one home is compared."""
+    import pyarrow as pa
+
+    several = homes.groupBy("home").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("home", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = homes.join(several, "home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("id", "home", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets, "id")
+
+    def compare(table):
+        ids, sizes = np.asarray(table.column("id")), np.asarray(table.column("n"))
+        comp = np.asarray(table.column("comp"))
+        sig = np.asarray(table.column("sig").combine_chunks().flatten()).reshape(len(ids), -1)
+        hits = np.zeros((len(ids), len(ids)), np.int16)
+        for k in range(sig.shape[1]):
+            hits += sig[:, k, None] == sig[None, :, k]
+        full = table.column("full").combine_chunks()
+        values = np.asarray(full.flatten())
+        owner = np.repeat(np.arange(len(ids)), np.diff(np.asarray(full.offsets)))
+        kinds, at, times = np.unique(values, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(times > 1)
+        column = np.full(len(kinds), -1)
+        column[shared] = np.arange(len(shared))
+        at = column[at]
+        inter = np.zeros((len(ids), len(ids)), np.float32)
+        for lo in range(0, len(shared), 4096):
+            part = (at >= lo) & (at < lo + 4096)
+            m = np.zeros((len(ids), min(4096, len(shared) - lo)), np.float32)
+            m[owner[part], at[part] - lo] = 1
+            inter += m @ m.T
+        linked = (hits >= t) & (100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)) | (comp[:, None] == comp[None, :])
+        best = ids.copy()
+        while True:
+            now = np.minimum(best, np.where(linked, best[None, :], np.iinfo(np.int64).max).min(1))
+            if (now == best).all():
+                break
+            best = now
+        # Members of one component are joined already; their edge here changes nothing.
+        out = ids != best
+        return pa.table([pa.array(best[out]), pa.array(ids[out])], ["a", "b"])
+
+    return rows.groupBy("home", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _regroup(prefix: DataFrame, links: list[DataFrame], stash: Stash, r: int):
     """Components of all links so far, the lists that still span several, and how many rows those have."""
     every = links[0]
