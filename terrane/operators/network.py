@@ -20,10 +20,12 @@ from .vector import connected
 MOST_ARCS = 5_000_000
 
 
-def build(lines: DataFrame, speed: float = 40.0, geographic: bool = False, unit_scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """N01 with exact nodes (positions at nine decimals): lines (fid, vertices, optional speed and oneway in -1, 0, 1).
-    Each straight piece is an edge, pieces without length go, of repeated edges the fastest stays. Node numbers follow
-    first appearance."""
+def build(lines: DataFrame, speed: float = 40.0, geographic: bool = False, unit_scale: float = 1.0, snap: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Lines (fid, vertices, optional speed and oneway in -1, 0, 1). Each straight piece is an edge, pieces without
+    length go, of repeated edges the fastest stays. Node numbers follow first appearance. Positions are one node if they
+    agree at nine decimals, or, with snap, if they lie within it of an earlier node."""
+    if snap > 0:
+        lines = snapped(lines, snap)
     has = lambda c, d: F.coalesce(F.col(c).cast("double"), F.lit(d)) if c in lines.columns else F.lit(d)
     n = F.size("vertices")
     piece = lines.select("fid", has("speed", speed).alias("speed"), has("oneway", 0.0).cast("int").alias("way"), F.posexplode(F.arrays_zip(F.slice("vertices", 1, n - 1).alias("a"), F.slice("vertices", 2, n - 1).alias("b"))).alias("i", "p"))
@@ -43,6 +45,47 @@ def build(lines: DataFrame, speed: float = 40.0, geographic: bool = False, unit_
     return nodes.drop("ka"), edges
 
 
+def snapped(lines: DataFrame, tolerance: float) -> DataFrame:
+    """Lines whose vertices are moved to the first node within the tolerance, in order of appearance. Which node is first
+    depends on all before it, so the distinct positions (MOST_ARCS at most) are gone through in one task."""
+    import pyarrow as pa
+
+    v = lines.select("fid", F.posexplode("vertices").alias("i", "p"))
+    first = v.groupBy("p").agg(F.min(F.struct("fid", "i")).alias("at"))
+    if first.limit(MOST_ARCS + 1).count() > MOST_ARCS:
+        raise ValueError("too many positions to snap in one task")
+
+    def move(key, t):
+        t = t.sort_by([("f", "ascending"), ("i", "ascending")])
+        x, y = (np.asarray(t.column(c)) for c in ("x", "y"))
+        cells: dict = {}
+        nx, ny = np.empty(len(x)), np.empty(len(x))
+        for k in range(len(x)):
+            cx, cy = int(np.floor(x[k] / tolerance)), int(np.floor(y[k] / tolerance))
+            near = [j for a in (-1, 0, 1) for b in (-1, 0, 1) for j in cells.get((cx + a, cy + b), ()) if np.hypot(x[j] - x[k], y[j] - y[k]) <= tolerance]
+            j = min(near) if near else k
+            if not near:
+                cells.setdefault((cx, cy), []).append(k)
+            nx[k], ny[k] = x[j], y[j]
+        return pa.table([t.column("x"), t.column("y"), pa.array(nx), pa.array(ny)], ["x", "y", "nx", "ny"])
+
+    flat = first.select(F.lit(0).alias("all"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("at.fid").cast("long").alias("f"), F.col("at.i").alias("i"))
+    to = flat.groupBy("all").applyInArrow(move, "x double, y double, nx double, ny double")
+    moved = v.join(to, (F.col("p.x") == to["x"]) & (F.col("p.y") == to["y"])).groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("i", F.struct(F.col("nx").alias("x"), F.col("ny").alias("y")).alias("q")))).alias("s"))
+    return lines.drop("vertices").join(moved.select("fid", F.transform("s", lambda e: e["q"]).alias("vertices")), "fid").select(*lines.columns)
+
+
+def name_nodes(nodes: DataFrame, names: DataFrame, tolerance: float) -> DataFrame:
+    """Names (fid, name, x, y) go to the nearest node within the tolerance; of several the first stays."""
+    from ..functions import geometry as G
+    from .vector import nearest
+
+    place = lambda df, k: df.select(F.col(k).alias("fid"), G.point(F.col("x"), F.col("y")).alias("geom"))
+    hit = nearest(place(names, "fid"), place(nodes, "node_id")).where(F.col("m.d") <= tolerance)
+    won = hit.join(names, hit["s"] == names["fid"]).groupBy(F.col("m.t").alias("node_id")).agg(F.min_by("name", "fid").alias("name"))
+    return nodes.drop("name").join(won, "node_id", "left")
+
+
 def numbered(df: DataFrame, order: str, name: str, parts: int = 256) -> DataFrame:
     """Numbers from 0 in an order, by a range partitioning: rows are counted per part, and ranked inside."""
     p = df.repartitionByRange(parts, order).withColumn("__p", F.spark_partition_id()).persist()
@@ -240,6 +283,35 @@ def service_area(edges: DataFrame, reached: DataFrame, limit: float, cost: str =
     return e.select("edge_id", "source", "target", F.explode(F.when(full, whole).otherwise(part)).alias("p")).select("edge_id", "source", "target", "p.*")
 
 
+def isochrones(nodes: DataFrame, edges: DataFrame, reached: DataFrame, limits: Sequence[float], buffer: float | None = None, cost: str = "length") -> DataFrame:
+    """(interval, cost_limit, reached_nodes, reached_edges, region, rings): the covered parts of edges, widened by a
+    buffer (a sixtieth of the extent's diagonal unless given) on a grid of a third of it, traced with their holes."""
+    from ..functions import geometry as G
+    from .raster import Header, Raster
+    from .surfaces import regions
+
+    b = nodes.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).first()
+    buffer = buffer or max(np.hypot(b["x1"] - b["x0"], b["y1"] - b["y0"]) / 60, 1e-9)
+    cell = buffer / 3
+    while (b["x1"] - b["x0"] + 4 * buffer) * (b["y1"] - b["y0"] + 4 * buffer) / cell**2 > 4e6:
+        cell *= 1.25
+    x0, y0 = b["x0"] - 2 * buffer, b["y0"] - 2 * buffer
+    h = Header(int(np.ceil((b["x1"] + 2 * buffer - x0) / cell)), int(np.ceil((b["y1"] + 2 * buffer - y0) / cell)), x0, y0, cell)
+    at = lambda k, s: nodes.select(F.col("node_id").alias(k), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
+    out = None
+    for i, limit in enumerate(sorted(limits)):
+        part = service_area(edges, reached, limit, cost).join(at("source", "s"), "source").join(at("target", "t"), "target")
+        mix = lambda c, t: F.col(f"s{c}") + F.col(t) * (F.col(f"t{c}") - F.col(f"s{c}"))
+        seg = part.select(G.vertex(mix("x", "share_from"), mix("y", "share_from")).alias("p"), G.vertex(mix("x", "share_to"), mix("y", "share_to")).alias("q"))
+        col, row = (lambda x: F.floor((x - h.xll) / cell)), (lambda y: F.floor((F.lit(h.ymax) - y) / cell))
+        cells = seg.withColumn("r", F.explode(F.sequence(row(F.greatest("p.y", "q.y") + buffer).cast("int"), row(F.least("p.y", "q.y") - buffer).cast("int")))).withColumn("c", F.explode(F.sequence(col(F.least("p.x", "q.x") - buffer).cast("int"), col(F.greatest("p.x", "q.x") + buffer).cast("int"))))
+        hit = cells.where(G.segment_distance(h.x(F.col("c")), h.y(F.col("r")), F.col("p"), F.col("q")) <= buffer).select("r", "c").distinct().withColumn("v", F.lit(1.0))
+        counts = [F.lit(reached.where(F.col("d") <= limit).count()).alias("reached_nodes"), F.lit(part.select("edge_id").distinct().count()).alias("reached_edges")]
+        rings = regions(Raster(h, hit)).select(F.lit(i + 1).alias("interval"), F.lit(float(limit)).alias("cost_limit"), *counts, "region", "rings")
+        out = rings if out is None else out.unionByName(rings)
+    return out
+
+
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(severity, issue, element, id)."""
     row = lambda df, severity, issue, element, id_: df.select(F.lit(severity).alias("severity"), F.lit(issue).alias("issue"), F.lit(element).alias("element"), F.col(id_).cast("string").alias("id"))

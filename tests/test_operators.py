@@ -183,6 +183,24 @@ def test_centrality(spark):
     assert {r["node_id"]: r["betweenness"] for r in N.centrality(line, e).collect()} == {0: 0, 1: 1, 2: 0}
 
 
+def test_snapping_and_names(spark):
+    line = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    lines = spark.createDataFrame([(1, line((0, 0), (10, 0))), (2, line((10.05, 0), (20, 0))), (3, line((20, 0.04), (10.02, 0.01)))], "fid long, vertices array<struct<x: double, y: double>>")
+    nodes, edges = N.build(lines, snap=0.1)
+    assert nodes.count() == 3 and edges.count() == 2 and N.build(lines)[0].count() == 6
+    names = spark.createDataFrame([(1, "late", 10.0, 0.2), (0, "first", 10.1, 0.0), (2, "far", 15.0, 0.0)], "fid long, name string, x double, y double")
+    assert {r["name"] for r in N.name_nodes(nodes, names, 0.5).collect()} == {None, "first"}
+
+
+def test_isochrones_are_nested(spark):
+    nodes, edges, _ = small_network(spark)
+    d = N.distances(nodes, edges, 12)
+    out = N.isochrones(nodes, edges, d, [4.0, 9.0], buffer=0.3).collect()
+    size = lambda ring: abs(sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(ring, ring[1:]))) / 2
+    area = {i: sum(size(r["rings"][0]) - sum(map(size, r["rings"][1:])) for r in out if r["interval"] == i) for i in (1, 2)}
+    assert 0 < area[1] < area[2] and {r["reached_nodes"] for r in out if r["interval"] == 1} == {sum(r["d"] <= 4 for r in d.collect())}
+
+
 def test_tours(spark):
     rng = np.random.default_rng(6)
     cost = rng.integers(1, 50, (7, 7)).astype(float)
