@@ -82,6 +82,25 @@ def sublines(vertices: DataFrame, events: DataFrame) -> DataFrame:
     return rows.select("id", "route_id", F.col("a").alias("from_measure"), F.col("b").alias("to_measure"), "length", line.alias("vertices"))
 
 
+def offset_line(vertices: Column, distance: Column) -> Column:
+    """A line moved sideways along the mean of its segments' normals at each vertex; positive is to the left. A
+    distance of 0 or null leaves it."""
+    n = F.size(vertices)
+
+    def normal(i: Column) -> Column:
+        a, b = F.try_element_at(vertices, i), F.try_element_at(vertices, i + 1)
+        l = F.nullif(hypot(b["x"] - a["x"], b["y"] - a["y"]), F.lit(0.0))
+        return F.struct((-(b["y"] - a["y"]) / l).alias("x"), ((b["x"] - a["x"]) / l).alias("y"))
+
+    def move(v: Column, i: Column) -> Column:
+        before, after = F.when(i > 0, normal(F.greatest(i, F.lit(1)))), F.when(i + 1 < n, normal(i + 1))
+        mean = lambda c: F.coalesce((before[c] + after[c]) / 2, before[c], after[c], F.lit(0.0))
+        size = F.nullif(hypot(mean("x"), mean("y")), F.lit(0.0))
+        return F.struct((v["x"] + distance * F.coalesce(mean("x") / size, F.lit(0.0))).alias("x"), (v["y"] + distance * F.coalesce(mean("y") / size, F.lit(0.0))).alias("y"))
+
+    return F.when((F.coalesce(distance, F.lit(0.0)) == 0) | (n < 2), vertices).otherwise(F.transform(vertices, move))
+
+
 def merge_events(events: DataFrame, mode: str = "both", by: tuple[str, ...] = ()) -> DataFrame:
     """Events of one route (and further keys) joined where they touch (concatenate), overlap (dissolve) or either.
     For `both` islands come from a running maximum; the others fold a route's sorted events, as there an island depends

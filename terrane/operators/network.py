@@ -434,3 +434,15 @@ def crossings(lines: DataFrame, size: float) -> DataFrame:
     t: Column = d3 / F.nullif(d3 - d4, F.lit(0.0))
     hit = pairs.where((d1 * d2 < 0) & (d3 * d4 < 0)).withColumn("t", t)
     return hit.select(F.col("a_fid").alias("a"), F.col("a_i").alias("ai"), F.col("b_fid").alias("b"), F.col("b_i").alias("bi"), (F.col("a_p.x") + F.col("t") * (F.col("a_q.x") - F.col("a_p.x"))).alias("x"), (F.col("a_p.y") + F.col("t") * (F.col("a_q.y") - F.col("a_p.y"))).alias("y"))
+
+
+def split_at_crossings(lines: DataFrame, size: float) -> DataFrame:
+    """N02 -split: lines with a vertex at each proper crossing with another line, in order along each segment."""
+    x = crossings(lines, size)
+    cut = x.select(F.col("a").alias("fid"), F.col("ai").alias("i"), "x", "y").unionByName(x.select(F.col("b").alias("fid"), F.col("bi").alias("i"), "x", "y"))
+    own = lines.select("fid", F.posexplode("vertices").alias("i", "p"))
+    start = own.select("fid", "i", F.col("p.x").alias("sx"), F.col("p.y").alias("sy"))
+    cut = cut.join(start, ["fid", "i"]).select("fid", "i", F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)).alias("t"), F.struct("x", "y").alias("p"))
+    every = own.select("fid", "i", F.lit(0.0).alias("t"), F.struct(F.col("p.x").alias("x"), F.col("p.y").alias("y")).alias("p")).unionByName(cut).distinct()
+    made = every.groupBy("fid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t", "p"))), lambda e: e["p"]).alias("vertices"))
+    return lines.drop("vertices").join(made, "fid").select(*lines.columns)

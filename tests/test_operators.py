@@ -201,6 +201,20 @@ def test_isochrones_are_nested(spark):
     assert 0 < area[1] < area[2] and {r["reached_nodes"] for r in out if r["interval"] == 1} == {sum(r["d"] <= 4 for r in d.collect())}
 
 
+def test_split_at_crossings(spark):
+    line = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    lines = spark.createDataFrame([(1, line((0, 0), (10, 0))), (2, line((3, -1), (3, 1))), (3, line((7, 1), (7, -1), (7, -5)))], "fid long, vertices array<struct<x: double, y: double>>")
+    got = {r["fid"]: [(p["x"], p["y"]) for p in r["vertices"]] for r in N.split_at_crossings(lines, 2.0).collect()}
+    assert got == {1: [(0, 0), (3, 0), (7, 0), (10, 0)], 2: [(3, -1), (3, 0), (3, 1)], 3: [(7, 1), (7, 0), (7, -1), (7, -5)]}
+
+
+def test_offset_lines(spark):
+    line = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    df = spark.createDataFrame([(line((0, 0), (10, 0)), 2.0), (line((0, 0), (10, 0), (10, 10)), 1.0), (line((0, 0), (1, 1)), None)], "v array<struct<x: double, y: double>>, d double")
+    got = [[(round(p["x"], 6), round(p["y"], 6)) for p in r[0]] for r in df.select(L.offset_line(F.col("v"), F.col("d"))).collect()]
+    assert got[0] == [(0, 2), (10, 2)] and got[1] == [(0, 1), (round(10 - 0.5**0.5, 6), round(0.5**0.5, 6)), (9, 10)] and got[2] == [(0, 0), (1, 1)]
+
+
 def test_tours(spark):
     rng = np.random.default_rng(6)
     cost = rng.integers(1, 50, (7, 7)).astype(float)
