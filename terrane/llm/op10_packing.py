@@ -26,7 +26,7 @@ from .common import Stash
 SIZE, END = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a worker remembers at least; past it, those not met again are forgotten.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _coders: dict[str, "Coder"] = {}
 
 
@@ -126,13 +126,13 @@ class Coder:
         return [b"".join(map(get, w)) for w in split]
 
 
-def token_bytes(texts: list[str | None], tokenizer_path: str):
-    """The ids of each text as bytes."""
+def token_bytes(texts, tokenizer_path: str):
+    """The ids of each text of an Arrow array as bytes."""
     coder = _coders.get(tokenizer_path)
     if coder is None:
         coder = _coders[tokenizer_path] = Coder(tokenizer_path)
-    for i in range(0, len(texts), 1000):
-        yield from coder.ids(texts[i : i + 1000])
+    for i in range(0, len(texts), 500):
+        yield from coder.ids(texts.slice(i, 500).to_pylist())
 
 
 def pieces_of(ids: bytes, size: int = SIZE, end: int = END):
@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int = EN
     def run(batches):
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
-            for i, x in zip(ids, token_bytes(b.column(1).to_pylist(), tokenizer_path)):
+            for i, x in zip(ids, token_bytes(b.column(1), tokenizer_path)):
                 rows += [(i, *p) for p in pieces_of(x, size, end)]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
