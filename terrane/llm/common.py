@@ -117,29 +117,30 @@ def collect_bitmap(hashes: DataFrame, col: str, bits: int) -> np.ndarray:
 
 def components(edges: DataFrame, stash: Stash, name: str, most_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) edges by alternating large and small stars: rows (node, root), root the
-    smallest node reachable. Every round is two aggregations and two joins on spilled tables; nothing is collected
-    but two numbers."""
+    smallest node reachable. Every round is two aggregations and two joins on written tables; nothing is collected."""
     e = stash.put(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         f"{name}-0",
     )
-    seen = None
     for i in range(1, most_rounds):
+        if _stars(e):
+            break
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = stash.put(small, f"{name}-{i}")
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        e = stash.put(small, f"{name}-{i}")
         stash.drop(f"{name}-{i - 1}")
-        e = now
-        if (mark["n"], mark["h"]) == seen:
-            break
-        seen = (mark["n"], mark["h"])
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one root and no root has one of its own, so that the edges are the answer."""
+    ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(edges.select(F.col("v").alias("k"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return ends.groupBy("k").agg(F.sum("a").alias("a"), F.max("b").alias("b")).where("a > 1 or (a = 1 and b = 1)").isEmpty()
+
+
 # Vectorised hashing of the words in an Arrow string column.
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -167,7 +168,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["q"]
 
 
-def string_slices(column, most_bytes: int = 2_000_000):
+def string_slices(column, most_bytes: int = 500_000):
     """(first row, uint8 bytes, offsets) of runs of rows of an Arrow string or binary column; nulls are empty.
     A row longer than most_bytes is a run of its own."""
     import pyarrow as pa

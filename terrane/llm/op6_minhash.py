@@ -193,7 +193,7 @@ def near_groups(docs: DataFrame, stash: Stash, words: int = 5, percent: int = 80
         for h in apart:  # pairs of one home have been compared
             rest = rest.where(F.coalesce(F.col(f"{h}a") != F.col(f"{h}b"), F.lit(True)))
         confirm(rest.select("a", "b"), f"links-{r}")
-        comp, _, _ = _regroup(prefix, links, stash, r)
+        comp = _joined(links, stash, r)
     of_class = classes.select("hi", "lo", "rep").join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("root"))
     out = signed.select("id", "n", "hi", "lo").join(of_class, ["hi", "lo"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("root")).otherwise(F.col("id"))
@@ -260,12 +260,16 @@ def _compare_homes(homes: DataFrame, sets: DataFrame, t: int, percent: int) -> D
     return rows.groupBy("home", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _regroup(prefix: DataFrame, links: list[DataFrame], stash: Stash, r: int):
-    """Components of all links so far, the lists that still span several, and how many rows those have."""
+def _joined(links: list[DataFrame], stash: Stash, r: int) -> DataFrame:
     every = links[0]
     for x in links[1:]:
         every = every.unionByName(x)
-    comp = components(every, stash, f"cc-{r}")
+    return components(every, stash, f"cc-{r}")
+
+
+def _regroup(prefix: DataFrame, links: list[DataFrame], stash: Stash, r: int):
+    """Components of all links so far, the lists that still span several, and how many rows those have."""
+    comp = _joined(links, stash, r)
     member = prefix.join(comp, prefix["id"] == comp["node"], "left").select("key", "id", "size", F.coalesce("root", "id").alias("comp"))
     open_keys = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     lists = stash.put(member.join(open_keys, "key", "left_semi"), f"open-{r}")
