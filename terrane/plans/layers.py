@@ -40,11 +40,16 @@ def raster(spark, sf, value: str = "p_size") -> Raster:
     return Raster(Header(50, int(rows)), t.select(F.floor(F.col("p_partkey") / 50).cast("int").alias("r"), (F.col("p_partkey") % 50).cast("int").alias("c"), v.alias("v")))
 
 
-def samples(spark, sf) -> DataFrame:
-    t = table(spark, sf, "supplier").where("s_suppkey < 200")
+def all_samples(spark, sf) -> DataFrame:
+    t = table(spark, sf, "supplier")
     return t.select(F.col("s_suppkey").alias("fid"), (F.col("s_suppkey") * 53 % 100).cast("double").alias("x"), (F.col("s_suppkey") * 17 % 100).cast("double").alias("y"), (F.col("s_suppkey") % 50).cast("double").alias("z"))
 
 
+def samples(spark, sf) -> DataFrame:
+    """The rows that SAMPLES has, for queries with SQL."""
+    return all_samples(spark, sf).where("fid < 200")
+
+
 # The same layers for SQL.
 CUSTOMERS = "pts AS (SELECT c_custkey AS fid, c_mktsegment AS segment, c_acctbal AS acctbal, (c_custkey * 37) % 100 AS x, (c_custkey * 91) % 100 AS y FROM customer)"
 FACILITIES = "fac AS (SELECT s_suppkey AS fid, s_name AS name, s_nationkey AS nation, (s_suppkey * 53) % 100 AS x, (s_suppkey * 17) % 100 AS y FROM supplier)"

@@ -106,7 +106,7 @@ def l06_lrs_validate(spark, sf):
 
 @query(None)
 def l05_lrs_calibrate(spark, sf):
-    v = L.create(route_vertices(spark, sf)).where("route_id < 200")
+    v = L.create(route_vertices(spark, sf))
     ends = v.where("seq in (1, 4)").select("route_id", (F.col("m") * 2 + 10).alias("measure"), "x", "y")
     return L.calibrate(v, ends).select("route_id", F.col("seq").cast("long").alias("seq"), *r6("m"))
 
@@ -209,19 +209,29 @@ def n01_network_build(spark, sf):
 # Addresses: parts as street segments.
 
 
-def streets(spark, sf):
-    t = table(spark, sf, "part").where("p_partkey < 200")
+def all_streets(spark, sf):
+    t = table(spark, sf, "part")
     k, s = F.col("p_partkey"), F.col("p_size")
     x, y = k % 20 * 10, F.floor(k / 20) * 10
     return t.select(k.alias("row"), F.col("p_name").alias("name"), (s * 2).alias("left_from"), (s * 2 + 40).alias("left_to"), (s * 2 + 41).alias("right_from"), (s * 2 + 1).alias("right_to"), F.array(G.vertex(x, y), G.vertex(x + 4, y), G.vertex(x + 4, y + 4)).alias("vertices"))
 
 
-def addresses(spark, sf):
-    t = table(spark, sf, "customer").where("c_custkey < 300")
+def streets(spark, sf):
+    """The rows that STREETS has, for queries with SQL."""
+    return all_streets(spark, sf).where("row < 200")
+
+
+def all_addresses(spark, sf):
+    t = table(spark, sf, "customer")
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_name")
     return t.join(p, F.col("c_custkey") % 150 == F.col("k")).select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 11 == 0, "x").otherwise((F.col("c_custkey") % 120).cast("string")).alias("house_number"), F.concat(F.upper("p_name"), F.when(F.col("c_custkey") % 7 == 0, " x").otherwise("")).alias("street_name"))
 
 
+def addresses(spark, sf):
+    """The rows that STREETS has as `ad`, for queries with SQL."""
+    return all_addresses(spark, sf).where("id < 300")
+
+
 STREETS = "st AS (SELECT p_partkey AS row, p_name AS name, p_size * 2 AS lf, p_size * 2 + 40 AS lt, p_size * 2 + 41 AS rf, p_size * 2 + 1 AS rt, p_partkey % 20 * 10 AS x0, p_partkey // 20 * 10 AS y0 FROM part WHERE p_partkey < 200), ad AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey % 120 END AS num, upper(p_name) || CASE WHEN c_custkey % 7 = 0 THEN ' x' ELSE '' END AS want FROM customer JOIN part ON c_custkey % 150 = p_partkey WHERE c_custkey < 300)"
 
 
@@ -235,7 +245,7 @@ def g01_geocode(spark, sf):
 
 @query(None)
 def g01_geocode_fuzzy(spark, sf):
-    return C.geocode(streets(spark, sf), addresses(spark, sf), fuzzy=True, tolerance=0.8).select("id", "status", "score", "street_segment", "side", *r6("measure"))
+    return C.geocode(all_streets(spark, sf), all_addresses(spark, sf), fuzzy=True, tolerance=0.8).select("id", "status", "score", "street_segment", "side", *r6("measure"))
 
 
 @query(

@@ -164,7 +164,7 @@ def a05_dissolve_all(spark, sf):
 
 @query(None)
 def a05_union_connected(spark, sf):
-    return O.union_connected(zones(spark, sf, 30).where("fid in (0, 1, 7, 12, 24)")).select("fid", "_union_group", "_union_count")
+    return O.union_connected(zones(spark, sf, 30)).select("fid", "_union_group", "_union_count")
 
 
 @query(f"WITH {CUSTOMERS}, v AS (SELECT CAST(x AS DOUBLE) AS v, row_number() OVER (ORDER BY x) - 1 AS k, count(*) OVER () AS n FROM pts WHERE x <> 0) SELECT (SELECT count(*) FROM v) AS count, (SELECT count(*) FROM pts) - (SELECT count(*) FROM v) AS nodata_count, (SELECT count(*) FROM pts) AS total_count, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, sum(v) AS sum, max(v) FILTER (k = n // 2) AS median, max(v) FILTER (k = n // 4) AS p25, max(v) FILTER (k = 3 * n // 4) AS p75 FROM v")
