@@ -3,9 +3,9 @@
 A document is its tokens, words with A-Z lower-cased and an end; as symbols it is each word's bytes and a space, then a
 newline for the end, so the tree gives each token a probability, given all before it, that is one over tokens. Counts of all
 (DEPTH + 1)-grams of symbols are gathered from every training document, with partial sums in each task. Counts of shorter
-contexts are sums of these. An entry (context, next symbol) is kept if its share of the corpus is at least SHARE, which
-bounds the tree at 1/SHARE entries a depth whatever the input; a context is retained as a state if the likelihood it gains
-over its parent (the divergence of its next-symbol distribution from the parent's, times its count) exceeds a penalty of
+contexts are sums of these. An entry (context, next symbol) is kept if it occurs at least LEAST times, at every size, so
+the tree grows with the corpus; the driver and each worker hold all of it. A context is retained as a state if the
+likelihood it gains over its parent (the divergence of its next-symbol distribution from the parent's, times its count) exceeds a penalty of
 half the log of its count for each of its entries, and so are its ancestors. Distributions are smoothed with the parent's
 (Witten-Bell). Each symbol is scored by the longest retained suffix of what precedes it.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Stash, crc_fold
 
 DEPTH = 5
-SHARE = 1e-6
+LEAST = 2
 WORDS = 1 << 20
 EVEN = 0.5
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -207,12 +207,10 @@ class Tree:
 
 
 def grow(counts: DataFrame) -> Tree:
-    """The tree from the grams' counts: shares are taken in Spark; at most 1/SHARE entries a depth come here."""
+    """The tree from the grams' counts: they are summed in Spark; all entries of at least LEAST come here."""
     grams = counts.where("gram is not null")
-    symbols = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(2.0, SHARE * symbols)
     depth = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit(int(_MASK[k + 1]))).alias("key")) for k in range(DEPTH + 1)]))
-    kept = grams.select("n", depth.alias("d")).groupBy("d.k", "d.key").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0)).toArrow()
+    kept = grams.select("n", depth.alias("d")).groupBy("d.k", "d.key").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | (F.col("k") == 0)).toArrow()
     k, key, n = (np.asarray(kept.column(c)) for c in ("k", "key", "n"))
     levels = []
     for d in range(DEPTH + 1):

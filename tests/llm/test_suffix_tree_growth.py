@@ -1,0 +1,15 @@
+"""The suffix tree keeps what a small corpus would keep, however much else the corpus holds."""
+
+import numpy as np
+import pytest
+
+
+@pytest.mark.parametrize("much", [100, 100_000_000])
+def test_rare_contexts_stay_in_large_corpora(spark, much):
+    from terrane.llm.op8_suffix_tree import grow
+
+    code = lambda b: int.from_bytes(b, "big")
+    rows = [(None, code(b"xxxxxx"), much), (None, code(b"xxxxxy"), much), (None, code(b"abcdef"), 60)]
+    counts = spark.createDataFrame(rows, "word binary, gram long, n long")
+    tree = grow(counts)
+    assert 10 ** tree.score(np.array([code(b"abcdef")], np.uint64))[0] > 0.9
