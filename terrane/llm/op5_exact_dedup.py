@@ -34,16 +34,17 @@ def first_copies(docs: DataFrame, stash: Stash, id_col: str = "doc_id", text_col
     text = F.coalesce(F.col(text_col), F.lit(""))
     hi, lo = _hash(text)
     rows = _grouped(docs, stash, id_col, text_col, keep)
-    several = stash.put(rows.where("n > 1").select("id", "hi", "lo", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")), "several")
+    several = stash.put(rows.where("shared").select("id", "hi", "lo", "sha", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")), "several")
     marks = stash.put(bitmap_table(several.select("hi"), "hi", BITS), "marks")
     body = docs.withColumns({"__hi": hi, "__lo": lo})
-    stay = several.where("kept").select(F.col("id").alias("__id"), F.col("hi").alias("__h"), F.col("lo").alias("__l")).distinct()
+    stay = several.where("kept").select(F.col("id").alias("__id"), F.col("hi").alias("__h"), F.col("lo").alias("__l"), F.col("sha").alias("__s")).distinct()
     single = several.select(F.col("hi").alias("__h"), F.col("lo").alias("__l")).distinct()
     doubtful = maybe_in(body, "__hi", marks, BITS)
     same = (F.col("__hi") == F.col("__h")) & (F.col("__lo") == F.col("__l"))
     alone = doubtful.join(single, same, "left_anti")
-    kept = doubtful.join(stay, same & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    kept = kept.groupBy("__hi", "__lo", F.col(id_col).alias("__id")).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    sha = F.sha2(text.cast("binary"), 256)  # rows of one hash and id may still differ in text
+    kept = doubtful.withColumn("__sha", sha).join(stay, same & (F.col("__sha") == F.col("__s")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    kept = kept.groupBy("__hi", "__lo", "__sha", F.col(id_col).alias("__id")).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
     return surely_not_in(body, "__hi", marks, BITS).select(*docs.columns).unionByName(alone.select(*docs.columns)).unionByName(kept)
 
 
@@ -56,7 +57,7 @@ def exact_groups(docs: DataFrame, stash: Stash, id_col: str = "doc_id", text_col
 
 
 def _grouped(docs: DataFrame, stash: Stash, id_col: str, text_col: str, keep: str) -> DataFrame:
-    """Rows (id, keep_id, n, sha, hi, lo)."""
+    """Rows (id, keep_id, n, sha, hi, lo, shared): shared says that other rows have the hash, whatever their text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     hi, lo = _hash(text)
     rows = docs.select(F.col(id_col).alias("id"), hi.alias("hi"), lo.alias("lo"), F.sha2(text.cast("binary"), 256).alias("sha"))
@@ -69,12 +70,13 @@ def _grouped(docs: DataFrame, stash: Stash, id_col: str, text_col: str, keep: st
     again = maybe_in(body, "hi", marks, BITS)
     texts = again.groupBy("hi", "lo", "body").agg(best("id").alias("keep_id"), F.count("*").alias("n"))
     clash = stash.put(texts.groupBy("hi", "lo").agg(F.count("*").alias("texts")).where("texts > 1").select("hi", "lo"), "clash")
-    out = rows.join(groups, ["hi", "lo"]).select("id", "keep_id", "n", "sha", "hi", "lo")
+    shared = (F.col("n") > 1).alias("shared")
+    out = rows.join(groups, ["hi", "lo"]).select("id", "keep_id", "n", "sha", "hi", "lo", shared)
     if not clash.isEmpty():  # one hash, several texts: such rows are grouped by the text itself
         sound = groups.join(clash, ["hi", "lo"], "left_anti")
         split = texts.join(clash, ["hi", "lo"], "left_semi")
         apart = maybe_in(body, "hi", bitmap_table(clash, "hi", BITS), BITS).join(split, ["hi", "lo", "body"])
-        out = rows.join(sound, ["hi", "lo"]).select("id", "keep_id", "n", "sha", "hi", "lo").unionByName(
-            apart.select("id", "keep_id", "n", F.sha2(F.col("body").cast("binary"), 256).alias("sha"), "hi", "lo")
+        out = rows.join(sound, ["hi", "lo"]).select("id", "keep_id", "n", "sha", "hi", "lo", shared).unionByName(
+            apart.select("id", "keep_id", "n", F.sha2(F.col("body").cast("binary"), 256).alias("sha"), "hi", "lo", F.lit(True).alias("shared"))
         )
     return out
