@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share. A local session that names none has one of its own; a cluster must name it."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="terrane-llm-")
     return _own_dir
@@ -122,9 +125,9 @@ def components(edges: DataFrame, stash: Stash, name: str, most_rounds: int = 60)
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         f"{name}-0",
     )
-    for i in range(1, most_rounds):
+    for i in range(1, most_rounds + 1):
         if _stars(e):
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -132,7 +135,7 @@ def components(edges: DataFrame, stash: Stash, name: str, most_rounds: int = 60)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = stash.put(small, f"{name}-{i}")
         stash.drop(f"{name}-{i - 1}")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    raise RuntimeError(f"components are not settled after {most_rounds} rounds")
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -146,6 +149,8 @@ def _stars(edges: DataFrame) -> bool:
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+#: Bytes that are hashed at once.
+SPAN = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -159,12 +164,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("p", ())) < n:
-        size = max(n, 1 << 20)
+def _power_table() -> tuple[np.ndarray, np.ndarray]:
+    """Powers up to SPAN; longer stretches are hashed piece by piece."""
+    if not _powers:
         one = np.ones(1, np.uint64)
-        _powers["p"] = np.concatenate([one, np.cumprod(np.full(size, _P, np.uint64))])
-        _powers["q"] = np.concatenate([one, np.cumprod(np.full(size, _P_INV, np.uint64))])
+        _powers["p"] = np.concatenate([one, np.cumprod(np.full(SPAN, _P, np.uint64))])
+        _powers["q"] = np.concatenate([one, np.cumprod(np.full(SPAN, _P_INV, np.uint64))])
     return _powers["p"], _powers["q"]
 
 
@@ -200,9 +205,27 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last = word.copy()
     last[:-1] &= ~word[1:] | first[1:]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    p, q = _power_table(len(b) + 1)
-    s = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p[: len(b)], out=s[1:])
-    h = (s[ends] - s[starts]) * q[starts]
+    h = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # words that lie within one span
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SPAN, "right")))
+        h[i:j] = _span_hashes(b[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
+        i = j
     h = mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     return h, np.searchsorted(off, starts, "right") - 1
+
+
+def _span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of (byte + 1) times powers that count from each word's first byte."""
+    p, q = _power_table()
+    if len(b) > SPAN:  # one word
+        total, scale = np.uint64(0), np.uint64(1)
+        for at in range(0, len(b), SPAN):
+            part = b[at : at + SPAN].astype(np.uint64) + np.uint64(1)
+            with np.errstate(over="ignore"):
+                total += scale * (part * p[: len(part)]).sum(dtype=np.uint64)
+                scale *= p[SPAN]
+        return np.array([total], np.uint64)
+    s = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p[: len(b)], out=s[1:])
+    return (s[ends] - s[starts]) * q[starts]
