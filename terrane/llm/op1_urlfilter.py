@@ -4,9 +4,9 @@ on the stored strings.
 Rules are hosts with path prefixes. They are written once, as one file, to the folder that executors share: the sorted
 digests, then where each rule's string lies, then the strings. Spark ships the file to every executor, where workers map
 it; no rule list is ever held in a process's memory. For a url, each suffix of its host (whole labels) is joined with its
-path cut at each length that rule paths have; those candidates are hashed and searched longest first, and a hit counts
-only if the stored string is the candidate itself. Host comes before path in length, as the longest of the matching
-rules always has the longest host among them or the longest path on one host.
+path cut at each length that rule paths have; those candidates are hashed and searched, and a hit counts only if the
+stored string is the candidate itself. Of all hits the longest rule (host and path together) wins, and of equally long
+ones that with the longer host.
 
 Defined results: a null url, or one without `://`, has empty host and path, no rule and the default verdict; a host may
 be empty and matches nothing; of repeated rules the first stands; repeated rows are judged alike; an empty table or an
@@ -73,7 +73,7 @@ class Rules:
         return self.body[int(self.ends[i]) : int(self.ends[i + 1])].tobytes()
 
     def candidates(self, host: bytes, path: bytes):
-        """Longest first."""
+        """Longer hosts first."""
         while host:
             for k in self.lengths:
                 if k <= len(path):
@@ -90,6 +90,7 @@ class Rules:
         out: list[tuple[str, bool] | None] = [None] * len(hosts)
         if not len(self.digests):
             return out
+        best = [0] * len(hosts)
         asked, owner = [], []
         for r, (h, p) in enumerate(zip(hosts, paths)):
             for c in self.candidates(h, p):
@@ -99,11 +100,12 @@ class Rules:
         at = np.searchsorted(self.digests, keys)
         inside = at < len(self.digests)
         for q in np.flatnonzero(inside & (self.digests[np.where(inside, at, 0)] == keys)):
-            if out[owner[q]] is None:
+            if out[owner[q]] is None or len(asked[q]) > best[owner[q]]:
                 i = int(at[q])
                 while i < len(self.digests) and self.digests[i] == keys[q]:  # equal digests of other strings
                     if self.stored(i) == asked[q]:
                         out[owner[q]] = asked[q].decode("utf-8", "replace"), bool(self.block[i])
+                        best[owner[q]] = len(asked[q])
                         break
                     i += 1
         return out
