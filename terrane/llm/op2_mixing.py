@@ -21,6 +21,7 @@ result; other columns pass by unread.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -127,7 +128,8 @@ def rake(cells: DataFrame, stash: Stash, targets, total: float, tolerance: float
             gap = now.groupBy(c).agg(F.sum("m").alias("is"), F.max(f"want_{c}").alias("want")).agg(F.max(F.abs(F.col("is") - F.col("want"))).alias("gap")).first()["gap"]
             off = max(off, gap or 0.0)
         if off <= tolerance * total:
-            break
+            return now
+    warnings.warn(f"raking is {off / total:.2g} of all tokens off its targets after {most_sweeps} sweeps", stacklevel=2)
     return now
 
 
