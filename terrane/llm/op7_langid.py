@@ -9,11 +9,14 @@ short texts are told apart too. The model is a matrix of BUCKETS rows and one co
 
 Defined results: text that is null or has no letter is `und` with score 0; without any labelled row all are `und`; rows
 with null language are scored and never learnt from; one learnt language is predicted throughout; repeated rows are
-scored alike; an empty table gives an empty result; other columns pass by unread.
+scored alike; languages that tie go in alphabetical order; a text of any length is summed span by span; an empty table gives an
+empty result; other columns pass by unread.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +28,8 @@ SAMPLE = 1200
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3, 4)
 WINDOW = 90
+#: Bytes of a text that are looked at at once.
+SPAN = 500_000
 
 # Families of languages by ISO 639-1 code; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -71,23 +76,40 @@ def _row_sums(values: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray,
     return total[end] - total[start], (end - start)
 
 
+def _windows(data: np.ndarray, off: np.ndarray):
+    """(bytes, offsets, n-grams of each order to take at most) of runs of rows, or of spans of one long row."""
+    if len(off) != 2 or len(data) <= SPAN:
+        yield data, off, None
+        return
+    for at in range(0, len(data), SPAN):
+        part = data[at : at + SPAN + max(ORDERS) - 1]
+        yield part, np.array([0, len(part)]), SPAN
+
+
 def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Dense rows of relative frequencies, for learning."""
     out = np.zeros((len(off) - 1, BUCKETS), np.float32)
-    for n, bucket in _grams(data, off):
-        for r in range(len(off) - 1):
-            part = bucket[off[r] : max(off[r], off[r + 1] - n + 1)]
-            if len(part):
-                out[r] += np.bincount(part, minlength=BUCKETS)[:BUCKETS] / (len(part) * len(ORDERS))
+    size = np.diff(off)
+    for part, ends, most in _windows(data, off):
+        for n, bucket in _grams(part, ends):
+            for r in range(len(ends) - 1):
+                own = bucket[ends[r] : max(ends[r], ends[r + 1] - n + 1)][:most]
+                if len(own):
+                    out[r] += np.bincount(own, minlength=BUCKETS)[:BUCKETS] / ((size[r] - n + 1) * len(ORDERS))
     return out
 
 
 def scores(data: np.ndarray, off: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """features() @ weights without the features."""
     out = np.zeros((len(off) - 1, weights.shape[1]))
-    for n, bucket in _grams(data, off):
-        s, k = _row_sums(weights[bucket], off, n)
-        out += s / np.maximum(k, 1)[:, None] / len(ORDERS)
+    size = np.diff(off)
+    for part, ends, most in _windows(data, off):
+        for n, bucket in _grams(part, ends):
+            if most is None:
+                s, _ = _row_sums(weights[bucket], ends, n)
+            else:
+                s = weights[bucket[:most]].sum(0, dtype=np.float64)[None]
+            out += s / np.maximum(size - n + 1, 1)[:, None] / len(ORDERS)
     return out
 
 
@@ -164,12 +186,13 @@ def fit(rows: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
-    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(sample).collect()}
+    # With more languages than the sample has room for, those with the most documents are learnt.
+    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     if not have:
         return Model(np.zeros((0, BUCKETS), np.float32), [])
     each = max(1, sample // len(have))
     share = F.create_map(*[F.lit(v) for l, n in have.items() for v in (l, min(1.0, each / n))])
-    drawn = rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    drawn = rows.where(F.col("lang").isin(*have)).where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
 
     def run(batches):
         for b in batches:
@@ -183,16 +206,16 @@ def fit(rows: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
                 packed = [r.tobytes() for r in np.concatenate([x, short]).astype(np.float16)]
                 yield pa.RecordBatch.from_arrays([pa.array(langs[i : i + len(length)] * 2, pa.string()), pa.array(packed, pa.binary())], ["lang", "x"])
 
-    got = drawn.select("h", "lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
-    langs = got.column("lang").to_pylist()
-    if not langs:
-        return Model(np.zeros((0, BUCKETS), np.float32), [])
-    packed = [v for c in got.column("x").chunks for v in c]
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], bytes(packed[i].as_buffer())))  # the same model whatever the order of tasks
-    x = np.empty((len(langs), BUCKETS), np.float32)
-    for r, i in enumerate(order):
-        x[r] = np.frombuffer(packed[i].as_buffer(), np.float16)
-    return Model(x, [langs[i] for i in order])
+    def train(t):  # the sample, bounded, in one task
+        langs, packed = t.column("lang").to_pylist(), [v for c in t.column("x").chunks for v in c]
+        order = sorted(range(len(langs)), key=lambda i: (langs[i], bytes(packed[i].as_buffer())))  # the same model whatever the order of tasks
+        x = np.empty((len(langs), BUCKETS), np.float32)
+        for r, i in enumerate(order):
+            x[r] = np.frombuffer(packed[i].as_buffer(), np.float16)
+        return pa.table({"model": [pickle.dumps(Model(x, [langs[i] for i in order]))]})
+
+    learnt = drawn.select("h", "lang", "text").mapInArrow(run, "lang string, x binary").select(F.lit(0).alias("all"), "lang", "x").groupBy("all").applyInArrow(train, "model binary").collect()
+    return pickle.loads(learnt[0]["model"]) if learnt else Model(np.zeros((0, BUCKETS), np.float32), [])
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -230,8 +253,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return predict(docs, model, [id_col]).select(id_col, (crc_fold(id_col, 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", least: float = 0.2) -> DataFrame:
-    """The rows of docs, all columns, whose language is known: neither `und` nor scored below `least`."""
+def accepted(docs: DataFrame, id_col: str = "doc_id", odds: float = 1.4) -> DataFrame:
+    """The rows of docs, all columns, whose language is known: neither `und` nor with a score of less than `odds` times
+    an even share among the learnt languages (half at most), which says next to nothing of any language."""
     model = fit(docs.where(crc_fold(id_col, 4) != 2), id_col=id_col)
+    least = min(0.5, odds / max(1, len(model.langs)))
     known = predict(docs, model, docs.columns, names=("__lang", "__score"))
     return known.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)
