@@ -1,290 +1,339 @@
-"""LM scoring by a probabilistic suffix tree over bytes.
-
-A document is its tokens, words with A-Z lower-cased and an end; as symbols it is each word's bytes and a space, then a
-newline for the end, so the tree gives each token a probability, given all before it, that is one over tokens. Counts of all
-(DEPTH + 1)-grams of symbols are gathered from every training document, with partial sums in each task. Counts of shorter
-contexts are sums of these. An entry (context, next symbol) is kept if it occurs at least LEAST times, at every size, so
-the tree grows with the corpus; the driver and each worker hold all of it. A context is retained as a state if the
-likelihood it gains over its parent (the divergence of its next-symbol distribution from the parent's, times its count) exceeds a penalty of
-half the log of its count for each of its entries, and so are its ancestors. Distributions are smoothed with the parent's
-(Witten-Bell). Each symbol is scored by the longest retained suffix of what precedes it.
-
-A token's score smooths the words' own frequencies with the tree: (max(c - D, 0) + D V q) / N, with c the token's count, V
-the distinct tokens, N all of them, D the absolute discount n1 / (n1 + 2 n2) and q = (1 - EVEN) p + EVEN / (V + 1), p being
-the tree's probability. Words seen often keep their frequency, new and rare ones live on the tree. Unseen words are one
-symbol more, as in the base; EVEN is what an unseen word gets at least.
-
-Scores need the count of every word: words with at least 1/WORDS of all tokens (at most WORDS of them) are looked
-up where the text is read; the others go through a join, one row per occurrence.
+"""LM scoring by a probabilistic suffix tree over words.
+
+A document is its tokens, words with A-Z lower-cased and an end. The tree's symbols are SYMBOLS classes of tokens (the
+upper bits of a token's hash), its contexts up to two symbols before a token, with a start symbol before the first. A
+context is retained as a state if the likelihood that its next-symbol distribution gains over its parent's (its
+divergence times its count) exceeds half the log of its count for each symbol that follows it; ancestors of states are
+states. A state's distribution is smoothed with its parent's (Witten-Bell), the root's with an even share. A token's
+class is scored by the longest retained suffix of what precedes it; the token itself by its share in its class. Tokens
+that training never saw are one symbol more, as in the base, with the mass of the tokens seen once; so the
+probabilities of all tokens after any context add up to one.
+
+Nothing holds the tree as a whole. Texts are read in chunks of bounded size. A chunk posts its distinct tokens and its
+distinct (context, symbol) triples, sorted and packed, with their counts in training, to buckets; a bucket adds up what
+all chunks post, grows its part of the tree, and answers each chunk with the values of just what it posted. So what is
+shuffled follows the distinct triples of chunks and the tree grows with the corpus, at any size. A bucket takes a range
+of the last context symbol, so states, parents and their tests lie in one bucket; buckets follow the number of tokens.
+A symbol with more tokens than a bucket should have is split by the symbol before it into groups, each of which then
+stands for it as the first context ("this symbol after one of that group").
 
 Defined results: null text is empty text, the end alone; rows that repeat are scored one by one and alike; without
-training rows the base is 0 and every symbol is equally likely; an empty table gives an empty result; other columns pass by
-unread.
+training rows the base is 0 and every token is unseen; an empty table gives an empty result; a text longer than a chunk
+is read in several; other columns pass by unread.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, crc_fold
-
-DEPTH = 5
-LEAST = 2
-WORDS = 1 << 20
-EVEN = 0.5
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_MASK = [np.uint64((1 << (8 * k)) - 1) for k in range(DEPTH + 2)]
-SLICE = 1_000_000
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """bytes.split() parts at exactly the white space of the contract."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def _slices(texts):
-    """(words of each text, grams) for runs of texts; one gram per symbol, in order."""
-    words: list[list[bytes]] = []
-    size = 0
-    for t in texts:
-        words.append(tokens(t))
-        size += len(t or "")
-        if size > SLICE:
-            yield words, _grams(words)
-            words, size = [], 0
-    if words:
-        yield words, _grams(words)
-
-
-def _grams(words: list[list[bytes]]) -> np.ndarray:
-    pad = b"\n" * DEPTH
-    parts = [pad + b" ".join([*w, b"\n"]) for w in words]
-    length = np.array([len(p) for p in parts])
-    b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    key = np.zeros(max(0, len(b) - DEPTH), np.uint64)
-    for j in range(DEPTH + 1):
-        key = (key << np.uint64(8)) | b[j : j + len(key)]
-    row = np.repeat(np.arange(len(parts)), length)
-    return key[row[: len(key)] == row[DEPTH:]]
-
-
-def gather(train: DataFrame) -> DataFrame:
-    """(word, gram, n): how often each word and each gram occurs; a row has one of the two, the end is the word of no
-    bytes."""
+from .common import Stash, crc_fold, string_slices, word_hashes
+
+BITS = 20
+SYMBOLS = 1 << BITS
+#: Tokens of a bucket, about, and bytes of text of a chunk.
+BUCKET, CHUNK = 1 << 21, 12_000_000
+END, START = np.uint64(0x5D4C1F0E9B3A7701), np.uint64(0xA1B2C3D4E5F60789)
+_LAST = np.int64(SYMBOLS - 1)
+
+
+def symbol(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted numbers as compressed differences, byte plane by byte plane."""
     import pyarrow as pa
 
-    def batch(words, grams, counts):
-        return pa.RecordBatch.from_arrays([pa.array([*words, *[None] * len(grams)], pa.binary()), pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(grams.view(np.int64))]), pa.array(counts, pa.int64())], ["word", "gram", "n"])
+    gaps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
+    return _squeeze(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T))
 
-    def run(batches):
-        of_word: Counter = Counter()
-        keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        wait_k, wait_n = [], []
-
-        def merge():
-            nonlocal keys, sums, wait_k, wait_n
-            k, n = np.concatenate([keys, *wait_k]), np.concatenate([sums, *wait_n])
-            keys, at = np.unique(k, return_inverse=True)
-            sums, wait_k, wait_n = np.bincount(at, n, len(keys)).astype(np.int64), [], []
-
-        for b in batches:
-            for words, grams in _slices(x.as_py() for x in b.column(0)):
-                for w in words:
-                    of_word.update(w)
-                of_word[b""] += len(words)
-                k, n = np.unique(grams, return_counts=True)
-                wait_k.append(k)
-                wait_n.append(n)
-                if sum(map(len, wait_k)) > 1_500_000:
-                    merge()
-                if len(keys) > 1_500_000:
-                    yield batch([], keys, sums)
-                    keys, sums = keys[:0], sums[:0]
-                if len(of_word) > 600_000:
-                    yield batch(list(of_word), keys[:0], list(of_word.values()))
-                    of_word.clear()
-        merge()
-        yield batch(list(of_word), keys, [*of_word.values(), *sums.tolist()])
-
-    parts = train.mapInArrow(run, "word binary, gram long, n long")
-    return parts.groupBy("word", "gram").agg(F.sum("n").alias("n"))
-
-
-class Table:
-    """Open addressing: code -> value, vectorised."""
-
-    def __init__(self, codes: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(math.ceil(math.log2(max(1, len(codes)) * 3)))))
-        self.codes = np.zeros(1 << int(64 - self.shift), np.uint64)
-        self.values = np.zeros(len(self.codes), np.float32)
-        self.last = np.uint64(len(self.codes) - 1)
-        slot, left = (codes * _MULT) >> self.shift, np.arange(len(codes))
-        while len(left):
-            free = np.flatnonzero(self.codes[slot] == 0)
-            first = free[np.unique(slot[free], return_index=True)[1]]
-            self.codes[slot[first]] = codes[left[first]]
-            self.values[slot[first]] = values[left[first]]
-            rest = np.ones(len(left), bool)
-            rest[first] = False
-            left, slot = left[rest], (slot[rest] + np.uint64(1)) & self.last
-
-    def get(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, value)."""
-        slot = (codes * _MULT) >> self.shift
-        have = self.codes[slot]
-        value = self.values[slot]
-        found = have == codes
-        open_ = np.flatnonzero(~found & (have != 0))
-        slot = slot[open_]
-        while len(open_):
-            slot = (slot + np.uint64(1)) & self.last
-            have = self.codes[slot]
-            hit = have == codes[open_]
-            found[open_[hit]] = True
-            value[open_[hit]] = self.values[slot[hit]]
-            go = ~hit & (have != 0)
-            open_, slot = open_[go], slot[go]
-        return found, value
-
-
-class Tree:
-    """States and smoothed log10 probabilities from entries of each depth."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels[k]: sorted (context of k symbols and next symbol) and counts; every entry's shorter form is there."""
-        root = np.zeros(256)
-        root[levels[0][0].astype(np.int64)] = levels[0][1]
-        p = [((root + 0.5) / (root.sum() + 128))[levels[0][0].astype(np.int64)]]
-        self.root = np.log10((root + 0.5) / (root.sum() + 128))
-        data = []
-        for k in range(1, len(levels)):
-            key, n = levels[k]
-            context, at = np.unique(key >> np.uint64(8), return_inverse=True)
-            total = np.bincount(at, n, len(context))
-            kinds = np.bincount(at, minlength=len(context))
-            parent = np.searchsorted(levels[k - 1][0], key & _MASK[k])
-            before = p[k - 1][parent]
-            p.append((n + kinds[at] * before) / (total[at] + kinds[at]))
-            gain = np.bincount(at, n * np.log(n / total[at] / before), len(context))
-            data.append([key, at, context, total, kinds, gain > 0.5 * kinds * np.log(np.maximum(total, 2))])
-        for k in range(len(data) - 1, 0, -1):  # ancestors of states are states
-            mine, above = data[k], data[k - 1]
-            need = np.unique(mine[2][mine[5]] & _MASK[k])
-            above[5] |= np.isin(above[2], need)
-        entry_codes, entry_values, state_codes, state_values = [], [], [], []
-        for k, (key, at, context, total, kinds, keep) in enumerate(data, 1):
-            tag = np.uint64(k << 56)
-            entry_codes.append(key[keep[at]] | tag)
-            entry_values.append(np.log10(p[k][keep[at]]))
-            state_codes.append(context[keep] | tag)
-            state_values.append(np.log10(kinds[keep] / (total[keep] + kinds[keep])))
-        none = [np.zeros(0, np.uint64)], [np.zeros(0)]
-        self.entries = Table(np.concatenate(entry_codes or none[0]), np.concatenate(entry_values or none[1]))
-        self.states = Table(np.concatenate(state_codes or none[0]), np.concatenate(state_values or none[1]))
-        self.depth = len(data)
-
-    def score(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's last symbol by the longest state among the suffixes of the rest."""
-        out = np.zeros(len(grams))
-        at = np.arange(len(grams))
-        for k in range(self.depth, 0, -1):
-            tag = np.uint64(k << 56)
-            g = grams[at]
-            found, value = self.entries.get((g & _MASK[k + 1]) | tag)
-            out[at[found]] += value[found]
-            at, g = at[~found], g[~found]
-            if not len(at):
-                return out
-            state, back = self.states.get(((g >> np.uint64(8)) & _MASK[k]) | tag)
-            out[at[state]] += back[state]
-        out[at] += self.root[(grams[at] & np.uint64(255)).astype(np.int64)]
-        return out
+
+def unpack_sorted(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(_stretch(raw, 8 * n).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_plain(values: np.ndarray) -> bytes:
+    """Numbers of any order, compressed byte plane by byte plane."""
+    return _squeeze(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T))
 
 
-def grow(counts: DataFrame) -> Tree:
-    """The tree from the grams' counts: they are summed in Spark; all entries of at least LEAST come here."""
-    grams = counts.where("gram is not null")
-    depth = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit(int(_MASK[k + 1]))).alias("key")) for k in range(DEPTH + 1)]))
-    kept = grams.select("n", depth.alias("d")).groupBy("d.k", "d.key").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | (F.col("k") == 0)).toArrow()
-    k, key, n = (np.asarray(kept.column(c)) for c in ("k", "key", "n"))
-    levels = []
-    for d in range(DEPTH + 1):
-        mine = k == d
-        order = np.argsort(key[mine])
-        levels.append((key[mine][order].astype(np.uint64), n[mine][order].astype(float)))
-    while len(levels) > 1 and not len(levels[-1][0]):
-        levels.pop()
-    return Tree(levels)
+def unpack_plain(raw: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(_stretch(raw, size * n).reshape(size, n).T).view(kind).ravel()
 
 
-def score(docs: DataFrame, train_where, stash: Stash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _squeeze(data: np.ndarray) -> bytes:
+    import pyarrow as pa
+
+    return pa.Codec("zstd", 1).compress(pa.py_buffer(data.tobytes()), asbytes=True) if data.size else b""
+
+
+def _stretch(raw: bytes, size: int) -> np.ndarray:
+    import pyarrow as pa
+
+    return np.frombuffer(pa.Codec("zstd").decompress(raw, size, asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+
+
+class Shape:
+    """How symbols are dealt to buckets, from their counts in training: a range of first symbols a bucket, and buckets
+    of their own for the groups of a symbol that has more tokens than a bucket should."""
+
+    def __init__(self, seen: np.ndarray, tokens: int, bucket: int = BUCKET):
+        self.log = min(BITS, max(0, math.ceil(math.log2(max(1, tokens / bucket)))))
+        groups = -(-seen // bucket)
+        self.hot = np.flatnonzero(groups > 1)
+        self.groups = groups[self.hot].astype(np.int64)
+        self.first = (1 << self.log) + np.concatenate([[0], np.cumsum(self.groups)[:-1]]).astype(np.int64)
+
+    def bucket(self, triples: np.ndarray) -> np.ndarray:
+        """Of packed (first symbol, symbol before it, symbol)."""
+        c1 = triples >> (2 * BITS)
+        out = c1 >> (BITS - self.log)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, c1), len(self.hot) - 1)
+            hit = self.hot[at] == c1
+            before = (triples[hit] >> BITS) & _LAST
+            out[hit] = self.first[at[hit]] + ((before * self.groups[at[hit]]) >> BITS)
+        return out
+
+
+def triples(hashes: np.ndarray, start: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """(last symbol, the one before it, symbol) of each token as one number. start: first tokens of texts, or of parts of
+    texts; before: their two symbols before, last one first."""
+    s = symbol(hashes)
+    c1, c2 = np.empty_like(s), np.empty_like(s)
+    c1[1:], c2[2:] = s[:-1], s[:-2]
+    c1[start], c2[start] = before[:, 0], before[:, 1]
+    second = start[np.diff(np.append(start, len(s))) > 1]
+    c2[second + 1] = c1[second]
+    return (c1 << (2 * BITS)) | (c2 << BITS) | s
+
+
+def grow(keys: np.ndarray, counts: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each (context, symbol) of one bucket by the longest retained state. keys: distinct
+    triples, sorted; counts: how often each occurs in training; root: the root's distribution."""
+    n = counts.astype(float)
+    w = keys & _LAST
+    p = root[w]
+
+    def level(context: np.ndarray, pair: np.ndarray, parent: np.ndarray):
+        """Smoothed probabilities under the contexts, and which contexts gain enough. pair: numbers the (context, symbol)
+        of each key."""
+        first = np.zeros(pair.max() + 1, np.int64)
+        first[pair] = np.arange(len(pair))
+        m = np.bincount(pair, n)
+        c, before = context[first], parent[first]
+        total = np.bincount(c, m)
+        kinds = np.bincount(c, m > 0)
+        some = m > 0
+        gain = np.bincount(c[some], m[some] * np.log(m[some] / total[c[some]] / before[some]), len(total))
+        state = gain > 0.5 * kinds * np.log(np.maximum(total, 2))
+        q = (m + kinds[c] * before) / np.maximum(total[c] + kinds[c], 1)
+        return q[pair], state
+
+    if not len(keys):
+        return np.zeros(0)
+    c1 = np.unique(keys >> (2 * BITS), return_inverse=True)[1]
+    c2 = np.unique(keys >> BITS, return_inverse=True)[1]
+    pair1 = np.unique(c1 * np.int64(SYMBOLS) + w, return_inverse=True)[1]
+    q1, state1 = level(c1, pair1, p)
+    q2, state2 = level(c2, np.arange(len(keys)), q1)
+    of1 = np.zeros(c2.max() + 1, np.int64)
+    of1[c2] = c1
+    state1 |= np.bincount(of1[state2], minlength=len(state1)) > 0
+    # A state's distribution is smoothed with its parent's, which a context that is no state leaves to the root.
+    q1 = np.where(state1[c1], q1, p)
+    if not state1.all():
+        q2, _ = level(c2, np.arange(len(keys)), q1)
+    return np.log10(np.where(state2[c2], q2, q1))
+
+
+def _chunks(batches):
+    """(row of each part, id, held out, token hashes, first tokens, symbols before) for runs of texts. Rows count from
+    the first of the task."""
+    row, parts, size = 0, [], 0
+
+    def done():
+        rows, ids, held, lengths, hashes, before = zip(*parts)
+        start = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        return list(rows), list(ids), np.array(held, bool), np.concatenate(hashes), start, np.array(before, np.int64).reshape(-1, 2)
+
+    opening = [int(symbol(START[None])[0])] * 2
+    for b in batches:
+        ids, held = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for i, data, off in string_slices(b.column(2)):
+            cuts = _cuts(data) if len(off) == 2 else [len(data)]
+            at, tail = 0, None
+            for cut in cuts:
+                whole = len(cuts) == 1
+                h, r = word_hashes(data[at:cut], off if whole else np.array([0, cut - at], np.int64))
+                bounds = np.searchsorted(r, np.arange(len(off)))
+                for k in range(len(off) - 1):
+                    mine = h[bounds[k] : bounds[k + 1]]
+                    if cut == cuts[-1]:
+                        mine = np.append(mine, END)
+                    if len(mine):
+                        parts.append((row + i + k, ids[i + k], held[i + k], len(mine), mine, tail or opening))
+                        s = symbol(mine[-2:]).tolist()[::-1]
+                        tail = None if whole or cut == cuts[-1] else (s + (tail or opening))[:2]
+                size += cut - at
+                at = cut
+                if size >= CHUNK:
+                    yield done()
+                    parts, size = [], 0
+        row += b.num_rows
+    if parts:
+        yield done()
+
+
+def _cuts(data: np.ndarray) -> list[int]:
+    """Ends of parts of one text of about CHUNK bytes, at white space."""
+    out, at = [], 0
+    while len(data) - at > 2 * CHUNK:
+        space = np.flatnonzero((data[at + CHUNK : at + 2 * CHUNK] == 32) | ((data[at + CHUNK : at + 2 * CHUNK] >= 9) & (data[at + CHUNK : at + 2 * CHUNK] <= 13)))
+        at += CHUNK + (int(space[0]) if len(space) else CHUNK)
+        out.append(at)
+    return [*out, len(data)]
+
+
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """(bucket, keys, counts): the distinct tokens of training and how often each occurs, packed; docs: held, text."""
+    import pyarrow as pa
+
+    def run(batches):
+        for _, _, held, hashes, start, _ in _chunks(batches):
+            train = np.repeat(~held, np.diff(np.append(start, len(hashes))))
+            keys, n = np.unique(hashes[train], return_counts=True)
+            yield pa.RecordBatch.from_pylist([{"bucket": b, "n": len(k), "keys": pack_sorted(k), "counts": pack_plain(c.astype(np.int64))} for b, k, c in _dealt(keys, n, (keys >> np.uint64(58)).astype(np.int64))], _PACKED)
+
+    def add(t):
+        n = t.column("n").to_pylist()
+        keys = np.concatenate([unpack_sorted(x, m) for x, m in zip(t.column("keys").to_pylist(), n)])
+        counts = np.concatenate([unpack_plain(x, m, np.int64) for x, m in zip(t.column("counts").to_pylist(), n)])
+        keys, at = np.unique(keys, return_inverse=True)
+        counts = np.bincount(at, counts, len(keys)).astype(np.int64)
+        sums = np.bincount(symbol(keys), counts, SYMBOLS).astype(np.int64)
+        used = np.flatnonzero(sums)
+        return pa.table({"tokens": [int(counts.sum())], "kinds": [len(keys)], "once": [int((counts == 1).sum())], "used": [len(used)], "symbols": [pack_sorted(used.astype(np.uint64))], "sums": [pack_plain(sums[used])]}, pa.schema([("tokens", pa.int64()), ("kinds", pa.int64()), ("once", pa.int64()), ("used", pa.int64()), ("symbols", pa.binary()), ("sums", pa.binary())]))
+
+    _PACKED = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+    return docs.mapInArrow(run, "bucket long, n long, keys binary, counts binary").groupBy("bucket").applyInArrow(add, "tokens long, kinds long, once long, used long, symbols binary, sums binary")
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray):
+    """(bucket, keys, counts) by bucket; keys stay sorted."""
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order]
+    cut = np.flatnonzero(np.diff(b, prepend=-1))
+    for lo, hi in zip(cut, [*cut[1:], len(b)]):
+        yield int(b[lo]), keys[order[lo:hi]], counts[order[lo:hi]]
+
+
+def score(docs: DataFrame, train_where, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score, score."""
     import pyarrow as pa
 
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = stash.put(gather(docs.where(train_where).select(F.col(text_col).alias("text"))), "counts")
-    words = counts.where("word is not null").select("word", "n")
-    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
-    n, v = total["n"] or 0, total["v"] or 0
-    below = math.log10(n + 0.1 * (v + 1))
-    discount = total["n1"] / (total["n1"] + 2 * total["n2"]) if total["n1"] else 0.5
-    free, all_ = (discount * v, float(n)) if n else (1.0, 1.0)
-    even = EVEN / (v + 1)
-    least = max(1, n / WORDS)
-    often = words.where(F.col("n") >= least).toArrow()  # at most WORDS rows
-    shared = spark.sparkContext.broadcast((grow(counts), often.column("word").to_pylist(), often.column("n").to_pylist()))
+    texts = docs.select(F.col(id_col).alias("id"), (~F.coalesce(train_where, F.lit(False))).alias("held"), F.col(text_col).cast("string").alias("text"))
+    id_type = texts.schema["id"].dataType.simpleString()
+    seen = np.zeros(SYMBOLS, np.int64)
+    total = kinds = once = 0
+    for r in count_tokens(texts).toLocalIterator():  # at most 64 rows, each with its own range of SYMBOLS sums
+        total, kinds, once = total + r["tokens"], kinds + r["kinds"], once + r["once"]
+        seen[unpack_sorted(bytes(r["symbols"]), r["used"]).astype(np.int64)] += unpack_plain(bytes(r["sums"]), r["used"], np.int64)
+    shape = Shape(seen, total, bucket)
+    unseen = (once + 1) / (total + 2)
+    below = math.log10(total + 0.1 * (kinds + 1))
+    shared = spark.sparkContext.broadcast((shape, seen))  # SYMBOLS numbers, whatever the corpus
+    words_log = min(16, max(4, shape.log))
+    arrow = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+    fields = "chunk long, kind int, bucket long, n long, keys binary, counts binary"
+
+    def post(batches):
+        """Kind 0: the chunk's tokens; 1: its distinct tokens; 2: its distinct triples."""
+        import pickle
 
-    def run(batches):
         from pyspark import TaskContext
 
-        tree, top, counted = shared.value
-        known = dict(zip(top, counted))
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            at = 0
-            for words, grams in _slices(x.as_py() for x in b.column(1)):
-                m = len(words)
-                for w in words:
-                    w.append(b"")
-                flat = [x for w in words for x in w]
-                size = np.array([len(w) for w in words])
-                of = np.repeat(np.arange(m), size)
-                start = np.cumsum([0, *[len(x) + 1 for x in flat[:-1]]])
-                p = np.add.reduceat(tree.score(grams), start)
-                c = np.fromiter((known.get(x, 0) for x in flat), np.int64, len(flat))
-                seen = c > 0
-                base = np.bincount(of[seen], np.log10(c[seen] + 0.1) - below, m)
-                own = np.bincount(of[seen], np.log10((np.maximum(c[seen] - discount, 0) + free * ((1 - EVEN) * 10 ** p[seen] + even)) / all_), m)
-                left = np.flatnonzero(~seen)
-                cut = pa.array(np.searchsorted(of[left], np.arange(m + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + m)), b.column(0).slice(at, m), pa.array(size), pa.array(np.bincount(of[seen], minlength=m)), pa.array(base.astype(float)), pa.array(own.astype(float)), pa.ListArray.from_arrays(cut, pa.array([flat[i] for i in left], pa.binary())), pa.ListArray.from_arrays(cut, pa.array(p[left].astype(np.float32)))],
-                    ["row", "id", "n_tokens", "n_top", "base", "score", "rare", "p"],
-                )
-                row += m
-                at += m
-
-    id_type = dict(texts.dtypes)["id"]
-    scored = stash.put(texts.mapInArrow(run, f"row long, id {id_type}, n_tokens long, n_top long, base double, score double, rare array<binary>, p array<float>"), "scored")
-    one = scored.select("row", F.explode(F.arrays_zip("rare", "p")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.p").cast("double").alias("p"))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    rest = one.join(words.where(F.col("n") < least), "word", "left").groupBy("row").agg(
-        F.count_if(c > 0).alias("more"), F.sum(F.log10(c + 0.1) - F.lit(below)).alias("add"),
-        F.sum(F.log10((F.greatest(c - F.lit(discount), F.lit(0.0)) + F.lit(free) * (F.lit(1 - EVEN) * F.pow(F.lit(10.0), "p") + F.lit(even))) / F.lit(all_))).alias("add_score"),
-    )
-    return scored.drop("rare", "p").join(rest, "row", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_top") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("add_score", F.lit(0.0))).alias("score"),
-    )
+        shape = shared.value[0]
+        chunk = TaskContext.get().partitionId() << 24
+        for rows, ids, held, hashes, start, before in _chunks(batches):
+            size = np.diff(np.append(start, len(hashes)))
+            train = np.repeat(~held, size)
+            keys, at = np.unique(hashes, return_inverse=True)
+            out = [{"chunk": chunk, "kind": 0, "bucket": -1 - chunk, "n": len(hashes), "keys": pack_plain(at.astype(np.int32)), "counts": pickle.dumps((rows, ids, size, before, len(keys), pack_sorted(keys)))}]
+            n = np.bincount(at, train, len(keys)).astype(np.int64)
+            out += [{"chunk": chunk, "kind": 1, "bucket": b, "n": len(k), "keys": pack_sorted(k), "counts": pack_plain(c)} for b, k, c in _dealt(keys, n, (keys >> np.uint64(64 - words_log)).astype(np.int64))]
+            keys, at = np.unique(triples(hashes, start, before), return_inverse=True)
+            n = np.bincount(at, train, len(keys)).astype(np.int64)
+            out += [{"chunk": chunk, "kind": 2, "bucket": b, "n": len(k), "keys": pack_sorted(k), "counts": pack_plain(c)} for b, k, c in _dealt(keys, n, shape.bucket(keys))]
+            for x in out:
+                yield pa.RecordBatch.from_pylist([x], arrow)
+            chunk += 1
+
+    def answer(key, t):
+        """Each chunk's distinct tokens get their counts in training, its triples their log probabilities."""
+        if key[0].as_py() == 0:
+            return t
+        n, chunk = t.column("n").to_pylist(), t.column("chunk")
+        keys = np.concatenate([unpack_sorted(x, m) for x, m in zip(t.column("keys").to_pylist(), n)])
+        counts = np.concatenate([unpack_plain(x, m, np.int64) for x, m in zip(t.column("counts").to_pylist(), n)])
+        keys, at = np.unique(keys, return_inverse=True)
+        values = np.bincount(at, counts, len(keys)).astype(np.int64)
+        if key[0].as_py() == 2:
+            seen = shared.value[1]
+            values = grow(keys.astype(np.int64), values, (seen + 0.5) / (seen.sum() + 0.5 * SYMBOLS)).astype(np.float32)
+        parts = np.split(values[at], np.cumsum(n)[:-1])
+        return pa.table([chunk, t.column("kind"), t.column("bucket"), t.column("n"), pa.array([pack_plain(v) for v in parts], pa.binary()), pa.nulls(len(n), pa.binary())], arrow)
+
+    def add_up(t):
+        """One row per text, or part of a text, of the chunk."""
+        import pickle
+
+        shape, seen = shared.value
+        kind, of = np.asarray(t.column("kind")), np.asarray(t.column("bucket"))
+        raw, count = t.column("keys"), t.column("n").to_pylist()
+        own = int(np.flatnonzero(kind == 0)[0])
+        rows, ids, size, before, distinct, packed = pickle.loads(t.column("counts")[own].as_py())
+        at = unpack_plain(raw[own].as_py(), count[own], np.int32)
+        words = unpack_sorted(packed, distinct)
+        known = np.zeros(distinct, np.int64)
+
+        def fill(out, which, keys_bucket, kind_of):
+            order = np.argsort(keys_bucket, kind="stable")
+            sorted_ = keys_bucket[order]
+            for i in np.flatnonzero(kind == which):
+                lo, hi = np.searchsorted(sorted_, [of[i], of[i] + 1])
+                out[order[lo:hi]] = unpack_plain(raw[int(i)].as_py(), count[i], kind_of)
+
+        fill(known, 1, (words >> np.uint64(64 - words_log)).astype(np.int64), np.int64)
+        start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+        hashes = words[at]
+        keys, where = np.unique(triples(hashes, start, before), return_inverse=True)
+        p = np.zeros(len(keys), np.float32)
+        fill(p, 2, shape.bucket(keys), np.float32)
+        c = known[at]
+        in_class = np.log10(np.maximum(known, 1) / np.maximum(seen[symbol(words)], 1))[at]
+        log_p = np.where(c > 0, math.log10(1 - unseen) + p[where] + in_class, math.log10(unseen))
+        add = lambda x: np.add.reduceat(x, start)
+        chunk = t.column("chunk")[0].as_py() >> 24
+        return pa.table([pa.array([(chunk << 40) + r for r in rows], pa.int64()), pa.array(ids, schema_id), pa.array(size), pa.array(add((c > 0).astype(np.int64))), pa.array(add(np.log10(c + 0.1))), pa.array(add(log_p))], ["row", "id", "n_tokens", "n_known", "base", "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema_id = to_arrow_type(texts.schema["id"].dataType)
+    posted = texts.mapInArrow(post, fields)
+    answered = posted.groupBy("kind", "bucket").applyInArrow(answer, fields)
+    parts = answered.groupBy("chunk").applyInArrow(add_up, f"row long, id {id_type}, n_tokens long, n_known long, base double, score double")
+    out = parts.groupBy("row").agg(F.first("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score")
 
 
 def judge(docs: DataFrame, stash: Stash, id_col: str = "doc_id") -> DataFrame:
     """Learns from nine of ten folds of ids and scores every document."""
     held = crc_fold(id_col, 10) == 0
-    return score(docs, ~held, stash, id_col).select(id_col, held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, ~held, id_col).select(id_col, held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
