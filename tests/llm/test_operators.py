@@ -46,9 +46,63 @@ def test_components_and_without_ids(spark):
     assert {r["doc_id"] for r in left.collect()} == {1, 2, 4, 5, 7, 8, 9, None}
 
 
+def test_long_words_and_texts_hash_alike(monkeypatch):
+    from terrane.llm import common
+
+    text = b"ab " + b"x" * 50 + b" ab\tAB " + b"x" * 50 + b" y"
+    off = np.array([0, len(text)])
+    h, row = common.word_hashes(np.frombuffer(text, np.uint8), off)
+    monkeypatch.setattr(common, "SPAN", 16)
+    monkeypatch.setattr(common, "_powers", {})
+    again, _ = common.word_hashes(np.frombuffer(text, np.uint8), off)
+    assert (h == again).all() and len(set(h.tolist())) == 3 and (row == 0).all()
+
+
+def test_operators_read_long_texts_in_spans(monkeypatch):
+    from terrane.llm import op4_toxicity as tox
+    from terrane.llm import op7_langid as lang
+
+    rng = np.random.default_rng(0)
+    data = rng.integers(97, 105, 5000).astype(np.uint8)
+    off = np.array([0, len(data)])
+    w = rng.normal(size=(lang.BUCKETS, 3)).astype(np.float32)
+    x, s = lang.features(data, off), lang.scores(data, off, w)
+    key = np.sort(tox.grams(data, off)[0])
+    terms = np.unique(key)[::3] * np.uint64(4)
+    counts = tox.Vocabulary(terms).counts(data, off)
+    levels = tox._levels(tox.gram_spans(data, off))
+    monkeypatch.setattr(lang, "SPAN", 700)
+    monkeypatch.setattr(tox, "SPAN", 700)
+    assert np.allclose(lang.features(data, off), x, atol=1e-6) and np.allclose(lang.scores(data, off, w), s)
+    assert (np.sort(np.concatenate([k for k, _ in tox.gram_spans(data, off)])) == key).all()
+    assert all((a == b).all() for a, b in zip(tox.Vocabulary(terms).counts(data, off), counts))
+    assert (np.sort(tox._levels(tox.gram_spans(data, off))[0]) == np.sort(levels[0])).all()
+
+
+def test_bounded_memory_on_a_text_of_20_mb():
+    import tracemalloc
+
+    from terrane.llm import op7_langid as lang
+
+    data = np.random.default_rng(0).integers(32, 123, 20_000_000).astype(np.uint8)
+    tracemalloc.start()
+    lang.scores(data, np.array([0, len(data)]), np.ones((lang.BUCKETS, 8), np.float32))
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 # 1
 
 
+def test_longest_rule_wins_whatever_the_host(spark):
+    from terrane.llm.op1_urlfilter import judge
+
+    rules = [("block", "example.com", "/private/docs/"), ("allow", "www.example.com", "/")]
+    pages = spark.createDataFrame([(1, "http://www.example.com/private/docs/x"), (2, "http://www.example.com/a"), (3, "http://" + "a." * 60 + "www.example.com/" + "y" * 50_000)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge(pages, rules).collect()}
+    assert got == {1: ("example.com/private/docs/", "block"), 2: ("www.example.com/", "allow"), 3: ("www.example.com/", "allow")}
+
+
 def test_url_filter(spark):
     from terrane.llm.op1_urlfilter import judge
     from terrane.llm.queries import URL_RULES
@@ -127,6 +181,67 @@ def test_html_extraction(spark):
     assert extract(pages.limit(0), Stash(spark)).count() == 0
 
 
+def brute_templates(pages):
+    """host -> tokens of valid classes that occur once a page, by their literal occurrence vectors."""
+    from terrane.llm.op3_html import MIN_PAGES, MIN_SHARE, MIN_TOKENS, occurrences
+
+    out = {}
+    for host, contents in pages.items():
+        contents = sorted(set(contents))
+        each = [occurrences(x) for x in contents]
+        vectors, markup = collections.defaultdict(list), {}
+        for t in set().union(*each) if each else ():
+            vectors[tuple(o[t][0] if t in o else 0 for o in each)].append(t)
+            markup[t] = any(o[t][2] for o in each if t in o)
+        out[host] = {t for v, ts in vectors.items() if max(v) == 1 and sum(v) >= max(MIN_PAGES, MIN_SHARE * len(each)) and len(ts) >= MIN_TOKENS and any(markup[t] for t in ts) for t in ts}
+    return out
+
+
+def test_template_decides_where_no_element_does(spark):
+    from terrane.llm.op3_html import extract, host_of, main_text, templates
+
+    long_notice = "All of the material on these pages belongs to the people who made it and may be read but never sold by anyone at all"
+    page = "<html><body><div><p>Acme Daily Post</p></div><div><p>{}</p><p>{}</p></div><div><p>" + long_notice + "</p><p>Printed by Acme Press</p></div></body></html>"
+    made = {"a.example": [page.format(f"story {i} " * 12, f"more of {i * 7}") for i in range(9)], "b.example": ["<p>one</p>"] * 30 + ["<p>two</p>"]}
+    rows_ = [(i, f"http://{h}/{i}", x) for h, xs in made.items() for i, x in enumerate(xs, 100 * len(h) + ord(h[0]) * 1000)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract(pages, Stash(spark)).collect()}
+    first = rows_[0]
+    assert got[first[0]] == "story 0 " * 11 + "story 0\nmore of 0" and long_notice in main_text(first[2])
+    assert {got[r[0]] for r in rows_ if "b.example" in r[1]} == {"one", "two"}  # copies prove no template
+    want = brute_templates(made)
+    trees = {r["host"]: {t["token"] & (1 << 64) - 1 for t in r["tokens"]} for r in templates(pages.selectExpr("page_id AS id", "*").withColumn("host", host_of(pages["url"])), Stash(spark)).collect()}
+    assert trees == {h: t for h, t in want.items() if t} and len(trees) == 1
+
+
+def test_articles_keep_headings_that_recur(spark):
+    from terrane.llm.op3_html import extract
+
+    page = "<html><body><div>Top line</div><article><h1>Breaking News</h1><p>{}</p></article></body></html>"
+    pages = spark.createDataFrame([(i, "http://h.example/x", page.format(f"item {i % 7}")) for i in range(40)], "page_id long, url string, html string")
+    assert {r["text"] for r in extract(pages, Stash(spark)).collect()} == {f"Breaking News\nitem {i}" for i in range(7)}
+
+
+def test_classes_nest_in_gaps():
+    from terrane.llm.op3_html import Walk, nest
+
+    got = nest([(10, [(1.0, 11), (5.0, 12), (9.0, 13)]), (8, [(2.0, 21), (3.0, 22), (4.0, 23)]), (7, [(3.4, 31), (6.0, 32), (7.0, 33)]), (6, [(2.2, 41), (2.4, 42), (2.6, 43)])])
+    assert set(got) == {11, 12, 13, 21, 22, 23, 41, 42, 43}  # the third straddles a token of the first
+    covers = lambda *tokens: Walk(got).covers(list(tokens))
+    assert covers(21, 22) and not covers(22, 21) and not covers(23, 12) and not covers()
+    walk = Walk(got)
+    walk.tag(13)
+    assert not walk.covers([11, 12])  # what stands before a token that has been met is no template here
+
+
+def test_html_of_any_length_is_read_whole(spark):
+    from terrane.llm.op3_html import extract
+
+    text = "word " * 400_000 + "last"
+    pages = spark.createDataFrame([(1, "http://h/x", "<div>" * 3000 + f"<p>{text}</p>")], "page_id long, url string, html string")
+    assert extract(pages, Stash(spark)).first()["text"] == text
+
+
 def test_html_articles_of_the_table(spark):
     import html
 
@@ -344,22 +459,112 @@ def test_suffix_tree_edges(spark):
     assert (alone.train_tokens == 0).all() and (alone.base_score == 0).all()
 
 
+def brute_tree(texts, held):
+    """The suffix tree of the docstring with dictionaries: log10 of each text by the longest retained state."""
+    from terrane.llm.common import word_hashes
+    from terrane.llm.op8_suffix_tree import END, START, SYMBOLS, symbol
+
+    def symbols(t):
+        raw = (t or "").encode()
+        h, _ = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        h = np.append(h, END)
+        return h.tolist(), symbol(h).tolist()
+
+    start = int(symbol(START[None])[0])
+    docs_ = [symbols(t) for t in texts]
+    known, n0, n1, n2 = (collections.Counter() for _ in range(4))
+    for (h, s), out in zip(docs_, held):
+        if not out:
+            known.update(h)
+            n0.update(s)
+            full = [start, start, *s]
+            for a, b, c in zip(full, full[1:], full[2:]):
+                n1[b, c] += 1
+                n2[b, a, c] += 1
+    total = sum(known.values())
+    root = lambda w: (n0[w] + 0.5) / (total + 0.5 * SYMBOLS)
+    follow1, follow2 = collections.defaultdict(dict), collections.defaultdict(dict)
+    for (b, c), m in n1.items():
+        follow1[b][c] = m
+    for (b, a, c), m in n2.items():
+        follow2[b, a][c] = m
+
+    def gains(after, parent):
+        t = sum(after.values())
+        return sum(m * math.log(m / t / parent(w)) for w, m in after.items()) > 0.5 * len(after) * math.log(max(t, 2))
+
+    def smoothed(after, w, parent):
+        t = sum(after.values())
+        return (after.get(w, 0) + len(after) * parent(w)) / (t + len(after)) if t else parent(w)
+
+    plain1 = lambda b: lambda w: smoothed(follow1.get(b, {}), w, root)
+    states2 = {k for k, f in follow2.items() if gains(f, plain1(k[0]))}
+    states1 = {b for b, f in follow1.items() if gains(f, root)} | {b for b, _ in states2}
+    p1 = lambda b: plain1(b) if b in states1 else root
+    unseen = (sum(m == 1 for m in known.values()) + 1) / (total + 2)
+    out = []
+    for h, s in docs_:
+        full, x = [start, start, *s], 0.0
+        for a, b, c, word in zip(full, full[1:], full[2:], h):
+            p = smoothed(follow2[b, a], c, p1(b)) if (b, a) in states2 else p1(b)(c)
+            x += math.log10((1 - unseen) * p * known[word] / n0[c]) if known[word] else math.log10(unseen)
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [12_000_000, 3000])
+def test_suffix_tree_against_brute_force(spark, monkeypatch, chunk):
+    from pyspark.sql import functions as F
+
+    from terrane.llm import op8_suffix_tree as m
+
+    monkeypatch.setattr(m, "CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(120):
+        t = [str(rng.choice(words))]
+        while len(t) < 5 + i % 60:
+            t.append(words[(words.index(t[-1]) * 7 + int(rng.integers(0, 3))) % 60] if rng.random() < 0.8 else str(rng.choice(words)))
+        texts.append(" ".join(t))
+    texts += ["new things here", "", None, "W1 w7\tw49 w1\nw7", " ".join(["w5 w35 w5"] * 900)]
+    held = [i % 5 == 0 for i in range(len(texts))]
+    d = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(3)
+    out = m.score(d, F.col("doc_id") % 5 != 0, bucket=1 << 30).toPandas().set_index("doc_id").sort_index()
+    assert np.allclose(out.score, brute_tree([None if t is None else t.lower() for t in texts], held), atol=1e-3)
+    dealt = m.score(d, F.col("doc_id") % 5 != 0, bucket=40).toPandas().set_index("doc_id").sort_index()  # many buckets, hot symbols split
+    assert (dealt.n_known == out.n_known).all() and np.allclose(dealt.base_score, out.base_score)
+    assert abs(dealt.score.sum() / out.score.sum() - 1) < 0.15
+
+
+def test_suffix_tree_gains_on_held_out_texts(spark):
+    from terrane.llm.op8_suffix_tree import judge
+
+    out = judge(table(spark, "/root/testdata/sf0.01", "documents"), Stash(spark)).toPandas()
+    h = out[out.held_out]
+    assert (h.score.sum() - h.base_score.sum()) / h.n_tokens.sum() > 0.5
+
+
 def test_tree_is_a_distribution():
-    from terrane.llm.op8_suffix_tree import DEPTH, Tree, _grams
+    from terrane.llm.op8_suffix_tree import BITS, SYMBOLS, grow
 
     rng = np.random.default_rng(5)
-    words = [[bytes(rng.choice(list(b"abc"), 3)) for _ in range(40)] for _ in range(60)]
-    grams = _grams(words)
-    levels = []
-    for k in range(DEPTH + 1):
-        key, n = np.unique(grams & np.uint64((1 << (8 * (k + 1))) - 1), return_counts=True)
-        levels.append((key[n >= (2 if k else 1)], n[n >= (2 if k else 1)].astype(float)))
-    tree = Tree(levels)
-    assert len(tree.states.codes[tree.states.codes > 0]) > 3
-    for context in (b"\n\n\n\n\n", b"b ab ", b"zzzzz", b" abca"):
-        head = int.from_bytes(context, "big") << 8
-        p = 10 ** tree.score(np.array([head | s for s in range(256)], np.uint64))
-        assert math.isclose(p.sum(), 1, abs_tol=1e-5)
+    w = rng.integers(0, 50, 4000)
+    keys, counts = np.unique((w[1:-1] << (2 * BITS)) | (w[:-2] << BITS) | w[2:], return_counts=True)
+    root = (np.bincount(w, minlength=SYMBOLS) + 0.5) / (len(w) + 0.5 * SYMBOLS)
+    for head in (keys[5] >> BITS, (w[9] << BITS) | 999, (999 << BITS) | 7):  # a known context, a known suffix, none
+        asked = np.unique(np.concatenate([keys, (head << BITS) | np.arange(SYMBOLS)]))
+        n = np.zeros(len(asked))
+        n[np.searchsorted(asked, keys)] = counts
+        p = 10 ** grow(asked, n, root)
+        assert math.isclose(p[asked >> BITS == head].sum(), 1, abs_tol=1e-6)
+
+
+def test_packed_numbers_round_trip():
+    from terrane.llm.op8_suffix_tree import pack_plain, pack_sorted, unpack_plain, unpack_sorted
+
+    for x in (np.zeros(0, np.uint64), np.array([0, 1, 1 << 63, (1 << 64) - 1], np.uint64), np.sort(np.random.default_rng(1).integers(0, 1 << 60, 999)).astype(np.uint64)):
+        assert (unpack_sorted(pack_sorted(x), len(x)) == x).all() and (unpack_plain(pack_plain(x), len(x), np.uint64) == x).all()
 
 
 # 9
@@ -382,22 +587,38 @@ def brute_vectors(x, label, threshold=0.93):
         root = now
 
 
-@pytest.mark.parametrize("most", [2000, 60])
-def test_vectors_against_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize("dimension,target,most", [(16, 4000, 40_000), (8, 150, 40_000), (64, 150, 40_000), (16, 100, 60)])
+def test_vectors_against_brute_force(spark, monkeypatch, dimension, target, most):
     from terrane.llm import op9_vamana as m
 
     monkeypatch.setattr(m, "MOST", most)
-    monkeypatch.setattr(m, "TARGET", 100)
+    monkeypatch.setattr(m, "TARGET", target)
     rng = np.random.default_rng(2)
-    centre = rng.normal(size=(40, 16))
-    x = np.concatenate([rng.normal(size=(500, 16)), centre[rng.integers(0, 40, 400)] + 0.12 * rng.normal(size=(400, 16))])
+    centre = rng.normal(size=(60, dimension))
+    x = np.concatenate([rng.normal(size=(900, dimension)), centre[rng.integers(0, 60, 600)] + 0.12 * rng.normal(size=(600, dimension))])
     x = np.concatenate([x, x[:30]])
     label = np.arange(len(x)) % 3
-    label[900:930] = label[:30]
+    label[1500:1530] = label[:30]
     n, root = brute_vectors(x, label)
     out = m.near_vectors(vectors(spark, x, label), Stash(spark)).toPandas().set_index("vec_id").sort_index()
     assert out.n_links.sum() >= 0.99 * n.sum() and (out.n_links.values <= n).all() and n.sum() > 500
-    assert (out.component_id.values == root).mean() > 0.99 and (out.kept == (out.component_id == out.index)).all()
+    assert (out.component_id.values == root).mean() > 0.995 and (out.kept == (out.component_id == out.index)).all()
+    assert out.recall.nunique() == 1 and out.recall.iloc[0] >= 0.99
+
+
+def test_graph_search_compares_a_part_of_the_shard():
+    from terrane.llm.op9_vamana import Graph, all_pairs
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 32))
+    x = np.concatenate([x, x[:300] + 0.1 * rng.normal(size=(300, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = Graph(x.astype(np.float32)).grow()
+    built, g.compared = g.compared, 0
+    a, b = g.within(x, 0.93)
+    u, v = all_pairs(x, x, 0.93)
+    assert len(a) >= 0.99 * (u != v).sum() and g.compared < 0.35 * len(x) ** 2 and built < 0.35 * len(x) ** 2
+    assert max(map(len, g.lists())) <= 32
 
 
 def test_vector_edges(spark):
@@ -473,7 +694,8 @@ def test_pipeline(spark):
             assert {r["doc_id"] for r in out.collect()} == seen["mixing"]
     assert seen["language_id"] >= seen["exact_dedup"] >= seen["near_dedup"] >= seen["mixing"]
     pdf = table(spark, SF, "documents").toPandas()
-    assert seen["language_id"] == set(pdf.doc_id) and seen["exact_dedup"] == set(pdf.groupby("text").doc_id.max())
+    pdf = pdf[pdf.doc_id.isin(seen["language_id"])]
+    assert len(pdf) >= 195 and seen["exact_dedup"] == set(pdf.groupby("text").doc_id.max())
     kept = pdf[pdf.doc_id.isin(seen["exact_dedup"])]
     want = brute_near(kept.text.tolist(), kept.doc_id.tolist(), 5, 80)
     assert seen["near_dedup"] == {i for i, (_, r) in want.items() if i == r}
@@ -482,7 +704,17 @@ def test_pipeline(spark):
 def test_pipeline_edges(spark):
     import corpus_pipeline
 
-    for d in (edge_docs(spark), edge_docs(spark).limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
+    for d, kept in ((edge_docs(spark), {"language_id": {3, 4, 5, 6, 8, None}, "exact_dedup": {4, 5, 6, 8, None}, "near_dedup": {4, 5, 6, 8, None}}), (edge_docs(spark).limit(0), {})):
+        for name, stage in corpus_pipeline.STAGES:
             d = Stash(spark).put(stage(spark, d, SF), "x")
+            if kept and name in kept:
+                assert {r["doc_id"] for r in d.select("doc_id").collect()} == kept[name], name
         assert {"doc_id", "sequence_id"} <= set(d.columns)
+
+
+def test_language_stage_rejects_what_tells_no_language(spark):
+    from terrane.llm.op7_langid import accepted
+
+    d = table(spark, SF, "documents").unionByName(docs(spark, [(9_000_000, "4734663219866878 $$$ 40d78a45c418324758e099eb7cb89bc0f5fa9f62 zx### %% qq 7", None, "s"), (9_000_001, "123 456", None, "s")]))
+    kept = {r["doc_id"] for r in accepted(d).collect()}
+    assert not {9_000_001} & kept and len(kept) >= 195
