@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import haversine
-from .vector import connected
+from .vector import connected, ready_for_checkpoints
 
 #: Arcs of a network that may be broadcast.
 MOST_ARCS = 5_000_000
@@ -124,9 +124,56 @@ def degree_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """N08 weak components: (node_id, component) numbered by size, then by first node."""
     c = connected(nodes.select(F.col("node_id").alias("fid")), edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
-    size = c.groupBy("root").agg(F.count("*").alias("size"))
-    rank = size.withColumn("component", F.row_number().over(Window.orderBy(F.desc("size"), "root")) - 1)
-    return c.join(rank, "root").select(F.col("fid").alias("node_id"), "component", "size")
+    return _numbered_by_size(c.select(F.col("fid").alias("node_id"), "root"))
+
+
+def _numbered_by_size(c: DataFrame) -> DataFrame:
+    """(node_id, component, size) from (node_id, root): the largest first, then by first node."""
+    size = c.groupBy("root").agg(F.count("*").alias("size"), F.min("node_id").alias("first"))
+    rank = numbered(size.withColumn("at", F.struct((-F.col("size")).alias("n"), "first")), "at", "component")
+    return c.join(rank.select("root", "component", "size"), "root").select("node_id", F.col("component").cast("int").alias("component"), "size")
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """N08 strong components: (node_id, component, size), numbered by size, then by first node. Rounds of colouring on
+    tables: nodes that no arc of what is left enters or leaves are components of their own; of the others each takes the
+    least node that reaches it as its colour, and what the colour's own node reaches backwards inside the colour is one
+    component. All other nodes go on."""
+    ready_for_checkpoints(nodes.sparkSession)
+    left = nodes.select(F.col("node_id").alias("v")).checkpoint()
+    a = arcs(edges).select("u", "v").distinct().where("u <> v").checkpoint()
+    found = None
+
+    def spread(value: DataFrame, along: DataFrame) -> DataFrame:
+        """Least values along arcs (u, v) until nothing falls. value: (k, x)."""
+        while True:
+            low = along.join(value, along["u"] == value["k"]).groupBy(F.col("v").alias("j")).agg(F.min("x").alias("y"))
+            now = value.join(low, value["k"] == low["j"], "left").select("k", F.least("x", F.coalesce("y", "x")).alias("x"), (F.col("y") < F.col("x")).alias("fell")).checkpoint()
+            value = now.select("k", "x")
+            if now.where("fell").isEmpty():
+                return value
+
+    def add(part: DataFrame) -> None:
+        nonlocal found, left, a
+        found = part if found is None else found.unionByName(part)
+        left = left.join(part.select(F.col("node_id").alias("v")), "v", "left_anti").checkpoint()
+        inside = lambda df, c: df.join(left.select(F.col("v").alias("k")), F.col(c) == F.col("k"), "left_semi")
+        a = inside(inside(a, "u"), "v").checkpoint()
+
+    while not left.isEmpty():
+        ends = a.select(F.col("u").alias("v")).distinct().join(a.select("v").distinct(), "v", "left_semi")
+        alone = left.join(ends, "v", "left_anti").select(F.col("v").alias("node_id"), F.col("v").alias("root")).checkpoint()
+        if not alone.isEmpty():
+            add(alone)
+            continue
+        colour = spread(left.select(F.col("v").alias("k"), F.col("v").alias("x")), a)
+        of = lambda c, n: colour.select(F.col("k").alias(c), F.col("x").alias(n))
+        same = a.join(of("u", "xu"), "u").join(of("v", "xv"), "v").where("xu = xv").select(F.col("v").alias("u"), F.col("u").alias("v")).checkpoint()
+        back = spread(colour.select("k", F.when(F.col("k") == F.col("x"), 0).otherwise(1).alias("x")), same)
+        add(back.where("x = 0").join(of("k", "root"), "k").select(F.col("k").alias("node_id"), "root").checkpoint())
+    if found is None:
+        found = nodes.select("node_id", F.col("node_id").alias("root"))
+    return _numbered_by_size(found)
 
 
 def find_node(nodes: DataFrame, text: str) -> DataFrame:
@@ -185,10 +232,7 @@ def graph(nodes: DataFrame, edges: DataFrame, cost: str = "length") -> Graph:
 def distances(nodes: DataFrame, edges: DataFrame, source: int, cost: str = "length", limit: float | None = None, rounds: int = 10_000) -> DataFrame:
     """Least costs from one node for networks of any size: rounds of joins from the nodes that just improved."""
     spark = nodes.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-"))
+    ready_for_checkpoints(spark)
     a = arcs(edges, cost).persist()
     known = nodes.where(F.col("node_id") == source).select("node_id", F.lit(0.0).alias("d"))
     front = known
@@ -200,7 +244,7 @@ def distances(nodes: DataFrame, edges: DataFrame, source: int, cost: str = "leng
         if front.isEmpty():
             return known
         known = known.unionByName(front).groupBy("node_id").agg(F.min("d").alias("d")).checkpoint()
-    return known
+    raise RuntimeError(f"distances are not settled after {rounds} rounds")
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: int, target: int, cost: str = "length") -> DataFrame:

@@ -1,11 +1,14 @@
 """Vector operators over layers: DataFrames with a row number `fid`, attributes, and a geometry column `geom`.
 
 The first matching target in `fid` order wins everywhere, so matches are reduced by min_by, which aggregates partially.
-Theta joins become equi-joins on grid cells; a broadcast nested loop is used only for a target counted to be small.
+Theta joins become equi-joins on grid cells (Spark broadcasts the cells of a small side by its own measure of it); every
+row meets every target only for a target counted to have SMALL rows at most.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +19,10 @@ from ..functions.condition import compile_condition
 from ..functions.expression import compile_expression, names_in
 from ..functions.numbers import format_g, prefix_number
 
-#: Targets of at most so many rows are broadcast.
-SMALL = 10_000
+#: Targets of at most so many rows are compared with every row by a broadcast.
+SMALL = 64
+#: Cells of a nearest search hold so many targets on average.
+PER_CELL = 4
 FID, GEOM = "fid", "geom"
 
 
@@ -155,6 +160,11 @@ def query_distance(source: DataFrame, target: DataFrame, distance: float, invert
     if distance <= 0:
         raise ValueError("distance must be positive")
     near = lambda a, b: G.vertex_distance(a, b) <= distance
+    if _all_points(source) and _all_points(target):
+        def near(a, b):
+            p, q = G.at(G.vertices(a), 1), G.at(G.vertices(b), 1)
+            dx, dy = p["x"] - q["x"], p["y"] - q["y"]
+            return F.sqrt(dx * dx + dy * dy) <= distance
     wanted = ["id"] if "id" in target.columns else []
     pairs = candidate_pairs(source, target, near, "near", wanted, distance)
     id_ = F.coalesce(F.col("__t_id").cast("string"), F.lit("")) if wanted else F.lit("")
@@ -166,37 +176,60 @@ def query_distance(source: DataFrame, target: DataFrame, distance: float, invert
     return source.join(m, source[FID] == m["s"]).select(*source.columns, F.lit("distance").alias("_query_type"), F.col("m.id").alias("_target_id"), F.col("m.d").alias("_query_distance"))
 
 
+def _all_points(df: DataFrame) -> bool:
+    return df.where(F.size(G.vertices(F.col(GEOM))) != 1).isEmpty()
+
+
 def nearest(source: DataFrame, target: DataFrame, columns: Sequence[str] = (), but_self: bool = False) -> DataFrame:
-    """(s, m): the nearest target by vertex distance, ties to the lowest fid; m has d, t and the columns. Small targets
-    are broadcast. Otherwise both sides meet in grid cells whose size doubles from the mean spacing until every row has
-    a target within reach; rows that are settled leave the loop."""
-    s = source.select(F.col(FID).alias("s"), F.col(GEOM).alias("sg")).where(F.size(G.vertices(F.col("sg"))) > 0)
-    t = target.select(F.col(FID).alias("t"), F.col(GEOM).alias("tg"), *[F.col(c).alias(f"__t_{c}") for c in columns]).where(F.size(G.vertices(F.col("tg"))) > 0)
+    """(s, m): the nearest target by vertex distance, ties to the lowest fid; m has d, t and the columns. Targets lie in
+    grid cells by their vertices. A row looks into the cells within reach of its own box; what it finds within reach is
+    settled, and the others look again with twice the reach. Points are compared by plain arithmetic, and of targets
+    that are one point only the first few, as many as can matter, go on."""
+    vertex = lambda g: G.vertices(F.col(g))
+    s = source.select(F.col(FID).alias("s"), F.col(GEOM).alias("sg")).where(F.size(vertex("sg")) > 0)
+    t = target.select(F.col(FID).alias("t"), F.col(GEOM).alias("tg"), *[F.col(c).alias(f"__t_{c}") for c in columns]).where(F.size(vertex("tg")) > 0)
     other = F.col("s") != F.col("t") if but_self else F.lit(True)
+    points = _all_points(source.select(GEOM).where(F.size(G.vertices(F.col(GEOM))) > 0)) and _all_points(target.select(GEOM).where(F.size(G.vertices(F.col(GEOM))) > 0))
 
     def reduced(pairs: DataFrame) -> DataFrame:
-        best = F.struct(F.col("d"), F.col("t"), *[F.col(f"__t_{c}").alias(c) for c in columns])
-        return pairs.groupBy("s").agg(F.min_by(best, F.struct("d", "t")).alias("m"))
-
-    d = G.vertex_distance(F.col("sg"), F.col("tg"))
-    if is_small(target):
+        return pairs.groupBy("s").agg(F.min_by(F.struct(F.col("d"), F.col("t"), *[F.col(f"__t_{c}").alias(c) for c in columns]), F.struct("d", "t")).alias("m"))
+
+    if points:
+        at = lambda g, k: G.at(vertex(g), 1)[k]
+        s = s.select("s", at("sg", "x").alias("sx"), at("sg", "y").alias("sy"))
+        t = t.select("t", at("tg", "x").alias("tx"), at("tg", "y").alias("ty"), *[f"__t_{c}" for c in columns])
+        # A row needs the first target of a point, or, if that may be itself, the second.
+        few = Window.partitionBy("tx", "ty").orderBy("t")
+        t = t.withColumn("__k", F.row_number().over(few)).where(F.col("__k") <= (2 if but_self else 1)).drop("__k")
+        d = F.sqrt((F.col("sx") - F.col("tx")) * (F.col("sx") - F.col("tx")) + (F.col("sy") - F.col("ty")) * (F.col("sy") - F.col("ty")))
+        box_s, box_t = (("sx", "sy", "sx", "sy"), ("tx", "ty", "tx", "ty"))
+    else:
+        d = G.vertex_distance(F.col("sg"), F.col("tg"))
+        s, t = with_bounds(s, "sg", "__s"), with_bounds(t, "tg", "__t")
+        box_s, box_t = (tuple(f"__{k}{x}" for x in ("minx", "miny", "maxx", "maxy")) for k in "st")
+    t = t.persist()
+    extent = lambda df, box: df.agg(F.min(box[0]).alias("x0"), F.min(box[1]).alias("y0"), F.max(box[2]).alias("x1"), F.max(box[3]).alias("y1"), F.count("*").alias("n")).first()
+    b = extent(t, box_t)
+    if b["n"] <= SMALL:
         return reduced(s.join(F.broadcast(t), other).withColumn("d", d))
-    b = with_bounds(t, "tg").agg(F.min("__minx").alias("x0"), F.max("__maxx").alias("x1"), F.min("__miny").alias("y0"), F.max("__maxy").alias("y1"), F.count("*").alias("n")).first()
-    bs = with_bounds(s, "sg").agg(F.min("__minx").alias("x0"), F.max("__maxx").alias("x1"), F.min("__miny").alias("y0"), F.max("__maxy").alias("y1")).first()
+    bs = extent(s, box_s)
     if bs["x0"] is None:
         return reduced(s.join(t, F.lit(False)).withColumn("d", d))
-    extent = max(max(b["x1"], bs["x1"]) - min(b["x0"], bs["x0"]), max(b["y1"], bs["y1"]) - min(b["y0"], bs["y0"]), 1e-9)
-    reach = max(extent / max(1.0, b["n"] ** 0.5), 1e-9)
+    side = max(b["x1"] - b["x0"], b["y1"] - b["y0"], 1e-9)
+    whole = max(max(b["x1"], bs["x1"]) - min(b["x0"], bs["x0"]), max(b["y1"], bs["y1"]) - min(b["y0"], bs["y0"]), 1e-9)
+    reach = max(side * (PER_CELL / b["n"]) ** 0.5, 1e-9)
     settled, left = None, s
     while True:
         size = reach
-        wide = with_bounds(left, "sg").withColumn("cell", F.explode(_covered(F.col("__minx") - reach, F.col("__miny") - reach, F.col("__maxx") + reach, F.col("__maxy") + reach, size))).drop("__minx", "__miny", "__maxx", "__maxy")
-        keyed = t.withColumn("cell", F.explode(F.array_distinct(F.transform(G.vertices(F.col("tg")), lambda v: F.struct(F.floor(v["x"] / size).alias("cx"), F.floor(v["y"] / size).alias("cy"))))))
-        got = reduced(wide.join(keyed, "cell").where(other).withColumn("d", d).where(F.col("d") <= reach))
+        cells = _covered(*[F.col(c) + k * reach for c, k in zip(box_s, (-1, -1, 1, 1))], size)
+        wide = left.withColumn("cell", F.explode(cells))
+        own = F.array(F.struct(F.floor(F.col("tx") / size).alias("cx"), F.floor(F.col("ty") / size).alias("cy"))) if points else F.array_distinct(F.transform(vertex("tg"), lambda v: F.struct(F.floor(v["x"] / size).alias("cx"), F.floor(v["y"] / size).alias("cy"))))
+        got = reduced(wide.join(t.withColumn("cell", F.explode(own)), "cell").where(other).withColumn("d", d).where(F.col("d") <= reach))
+        if reach > 2 * whole:
+            return got if settled is None else settled.unionByName(got)
+        got = got.persist()
         settled = got if settled is None else settled.unionByName(got)
-        if reach > 2 * extent:
-            return settled
-        left = left.join(got, "s", "left_anti").persist()
+        left = left.join(got.select("s"), "s", "left_anti").persist()
         if left.isEmpty():
             return settled
         reach *= 2
@@ -315,15 +348,24 @@ def dissolve(df: DataFrame, by: str | None = None) -> DataFrame:
     return out
 
 
+def ready_for_checkpoints(spark) -> None:
+    """A cluster names its shared folder in spark.checkpoint.dir; a local session gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if spark.sparkContext.getCheckpointDir():
+        return
+    if not named:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="terrane-")
+    spark.sparkContext.setCheckpointDir(named)
+
+
 def connected(df: DataFrame, edges: DataFrame) -> DataFrame:
     """(fid, root): components of fid pairs (a, b) by label spreading with pointer jumping; labels only fall."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     label = df.select(F.col(FID).alias("v"), F.col(FID).alias("root"))
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-"))
+    ready_for_checkpoints(spark)
     both = both.checkpoint()
     label = label.checkpoint()
     while True:
