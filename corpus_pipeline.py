@@ -6,9 +6,11 @@ columns of documents. Between stages the table is written as Parquet in the shar
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm.common import Stash, table
+from terrane.llm.common import Stash, give_back, table
 from terrane.llm.op2_mixing import sampled
 from terrane.llm.op5_exact_dedup import first_copies
 from terrane.llm.op6_minhash import first_of_groups
@@ -16,29 +18,50 @@ from terrane.llm.op7_langid import accepted
 from terrane.llm.op10_packing import pack
 
 
+def stage(work):
+    """Every stage begins by returning what the driver no longer needs."""
+    @functools.wraps(work)
+    def begun(spark, docs, sf_dir):
+        give_back(spark)
+        return work(spark, docs, sf_dir)
+
+    return begun
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accepted(docs)
 
 
+@stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return first_copies(docs, Stash(spark), keep="max")
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return first_of_groups(docs, Stash(spark), words=5, percent=80)
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sampled(docs, Stash(spark))
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(docs, Stash(spark), public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
 #: SQL can express neither the language machines nor the packing plan.
 ORACLE_SQL = None
@@ -46,6 +69,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, stash = table(spark, sf_dir, "documents"), Stash(spark)
-    for name, stage in STAGES[:-1]:
-        docs = stash.put(stage(spark, docs, sf_dir), name)
+    for name, work in STAGES[:-1]:
+        docs = stash.put(work(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
