@@ -11,7 +11,9 @@ probabilities of all tokens after any context add up to one.
 
 Nothing holds the tree as a whole. Texts are read in chunks of bounded size. A chunk posts its distinct tokens and its
 distinct (context, symbol) triples, sorted and packed, with their counts in training, to buckets; a bucket adds up what
-all chunks post, grows its part of the tree, and answers each chunk with the values of just what it posted. So what is
+all chunks post, grows its part of the tree, and answers each chunk with the values of just what it posted. A second
+pass over the texts brings each chunk's tokens to its answers; chunks are known by what they hold, so texts that come in
+another order the second time (no files, and no written table) are an error and never a wrong score. So what is
 shuffled follows the distinct triples of chunks and the tree grows with the corpus, at any size. A bucket takes a range
 of the last context symbol, so states, parents and their tests lie in one bucket; buckets follow the number of tokens.
 A symbol with more tokens than a bucket should have is split by the symbol before it into groups, each of which then
@@ -253,32 +255,41 @@ def score(docs: DataFrame, train_where, id_col: str = "doc_id", text_col: str =
     arrow = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
     fields = "chunk long, kind int, bucket long, n long, keys binary, counts binary"
 
-    def post(batches):
-        """Kind 0: the chunk's tokens; 1: its distinct tokens; 2: its distinct triples."""
+    def chunks(batches):
+        """(number of the chunk, the chunk). The number comes from what the chunk holds: both passes over the texts must
+        cut them alike, or their chunks do not meet."""
+        import xxhash
+
+        for rows, ids, held, hashes, start, before in _chunks(batches):
+            digest = xxhash.xxh64(hashes.tobytes())
+            digest.update(start.tobytes() + held.tobytes() + before.tobytes())
+            yield np.uint64(digest.intdigest()).astype(np.int64).item(), (rows, ids, held, hashes, start, before)
+
+    def tell(batches):
+        """Kind 0: the chunk's tokens, as places in its sorted distinct ones."""
         import pickle
 
         from pyspark import TaskContext
 
-        shape = shared.value[0]
-        chunk = TaskContext.get().partitionId() << 24
-        for rows, ids, held, hashes, start, before in _chunks(batches):
-            size = np.diff(np.append(start, len(hashes)))
-            train = np.repeat(~held, size)
+        part = TaskContext.get().partitionId()
+        for chunk, (rows, ids, held, hashes, start, before) in chunks(batches):
             keys, at = np.unique(hashes, return_inverse=True)
-            out = [{"chunk": chunk, "kind": 0, "bucket": -1 - chunk, "n": len(hashes), "keys": pack_plain(at.astype(np.int32)), "counts": pickle.dumps((rows, ids, size, before, len(keys), pack_sorted(keys)))}]
-            n = np.bincount(at, train, len(keys)).astype(np.int64)
-            out += [{"chunk": chunk, "kind": 1, "bucket": b, "n": len(k), "keys": pack_sorted(k), "counts": pack_plain(c)} for b, k, c in _dealt(keys, n, (keys >> np.uint64(64 - words_log)).astype(np.int64))]
-            keys, at = np.unique(triples(hashes, start, before), return_inverse=True)
-            n = np.bincount(at, train, len(keys)).astype(np.int64)
-            out += [{"chunk": chunk, "kind": 2, "bucket": b, "n": len(k), "keys": pack_sorted(k), "counts": pack_plain(c)} for b, k, c in _dealt(keys, n, shape.bucket(keys))]
-            for x in out:
-                yield pa.RecordBatch.from_pylist([x], arrow)
-            chunk += 1
+            own = pickle.dumps((part, rows, ids, np.diff(np.append(start, len(hashes))), before, len(keys), pack_sorted(keys)))
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": 0, "bucket": 0, "n": len(hashes), "keys": pack_plain(at.astype(np.int32)), "counts": own}], arrow)
+
+    def post(batches):
+        """Kind 1: the chunk's distinct tokens; 2: its distinct triples; with their counts in training."""
+        shape = shared.value[0]
+        for chunk, (rows, ids, held, hashes, start, before) in chunks(batches):
+            train = np.repeat(~held, np.diff(np.append(start, len(hashes))))
+            for kind in (1, 2):
+                keys, at = np.unique(hashes if kind == 1 else triples(hashes, start, before), return_inverse=True)
+                n = np.bincount(at, train, len(keys)).astype(np.int64)
+                for b, k, c in _dealt(keys, n, (keys >> np.uint64(64 - words_log)).astype(np.int64) if kind == 1 else shape.bucket(keys)):
+                    yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": kind, "bucket": b, "n": len(k), "keys": pack_sorted(k), "counts": pack_plain(c)}], arrow)
 
     def answer(key, t):
         """Each chunk's distinct tokens get their counts in training, its triples their log probabilities."""
-        if key[0].as_py() == 0:
-            return t
         n, chunk = t.column("n").to_pylist(), t.column("chunk")
         keys = np.concatenate([unpack_sorted(x, m) for x, m in zip(t.column("keys").to_pylist(), n)])
         counts = np.concatenate([unpack_plain(x, m, np.int64) for x, m in zip(t.column("counts").to_pylist(), n)])
@@ -297,9 +308,12 @@ def score(docs: DataFrame, train_where, id_col: str = "doc_id", text_col: str =
         shape, seen = shared.value
         kind, of = np.asarray(t.column("kind")), np.asarray(t.column("bucket"))
         raw, count = t.column("keys"), t.column("n").to_pylist()
-        own = int(np.flatnonzero(kind == 0)[0])
-        rows, ids, size, before, distinct, packed = pickle.loads(t.column("counts")[own].as_py())
-        at = unpack_plain(raw[own].as_py(), count[own], np.int32)
+        told = np.flatnonzero(kind == 0).tolist()
+        if not told or not (kind == 2).any():
+            raise RuntimeError("the texts came in another order than before; write them to a table first")
+        own = [pickle.loads(t.column("counts")[i].as_py()) for i in told]  # chunks of the same texts have one number
+        *_, size, before, distinct, packed = own[0]
+        at = unpack_plain(raw[told[0]].as_py(), count[told[0]], np.int32)
         words = unpack_sorted(packed, distinct)
         known = np.zeros(distinct, np.int64)
 
@@ -320,15 +334,17 @@ def score(docs: DataFrame, train_where, id_col: str = "doc_id", text_col: str =
         in_class = np.log10(np.maximum(known, 1) / np.maximum(seen[symbol(words)], 1))[at]
         log_p = np.where(c > 0, math.log10(1 - unseen) + p[where] + in_class, math.log10(unseen))
         add = lambda x: np.add.reduceat(x, start)
-        chunk = t.column("chunk")[0].as_py() >> 24
-        return pa.table([pa.array([(chunk << 40) + r for r in rows], pa.int64()), pa.array(ids, schema_id), pa.array(size), pa.array(add((c > 0).astype(np.int64))), pa.array(add(np.log10(c + 0.1))), pa.array(add(log_p))], ["row", "id", "n_tokens", "n_known", "base", "score"])
+        sums = [pa.array(size), pa.array(add((c > 0).astype(np.int64))), pa.array(add(np.log10(c + 0.1))), pa.array(add(log_p))]
+        return pa.concat_tables([
+            pa.table([pa.array([(part << 40) + r for r in rows], pa.int64()), pa.array(ids, schema_id), *sums], ["row", "id", "n_tokens", "n_known", "base", "score"])
+            for part, rows, ids, *_ in own
+        ])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema_id = to_arrow_type(texts.schema["id"].dataType)
-    posted = texts.mapInArrow(post, fields)
-    answered = posted.groupBy("kind", "bucket").applyInArrow(answer, fields)
-    parts = answered.groupBy("chunk").applyInArrow(add_up, f"row long, id {id_type}, n_tokens long, n_known long, base double, score double")
+    answered = texts.mapInArrow(post, fields).groupBy("kind", "bucket").applyInArrow(answer, fields)
+    parts = answered.unionByName(texts.mapInArrow(tell, fields)).groupBy("chunk").applyInArrow(add_up, f"row long, id {id_type}, n_tokens long, n_known long, base double, score double")
     out = parts.groupBy("row").agg(F.first("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score")
 
