@@ -117,3 +117,33 @@ def reproject(df: DataFrame, source: str, target: str, geom: str = "geom") -> Da
 
     g = F.col(geom)
     return df.withColumn(geom, F.struct(g["kind"].alias("kind"), F.transform(g["parts"], lambda p: F.transform(p, move)).alias("parts")))
+
+
+# Codes and words of systems in degrees.
+GEOGRAPHIC_CODES = (4326, 4269, 4258, 4283, 4617, 4674, 4019, 4322, 4167, 4230, 4267, 4979)
+GEOGRAPHIC_WORDS = ("wgs84", "wgs 84", "wgs_84", "longlat", "lonlat", "latlon", "geographic", "degree")
+
+
+def is_geographic(crs: Column) -> Column:
+    """Whether a reference system is in degrees, by its EPSG code if it has one, else by its words; null and empty
+    are not."""
+    name = F.lower(F.trim(F.coalesce(crs, F.lit(""))))
+    code = F.regexp_extract(name, r"epsg:\s*(\d+)", 1)
+    by_word = F.lit(False)
+    for word in GEOGRAPHIC_WORDS:
+        by_word = by_word | name.contains(word)
+    return F.when(name.contains("epsg:"), code.isin(*map(str, GEOGRAPHIC_CODES))).otherwise(by_word)
+
+
+def georeference(points: DataFrame) -> DataFrame:
+    """The least-squares line of each axis through control points (px, py, gx, gy) and its root mean square error, in
+    one row. Two points at least must differ in each axis; else the result is an error."""
+    fit = points.agg(
+        F.count("*").alias("n"), *[f.alias(f"{k}_{axis}") for axis in "xy" for k, f in (("slope", F.regr_slope(f"g{axis}", f"p{axis}")), ("intercept", F.regr_intercept(f"g{axis}", f"p{axis}")), ("syy", F.regr_syy(f"g{axis}", f"p{axis}")), ("sxy", F.regr_sxy(f"g{axis}", f"p{axis}")))]
+    )
+    rms = lambda axis: F.sqrt(F.greatest(F.col(f"syy_{axis}") - F.col(f"slope_{axis}") * F.col(f"sxy_{axis}"), F.lit(0.0)) / F.col("n"))
+    usable = (F.col("n") >= 2) & F.col("slope_x").isNotNull() & F.col("slope_y").isNotNull() & (F.abs("slope_x") >= 1e-12) & (F.abs("slope_y") >= 1e-12)
+    return fit.select(
+        F.when(usable, F.col("slope_x")).otherwise(F.raise_error(F.lit("control points do not determine both axes")).cast("double")).alias("slope_x"),
+        "intercept_x", "slope_y", "intercept_y", rms("x").alias("rms_x"), rms("y").alias("rms_y"), "n",
+    )

@@ -134,14 +134,65 @@ def _numbered_by_size(c: DataFrame) -> DataFrame:
     return c.join(rank.select("root", "component", "size"), "root").select("node_id", F.col("component").cast("int").alias("component"), "size")
 
 
+def _strong(t):
+    """(node_id, root) of the strong components of arcs (u, v); v is null for a node as such."""
+    import pyarrow as pa
+
+    u, v = t.column("u").to_pylist(), t.column("v").to_pylist()
+    out: dict = {}
+    for a, b in zip(u, v):
+        out.setdefault(a, [])
+        if b is not None:
+            out[a].append(b)
+    number: dict = {}
+    low: dict = {}
+    open_: list = []
+    held: set = set()
+    root: dict = {}
+    for first in sorted(out):
+        if first in number:
+            continue
+        walk = [(first, iter(out[first]))]
+        number[first] = low[first] = len(number)
+        open_.append(first)
+        held.add(first)
+        while walk:
+            a, rest = walk[-1]
+            for b in rest:
+                if b not in out:  # an arc to a node that is not listed
+                    continue
+                if b not in number:
+                    number[b] = low[b] = len(number)
+                    open_.append(b)
+                    held.add(b)
+                    walk.append((b, iter(out[b])))
+                    break
+                if b in held:
+                    low[a] = min(low[a], number[b])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[a])
+                if low[a] == number[a]:
+                    member = []
+                    while not member or member[-1] != a:
+                        member.append(open_.pop())
+                        held.discard(member[-1])
+                    root.update(dict.fromkeys(member, min(member)))
+    return pa.table([pa.array(list(root), pa.int64()), pa.array(list(root.values()), pa.int64())], ["node_id", "root"])
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """N08 strong components: (node_id, component, size), numbered by size, then by first node. Rounds of colouring on
-    tables: nodes that no arc of what is left enters or leaves are components of their own; of the others each takes the
+    """N08 strong components: (node_id, component, size), numbered by size, then by first node. A network of at most
+    MOST_ARCS arcs is gone through in one task, depth first; a larger one by rounds of colouring on tables: nodes that no arc of what is left enters or leaves are components of their own; of the others each takes the
     least node that reaches it as its colour, and what the colour's own node reaches backwards inside the colour is one
     component. All other nodes go on."""
     ready_for_checkpoints(nodes.sparkSession)
     left = nodes.select(F.col("node_id").alias("v")).checkpoint()
     a = arcs(edges).select("u", "v").distinct().where("u <> v").checkpoint()
+    if a.limit(MOST_ARCS + 1).count() <= MOST_ARCS and left.limit(MOST_ARCS + 1).count() <= MOST_ARCS:
+        both = a.select("u", "v").unionByName(left.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")))
+        return _numbered_by_size(both.select(F.lit(0).alias("all"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).groupBy("all").applyInArrow(_strong, "node_id long, root long"))
     found = None
 
     def spread(value: DataFrame, along: DataFrame) -> DataFrame:
@@ -381,6 +432,19 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return every
 
 
+def strong_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (severity, issue, element, id) if there are several strong components, id their number."""
+    n = strong_components(nodes, edges).agg((F.max("component") + 1).alias("n")).where("n > 1")
+    return n.select(F.lit("warning").alias("severity"), F.lit("NOT_STRONGLY_CONNECTED").alias("issue"), F.lit("network").alias("element"), F.col("n").cast("string").alias("id"))
+
+
+def limited(issues: DataFrame, most: int = 10) -> DataFrame:
+    """A report's first rows of each kind of issue, by element and id, with the number of all as `total`."""
+    w = Window.partitionBy("issue")
+    first = F.row_number().over(w.orderBy("element", F.length("id"), "id"))
+    return issues.withColumns({"__k": first, "total": F.count("*").over(w)}).where(F.col("__k") <= most).drop("__k")
+
+
 def cost_matrix(nodes: DataFrame, edges: DataFrame, stops: Sequence[int], cost: str = "length") -> np.ndarray:
     """Costs between stops, one search a stop, dealt to tasks."""
     g = graph(nodes, edges, cost)

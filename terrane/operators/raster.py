@@ -7,7 +7,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -146,6 +146,18 @@ def statistics(df: DataFrame, value: str, by: Sequence[str] = (), nodata: float
     return total.join(parts, list(by), "left") if by else total.crossJoin(parts)
 
 
+def statistics_by_zone(raster: "Raster", zones: DataFrame, zone: str = "fid") -> DataFrame:
+    """Statistics of the cells of each zone; what `zonal` (A03) gives, not the whole raster's for every zone."""
+    return zonal(raster, zones, zone)
+
+
+def counted(df: DataFrame, name: str, **conditions: Column) -> tuple[DataFrame, "Observation"]:
+    """Run counters. The rows pass by unchanged; once they have been used, `.get` of the observation has `rows` and
+    how many of them satisfy each condition, without a pass of its own."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in conditions.items()]), seen
+
+
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Equal bins over the range; the maximum falls in the last; empty bins stay."""
     spark = df.sparkSession

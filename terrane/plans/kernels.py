@@ -12,7 +12,7 @@ from ..operators import surfaces as S
 from ..operators import tin as T
 from ..operators import vector as O
 from ..functions import geometry as G
-from .layers import RASTER, SAMPLES, ZONES, all_samples, facilities, raster, samples, zones
+from .layers import PLOTS, RASTER, SAMPLES, ZONES, facilities, plots, raster, samples, table, zones
 from .paths import LINES, network, streets_as_lines
 
 QUERIES: dict[str, tuple] = {}
@@ -36,13 +36,6 @@ def surface(spark, sf) -> R.Raster:
     return R.Raster(a.header, a.df.select("r", "c", F.coalesce("v", F.lit(25.0)).alias("v")))
 
 
-def corner(spark, sf, rows: int = 40) -> R.Raster:
-    """The first rows of the surface, as the SQL of the queries that use it has them."""
-    a = surface(spark, sf)
-    h = R.Header(50, min(rows, a.header.nrows))
-    return R.Raster(h, a.df.where(F.col("r") < h.nrows))
-
-
 @query(None)
 def r11_fill(spark, sf):
     return S.fill(surface(spark, sf)).df
@@ -84,16 +77,19 @@ LEVELS = "(VALUES (10.5), (25.5), (40.5)) l(level)"
 
 
 @query(
-    f"WITH {RASTER}, z AS (SELECT r, c, coalesce(v, 25) AS v FROM ras WHERE r < least(40, nrows)), q AS (SELECT a.v AS a, b.v AS b, e.v AS e, d.v AS d FROM z a JOIN z b ON b.r = a.r AND b.c = a.c + 1 JOIN z e ON e.r = a.r + 1 AND e.c = a.c JOIN z d ON d.r = a.r + 1 AND d.c = a.c + 1), "
+    f"WITH {RASTER}, z AS (SELECT r, c, coalesce(v, 25) AS v FROM ras), q AS (SELECT a.v AS a, b.v AS b, e.v AS e, d.v AS d FROM z a JOIN z b ON b.r = a.r AND b.c = a.c + 1 JOIN z e ON e.r = a.r + 1 AND e.c = a.c JOIN z d ON d.r = a.r + 1 AND d.c = a.c + 1), "
     f"s AS (SELECT CAST(level AS DOUBLE) AS level, CAST(a >= level AS INT) AS a, CAST(b >= level AS INT) AS b, CAST(d >= level AS INT) AS d, CAST(e >= level AS INT) AS e FROM q, {LEVELS}) SELECT level, CAST(sum((abs(a - b) + abs(b - d) + abs(d - e) + abs(e - a)) // 2) AS BIGINT) AS segments FROM s GROUP BY 1"
 )
 def r08_contour_segments(spark, sf):
-    return S.contour_segments(corner(spark, sf), [10.5, 25.5, 40.5]).groupBy("level").agg(F.count("*").alias("segments"))
+    return S.contour_segments(surface(spark, sf), [10.5, 25.5, 40.5]).groupBy("level").agg(F.count("*").alias("segments"))
 
 
-@query(f"WITH {RASTER}, z AS (SELECT coalesce(v, 25) AS v FROM ras WHERE r < least(40, nrows)) SELECT CAST(v AS DOUBLE) AS value, count(*) AS cells FROM z GROUP BY 1")
+@query(
+    f"WITH RECURSIVE {RASTER}, z AS (SELECT r * 50 + c AS k, c, coalesce(v, 25) AS v FROM ras), n AS (SELECT a.k AS a, b.k AS b FROM z a JOIN z b ON a.v = b.v AND (b.k = a.k + 1 AND b.c > 0 OR b.k = a.k - 1 AND a.c > 0 OR abs(b.k - a.k) = 50)), "
+    "w(a, b) AS (SELECT k, k FROM z UNION SELECT w.a, n.b FROM w JOIN n ON n.a = w.b), l AS (SELECT a AS k, min(b) AS root FROM w GROUP BY 1) SELECT CAST(v AS DOUBLE) AS value, count(DISTINCT root) AS regions, count(*) AS cells FROM z JOIN l USING (k) GROUP BY 1"
+)
 def r08_regions(spark, sf):
-    return S.regions(corner(spark, sf)).groupBy("value").agg(F.sum("cell_count").alias("cells"))
+    return S.regions(surface(spark, sf)).groupBy("value").agg(F.count("*").alias("regions"), F.sum("cell_count").alias("cells"))
 
 
 @query(f"WITH {SAMPLES} SELECT count(DISTINCT (x, y)) AS nodes FROM smp")
@@ -103,22 +99,22 @@ def r18_tin_nodes(spark, sf):
 
 @query(None)
 def r18_tin_volume(spark, sf):
-    return T.volume(T.build(all_samples(spark, sf))[1], 10.0).select(*r6("cut", "fill", "area"))
+    return T.volume(T.build(samples(spark, sf))[1], 10.0).select(*r6("cut", "fill", "area"))
 
 
 @query(None)
 def r18_tin_terrain(spark, sf):
-    return T.terrain(T.build(all_samples(spark, sf))[1]).agg(F.round(F.sum("area"), 6).alias("area"), F.round(F.sum("surface_area"), 6).alias("surface_area"))
+    return T.terrain(T.build(samples(spark, sf))[1]).agg(F.round(F.sum("area"), 6).alias("area"), F.round(F.sum("surface_area"), 6).alias("surface_area"))
 
 
 @query(None)
 def r09_linear(spark, sf):
-    return T.interpolate_linear(all_samples(spark, sf), R.Header(20, 20, 0.0, 0.0, 5.0)).df.select("r", "c", *r6("v"))
+    return T.interpolate_linear(samples(spark, sf), R.Header(20, 20, 0.0, 0.0, 5.0)).df.select("r", "c", *r6("v"))
 
 
 @query(None)
 def r09_rbf(spark, sf):
-    return T.interpolate_rbf(all_samples(spark, sf), R.Header(20, 20, 0.0, 0.0, 5.0)).df.select("r", "c", F.round("v", 3).alias("v"))
+    return T.interpolate_rbf(samples(spark, sf), R.Header(20, 20, 0.0, 0.0, 5.0)).df.select("r", "c", F.round("v", 3).alias("v"))
 
 
 @query(None)
@@ -138,15 +134,15 @@ def _lines(spark, sf):
     return streets_as_lines(spark, sf).select("fid", G.linestring(F.col("vertices")).alias("geom"))
 
 
-@query(f"WITH {LINES} SELECT fid, CAST(CASE WHEN xs[1] = xs[3] AND ys[1] = ys[3] THEN 3 ELSE 2 END AS BIGINT) AS vertices FROM ln")
+@query(f"WITH {LINES}, d AS (SELECT fid, xs[3] - xs[1] AS dx, ys[3] - ys[1] AS dy, xs[2] - xs[1] AS px, ys[2] - ys[1] AS py FROM ln), t AS (SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN sqrt(px * px + py * py) ELSE abs(dx * py - dy * px) / sqrt(dx * dx + dy * dy) END AS far FROM d) SELECT fid, CAST(CASE WHEN far > 20 OR dx = 0 AND dy = 0 THEN 3 ELSE 2 END AS BIGINT) AS vertices FROM t")
 def v05_simplify(spark, sf):
-    out = P.simplify(_lines(spark, sf), 1e6)
+    out = P.simplify(_lines(spark, sf), 20.0)
     return out.select("fid", F.size(G.vertices(F.col("geom"))).cast("long").alias("vertices"))
 
 
-@query(f"WITH {ZONES} SELECT CAST(fid AS BIGINT) AS fid, 24e0 * 24 AS area FROM zones")
+@query(f"WITH {PLOTS} SELECT fid, CAST((w + 4) * (h + 4) AS DOUBLE) AS area FROM plots")
 def v03_buffer_polygons(spark, sf):
-    return O.measure(P.buffer(zones(spark, sf), 2.0)).select("fid", F.round("area", 4).alias("area"))
+    return O.measure(P.buffer(plots(spark, sf), 2.0)).select("fid", F.round("area", 4).alias("area"))
 
 
 @query(f"WITH {ZONES} SELECT CAST(fid AS BIGINT) AS fid, round(CAST(least(x0 + 20, 50) - greatest(x0, 10) AS DOUBLE) * (least(y0 + 20, 70) - greatest(y0, 5)), 6) AS area FROM zones WHERE least(x0 + 20, 50) > greatest(x0, 10) AND least(y0 + 20, 70) > greatest(y0, 5)")
@@ -161,16 +157,27 @@ def v04_clip_lines(spark, sf):
     return out.select("fid", F.round(length, 4).alias("length"))
 
 
-@query(f"WITH {ZONES} SELECT CAST(fid AS BIGINT) AS feature_id FROM zones WHERE fid < 0")
+def drawn(spark, sf):
+    """Rings of suppliers: a box the right way round, the wrong way round, with a vertex twice, not closed, or crossing
+    itself, in turn."""
+    k = F.col("s_suppkey")
+    x, y = k % 10 * 10, F.floor(k / 10) * 10
+    v = lambda a, b: G.vertex(x + a, y + b)
+    rings = [(v(0, 0), v(4, 0), v(4, 4), v(0, 4), v(0, 0)), (v(0, 0), v(0, 4), v(4, 4), v(4, 0), v(0, 0)), (v(0, 0), v(4, 0), v(4, 0), v(4, 4), v(0, 4), v(0, 0)), (v(0, 0), v(4, 0), v(4, 4), v(0, 4)), (v(0, 0), v(4, 4), v(4, 0), v(0, 4), v(0, 0))]
+    ring = F.array(*rings[0])
+    for i, r in enumerate(rings[1:], 1):
+        ring = F.when(k % 5 == i, F.array(*r)).otherwise(ring)
+    return table(spark, sf, "supplier").select(k.cast("long").alias("fid"), F.struct(F.lit("POLYGON").alias("kind"), F.array(ring).alias("parts")).alias("geom"))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS feature_id FROM supplier WHERE s_suppkey % 5 = 4")
 def v06_self_crossings(spark, sf):
-    return P.self_crossings(zones(spark, sf)).select("feature_id")
+    return P.self_crossings(drawn(spark, sf)).select("feature_id")
 
 
-@query(f"WITH {ZONES} SELECT CAST(fid AS BIGINT) AS feature_id, 'cw_orientation' AS issue FROM zones")
+@query("SELECT CAST(s_suppkey AS BIGINT) AS feature_id, CASE s_suppkey % 5 WHEN 1 THEN 'cw_orientation' WHEN 2 THEN 'duplicate_vertex' ELSE 'unclosed_ring' END AS issue FROM supplier WHERE s_suppkey % 5 IN (1, 2, 3)")
 def v06_validate(spark, sf):
-    g = F.col("geom")
-    turned = zones(spark, sf).withColumn("geom", F.struct(g["kind"].alias("kind"), F.transform(g["parts"], F.reverse).alias("parts")))
-    return O.validate(turned).select("feature_id", "issue")
+    return O.validate(drawn(spark, sf)).select("feature_id", "issue")
 
 
 @query(None)

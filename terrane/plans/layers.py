@@ -40,14 +40,17 @@ def raster(spark, sf, value: str = "p_size") -> Raster:
     return Raster(Header(50, int(rows)), t.select(F.floor(F.col("p_partkey") / 50).cast("int").alias("r"), (F.col("p_partkey") % 50).cast("int").alias("c"), v.alias("v")))
 
 
-def all_samples(spark, sf) -> DataFrame:
+def samples(spark, sf) -> DataFrame:
     t = table(spark, sf, "supplier")
     return t.select(F.col("s_suppkey").alias("fid"), (F.col("s_suppkey") * 53 % 100).cast("double").alias("x"), (F.col("s_suppkey") * 17 % 100).cast("double").alias("y"), (F.col("s_suppkey") % 50).cast("double").alias("z"))
 
 
-def samples(spark, sf) -> DataFrame:
-    """The rows that SAMPLES has, for queries with SQL."""
-    return all_samples(spark, sf).where("fid < 200")
+def plots(spark, sf) -> DataFrame:
+    """A box of its own size for each nation."""
+    t = table(spark, sf, "nation")
+    k = F.col("n_nationkey")
+    x, y = k % 5 * 20, F.floor(k / 5) * 20
+    return t.select(k.cast("long").alias("fid"), F.col("n_name").alias("name"), G.box(x, y, x + 1 + k % 7, y + 2 + k % 4).alias("geom"))
 
 
 # The same layers for SQL.
@@ -56,4 +59,5 @@ FACILITIES = "fac AS (SELECT s_suppkey AS fid, s_name AS name, s_nationkey AS na
 ZONES = "zones AS (SELECT n_nationkey AS fid, n_name AS name, n_regionkey AS region, 20 * (n_nationkey % 5) AS x0, 20 * (n_nationkey // 5) AS y0 FROM nation)"
 RASTER = "ras AS (SELECT p_partkey // 50 AS r, p_partkey % 50 AS c, CASE WHEN p_size % 17 <> 0 THEN CAST(p_size AS DOUBLE) END AS v, CASE WHEN p_size % 17 <> 0 THEN p_retailprice END AS w, max(p_partkey) OVER () // 50 + 1 AS nrows FROM part)"
 CELLS = RASTER + ", cells AS (SELECT *, c + 0.5 AS x, nrows - 1 - r + 0.5 AS y FROM ras)"
-SAMPLES = "smp AS (SELECT s_suppkey AS fid, CAST((s_suppkey * 53) % 100 AS DOUBLE) AS x, CAST((s_suppkey * 17) % 100 AS DOUBLE) AS y, CAST(s_suppkey % 50 AS DOUBLE) AS z FROM supplier WHERE s_suppkey < 200)"
+SAMPLES = "smp AS (SELECT s_suppkey AS fid, CAST((s_suppkey * 53) % 100 AS DOUBLE) AS x, CAST((s_suppkey * 17) % 100 AS DOUBLE) AS y, CAST(s_suppkey % 50 AS DOUBLE) AS z FROM supplier)"
+PLOTS = "plots AS (SELECT CAST(n_nationkey AS BIGINT) AS fid, 20 * (n_nationkey % 5) AS x0, 20 * (n_nationkey // 5) AS y0, 1 + n_nationkey % 7 AS w, 2 + n_nationkey % 4 AS h FROM nation)"

@@ -37,7 +37,7 @@ def route_vertices(spark, sf):
 
 
 def route_events(spark, sf):
-    t = table(spark, sf, "orders").where("o_orderkey % 20 = 0")
+    t = table(spark, sf, "orders")
     return t.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("route_id"), (F.col("o_orderkey") * 37 % 1000 + 3).cast("double").alias("x"), (F.col("o_orderkey") * 91 % 1000 + 4).cast("double").alias("y"), (F.col("o_orderkey") % 9 * 100).cast("double").alias("measure"))
 
 
@@ -47,7 +47,7 @@ ROUTES = (
     "v AS (SELECT route_id, seq, x, y, sum(step) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS m FROM s WHERE n >= 2), "
     "g AS (SELECT route_id, seq, x AS x0, y AS y0, m AS m0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(m) OVER w AS m1 FROM v WINDOW w AS (PARTITION BY route_id ORDER BY seq)), "
     "seg AS (SELECT * FROM g WHERE x1 IS NOT NULL), "
-    "ev AS (SELECT o_orderkey AS id, o_custkey AS route_id, CAST(o_orderkey * 37 % 1000 + 3 AS DOUBLE) AS ex, CAST(o_orderkey * 91 % 1000 + 4 AS DOUBLE) AS ey, CAST(o_orderkey % 9 * 100 AS DOUBLE) AS measure FROM orders WHERE o_orderkey % 20 = 0)"
+    "ev AS (SELECT o_orderkey AS id, o_custkey AS route_id, CAST(o_orderkey * 37 % 1000 + 3 AS DOUBLE) AS ex, CAST(o_orderkey * 91 % 1000 + 4 AS DOUBLE) AS ey, CAST(o_orderkey % 9 * 100 AS DOUBLE) AS measure FROM orders)"
 )
 
 
@@ -71,7 +71,7 @@ def l03_lrs_points(spark, sf):
     return L.points_at(L.create(route_vertices(spark, sf)), route_events(spark, sf).select("id", "route_id", "measure")).select("id", *r6("x", "y"))
 
 
-@query(f"WITH {ROUTES}, c AS (SELECT id, route_id, greatest(measure, 0) AS a, least(measure + 250, (SELECT max(m) FROM v WHERE v.route_id = ev.route_id)) AS b FROM ev), p AS (SELECT id, a, b, greatest(m0, a) AS u, least(m1, b) AS w, m0, m1, sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) AS l FROM c JOIN seg USING (route_id) WHERE a < b AND m1 > a AND m0 < b) SELECT id, round(sum((w - u) / (m1 - m0) * l), 6) AS length, count(*) + 1 AS vertices FROM p GROUP BY 1")
+@query(f"WITH {ROUTES}, c AS (SELECT id, route_id, greatest(measure, 0) AS a, least(measure + 250, (SELECT max(m) FROM v WHERE v.route_id = ev.route_id)) AS b FROM ev), p AS (SELECT id, a, b, greatest(m0, a) AS u, least(m1, b) AS w, m0, m1, sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) AS l FROM c JOIN seg USING (route_id) WHERE a < b AND m1 > a AND m0 < b) SELECT id, round(sum(CASE WHEN m1 > m0 THEN (w - u) / (m1 - m0) * l ELSE 0 END), 6) AS length, count(*) + 1 AS vertices FROM p GROUP BY 1")
 def l03_lrs_sublines(spark, sf):
     e = route_events(spark, sf).select("id", "route_id", F.col("measure").alias("from_measure"), (F.col("measure") + 250).alias("to_measure"))
     return L.sublines(L.create(route_vertices(spark, sf)), e).select("id", *r6("length"), F.size("vertices").cast("long").alias("vertices"))
@@ -166,11 +166,23 @@ def n10_service_area(spark, sf):
     return N.service_area(edges, d, 60.0).groupBy("edge_id").agg(F.round(F.sum(F.col("share_to") - F.col("share_from")), 6).alias("covered"))
 
 
-@query(f"WITH RECURSIVE {NETWORK}, c AS (SELECT s AS u, t AS v, length AS w FROM ed WHERE s % 50 < 8 AND t % 50 < 8 AND s < 200 AND t < 200 UNION ALL SELECT t, s, length FROM ed WHERE oneway = 0 AND s % 50 < 8 AND t % 50 < 8 AND s < 200 AND t < 200), p(v, d, hops) AS (SELECT 0, 0e0, 0 UNION SELECT c.v, d + w, hops + 1 FROM p JOIN c ON c.u = p.v WHERE d + w <= 90 AND hops < 14) SELECT CAST(v AS BIGINT) AS node_id, min(d) AS d FROM p GROUP BY 1")
+WALK = "c AS (SELECT s AS u, t AS v, length AS w FROM ed UNION ALL SELECT t, s, length FROM ed WHERE oneway = 0), p(v, d) AS (SELECT 0, 0e0 UNION SELECT c.v, d + w FROM p JOIN c ON c.u = p.v WHERE d + w <= 90), best AS (SELECT v, min(d) AS d FROM p GROUP BY 1)"
+
+
+@query(f"WITH RECURSIVE {NETWORK}, {WALK} SELECT CAST(v AS BIGINT) AS node_id, d FROM best")
 def n06_distances(spark, sf):
     nodes, edges = network(spark, sf)
-    near = lambda c: (F.col(c) % 50 < 8) & (F.col(c) < 200)
-    return N.distances(nodes, edges.where(near("source") & near("target")), 0, limit=90.0).select("node_id", "d")
+    return N.distances(nodes, edges, 0, limit=90.0).select("node_id", "d")
+
+
+@query(f"WITH RECURSIVE {NETWORK}, {WALK} SELECT 'reached' AS state, d AS total_cost FROM best WHERE v = 102")
+def n06_path_cost(spark, sf):
+    """The last row of a path has its whole cost; every step of it is an edge that goes that way."""
+    nodes, edges = network(spark, sf)
+    path = N.shortest_path(nodes, edges, 0, 102)
+    steps = path.join(N.arcs(edges), (F.col("from_node") == F.col("u")) & (F.col("to_node") == F.col("v"))).agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    whole = path.agg(F.max("total_cost").alias("total_cost"), F.count("*").alias("steps"))
+    return whole.crossJoin(steps).select(F.when((F.col("n") == F.col("steps")) & (F.abs(F.col("w") - F.col("total_cost")) < 1e-6), "reached").otherwise("broken").alias("state"), "total_cost")
 
 
 @query(None)
@@ -179,20 +191,51 @@ def n06_shortest_path(spark, sf):
     return N.shortest_path(nodes, edges, 0, 149)
 
 
-@query(f"WITH {NETWORK} SELECT node_id, CAST(0 AS INTEGER) AS component, (SELECT count(*) FROM nd) AS size FROM nd")
+@query(
+    f"WITH {NETWORK}, i AS (SELECT 'DUPLICATE_EDGE' AS issue, edge_id + 10000000 AS id FROM ed WHERE edge_id % 40 = 0 UNION ALL SELECT 'ZERO_LENGTH_EDGE', edge_id + 10000000 FROM ed WHERE edge_id % 40 = 0 UNION ALL SELECT 'SELF_LOOP', node_id + 20000000 FROM nd WHERE node_id % 100 = 7 UNION ALL SELECT 'BAD_COST', node_id + 20000000 FROM nd WHERE node_id % 100 = 7 "
+    "UNION ALL SELECT 'COINCIDENT_NODES', node_id + 30000000 FROM nd WHERE node_id < 3 UNION ALL SELECT 'ISOLATED_NODE', node_id + 30000000 FROM nd WHERE node_id < 3), k AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY id) AS k, count(*) OVER (PARTITION BY issue) AS total FROM i) SELECT issue, CAST(id AS VARCHAR) AS id, total FROM k WHERE k <= 10"
+)
+def t03_report_limit(spark, sf):
+    return N.limited(N.validate(*broken(spark, sf))).select("issue", "id", "total")
+
+
+def strips(spark, sf):
+    """The network without its roads from one strip of ten columns to the next."""
+    nodes, edges = network(spark, sf)
+    return nodes, edges.where("not (target = source + 1 and source % 10 = 9)")
+
+
+@query(f"WITH {NETWORK}, c AS (SELECT node_id % 50 // 10 AS strip, count(*) AS size, min(node_id) AS first FROM nd GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY size DESC, first) - 1 AS k FROM c) SELECT node_id, CAST(k AS INTEGER) AS component, size FROM nd JOIN r ON strip = node_id % 50 // 10")
 def n08_components(spark, sf):
+    return N.components(*strips(spark, sf))
+
+
+def rings(spark, sf):
+    """One-way rings of ten nodes, joined one way by the roads between them; the last ring may be open."""
     nodes, edges = network(spark, sf)
-    return N.components(nodes, edges)
+    along = edges.where("target = source + 1").withColumn("oneway", F.lit(1))
+    back = nodes.where("node_id % 10 = 9").select((F.col("node_id") + 40_000_000).alias("edge_id"), F.col("node_id").alias("source"), (F.col("node_id") - 9).alias("target"), F.lit(1.0).alias("length"), F.lit(1).alias("oneway"), F.lit(0.5).alias("travel_time"))
+    return nodes, along.unionByName(back)
+
+
+@query("WITH b AS (SELECT p_partkey AS node_id, count(*) OVER (PARTITION BY p_partkey // 10) = 10 AS closed FROM part), m AS (SELECT node_id, CASE WHEN closed THEN node_id // 10 * 10 ELSE node_id END AS root FROM b), c AS (SELECT root, count(*) AS size FROM m GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY size DESC, root) - 1 AS k FROM c) SELECT node_id, CAST(k AS INTEGER) AS component, size FROM m JOIN r USING (root)")
+def n08_strong_components(spark, sf):
+    return N.strong_components(*rings(spark, sf))
+
+
+@query("SELECT 'NOT_STRONGLY_CONNECTED' AS issue, CAST(1 + (count(*) - 1) // 10 AS VARCHAR) AS id FROM part HAVING count(*) > 10")
+def n12_not_strongly_connected(spark, sf):
+    return N.strong_issues(*rings(spark, sf)).select("issue", "id")
 
 
 def streets_as_lines(spark, sf):
-    t = table(spark, sf, "supplier").where("s_suppkey < 60")
+    t = table(spark, sf, "supplier")
     k = F.col("s_suppkey")
     v = lambda a, b: G.vertex(k * a % 97, k * b % 89)
     return t.select(k.alias("fid"), F.array(v(31, 17), v(57, 71), v(13, 43)).alias("vertices"))
 
 
-LINES = "ln AS (SELECT s_suppkey AS fid, [s_suppkey * 31 % 97, s_suppkey * 57 % 97, s_suppkey * 13 % 97] AS xs, [s_suppkey * 17 % 89, s_suppkey * 71 % 89, s_suppkey * 43 % 89] AS ys FROM supplier WHERE s_suppkey < 60), sg AS (SELECT fid, i, CAST(xs[i + 1] AS DOUBLE) AS px, CAST(ys[i + 1] AS DOUBLE) AS py, CAST(xs[i + 2] AS DOUBLE) AS qx, CAST(ys[i + 2] AS DOUBLE) AS qy FROM ln, range(2) t(i))"
+LINES = "ln AS (SELECT s_suppkey AS fid, [s_suppkey * 31 % 97, s_suppkey * 57 % 97, s_suppkey * 13 % 97] AS xs, [s_suppkey * 17 % 89, s_suppkey * 71 % 89, s_suppkey * 43 % 89] AS ys FROM supplier), sg AS (SELECT fid, i, CAST(xs[i + 1] AS DOUBLE) AS px, CAST(ys[i + 1] AS DOUBLE) AS py, CAST(xs[i + 2] AS DOUBLE) AS qx, CAST(ys[i + 2] AS DOUBLE) AS qy FROM ln, range(2) t(i))"
 
 
 @query(f"WITH {LINES}, d AS (SELECT a.fid AS a, a.i AS ai, b.fid AS b, b.i AS bi, a.px, a.py, a.qx, a.qy, (a.qx - a.px) * (b.py - a.py) - (a.qy - a.py) * (b.px - a.px) AS d1, (a.qx - a.px) * (b.qy - a.py) - (a.qy - a.py) * (b.qx - a.px) AS d2, (b.qx - b.px) * (a.py - b.py) - (b.qy - b.py) * (a.px - b.px) AS d3, (b.qx - b.px) * (a.qy - b.py) - (b.qy - b.py) * (a.qx - b.px) AS d4 FROM sg a JOIN sg b ON a.fid < b.fid) SELECT a, CAST(ai AS INTEGER) AS ai, b, CAST(bi AS INTEGER) AS bi, round(px + d3 / (d3 - d4) * (qx - px), 6) AS x, round(py + d3 / (d3 - d4) * (qy - py), 6) AS y FROM d WHERE d1 * d2 < 0 AND d3 * d4 < 0")
@@ -209,30 +252,20 @@ def n01_network_build(spark, sf):
 # Addresses: parts as street segments.
 
 
-def all_streets(spark, sf):
+def streets(spark, sf):
     t = table(spark, sf, "part")
     k, s = F.col("p_partkey"), F.col("p_size")
     x, y = k % 20 * 10, F.floor(k / 20) * 10
     return t.select(k.alias("row"), F.col("p_name").alias("name"), (s * 2).alias("left_from"), (s * 2 + 40).alias("left_to"), (s * 2 + 41).alias("right_from"), (s * 2 + 1).alias("right_to"), F.array(G.vertex(x, y), G.vertex(x + 4, y), G.vertex(x + 4, y + 4)).alias("vertices"))
 
 
-def streets(spark, sf):
-    """The rows that STREETS has, for queries with SQL."""
-    return all_streets(spark, sf).where("row < 200")
-
-
-def all_addresses(spark, sf):
+def addresses(spark, sf):
     t = table(spark, sf, "customer")
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_name")
     return t.join(p, F.col("c_custkey") % 150 == F.col("k")).select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 11 == 0, "x").otherwise((F.col("c_custkey") % 120).cast("string")).alias("house_number"), F.concat(F.upper("p_name"), F.when(F.col("c_custkey") % 7 == 0, " x").otherwise("")).alias("street_name"))
 
 
-def addresses(spark, sf):
-    """The rows that STREETS has as `ad`, for queries with SQL."""
-    return all_addresses(spark, sf).where("id < 300")
-
-
-STREETS = "st AS (SELECT p_partkey AS row, p_name AS name, p_size * 2 AS lf, p_size * 2 + 40 AS lt, p_size * 2 + 41 AS rf, p_size * 2 + 1 AS rt, p_partkey % 20 * 10 AS x0, p_partkey // 20 * 10 AS y0 FROM part WHERE p_partkey < 200), ad AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey % 120 END AS num, upper(p_name) || CASE WHEN c_custkey % 7 = 0 THEN ' x' ELSE '' END AS want FROM customer JOIN part ON c_custkey % 150 = p_partkey WHERE c_custkey < 300)"
+STREETS = "st AS (SELECT p_partkey AS row, p_name AS name, p_size * 2 AS lf, p_size * 2 + 40 AS lt, p_size * 2 + 41 AS rf, p_size * 2 + 1 AS rt, p_partkey % 20 * 10 AS x0, p_partkey // 20 * 10 AS y0 FROM part), ad AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey % 120 END AS num, upper(p_name) || CASE WHEN c_custkey % 7 = 0 THEN ' x' ELSE '' END AS want FROM customer JOIN part ON c_custkey % 150 = p_partkey)"
 
 
 @query(
@@ -245,16 +278,16 @@ def g01_geocode(spark, sf):
 
 @query(None)
 def g01_geocode_fuzzy(spark, sf):
-    return C.geocode(all_streets(spark, sf), all_addresses(spark, sf), fuzzy=True, tolerance=0.8).select("id", "status", "score", "street_segment", "side", *r6("measure"))
+    return C.geocode(streets(spark, sf), addresses(spark, sf), fuzzy=True, tolerance=0.8).select("id", "status", "score", "street_segment", "side", *r6("measure"))
 
 
 @query(
-    f"WITH {STREETS}, p AS (SELECT c_custkey AS id, CAST((c_custkey * 37) % 200 AS DOUBLE) AS x, CAST((c_custkey * 91) % 100 AS DOUBLE) AS y FROM customer WHERE c_custkey < 300), g AS (SELECT row, 0 AS i, x0 AS ax, y0 AS ay, x0 + 4 AS bx, y0 AS by_, 0 AS m FROM st UNION ALL SELECT row, 1, x0 + 4, y0, x0 + 4, y0 + 4, 4 FROM st), "
+    f"WITH {STREETS}, p AS (SELECT c_custkey AS id, CAST((c_custkey * 37) % 200 AS DOUBLE) AS x, CAST((c_custkey * 91) % 100 AS DOUBLE) AS y FROM customer), g AS (SELECT row, 0 AS i, x0 AS ax, y0 AS ay, x0 + 4 AS bx, y0 AS by_, 0 AS m FROM st UNION ALL SELECT row, 1, x0 + 4, y0, x0 + 4, y0 + 4, 4 FROM st), "
     "d AS (SELECT id, row, i, m, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / 16.0)) AS u, x, y, ax, ay, bx, by_ FROM p, g), e AS (SELECT id, row, i, m + u * 4 AS m, sqrt(power(x - ax - u * (bx - ax), 2) + power(y - ay - u * (by_ - ay), 2)) AS d, (bx - ax) * (y - ay) - (by_ - ay) * (x - ax) AS c FROM d), b AS (SELECT id, arg_min((row, m, c), (d, row, i)) AS b, min(d) AS d FROM e WHERE d <= 3 GROUP BY 1) "
     "SELECT p.id, CASE WHEN d IS NULL THEN 'not_found' ELSE 'found' END AS status, b[1] AS street_segment, round(d, 6) AS distance, CASE WHEN d IS NULL THEN NULL WHEN b[3] >= 0 THEN 'left' ELSE 'right' END AS side, CAST(CASE WHEN d IS NULL THEN NULL WHEN b[3] >= 0 THEN lf + 2 * least(20, floor(b[2] / 8.0 * 40 / 2 + 0.5)) ELSE rf - 2 * least(20, floor(b[2] / 8.0 * 40 / 2 + 0.5)) END AS BIGINT) AS number FROM p LEFT JOIN b USING (id) LEFT JOIN st ON st.row = b[1]"
 )
 def g02_reverse_geocode(spark, sf):
-    t = table(spark, sf, "customer").where("c_custkey < 300")
+    t = table(spark, sf, "customer")
     p = t.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 37 % 200).alias("x"), (F.col("c_custkey") * 91 % 100).alias("y"))
     return C.reverse_geocode(streets(spark, sf), p, 3.0).select("id", "status", "street_segment", *r6("distance"), "side", "number")
 
@@ -267,9 +300,9 @@ def g03_validate_streets(spark, sf):
     return C.validate_streets(streets(spark, sf))
 
 
-@query("SELECT p_partkey AS id, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') || ' Ave' AS street_name, CAST(p_size AS VARCHAR) AS house_number FROM part WHERE p_partkey < 500 AND p_size % 10 <> 0")
+@query("SELECT p_partkey AS id, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') || ' Ave' AS street_name, CAST(p_size AS VARCHAR) AS house_number FROM part WHERE p_size % 10 <> 0")
 def g04_clean_addresses(spark, sf):
-    t = table(spark, sf, "part").where("p_partkey < 500")
+    t = table(spark, sf, "part")
     a = t.select(F.col("p_partkey").alias("id"), F.concat(F.upper("p_name"), F.lit("  AVENUE.")).alias("street_name"), F.when(F.col("p_size") % 10 == 0, "s/n").otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit("A"))).alias("house_number"))
     return C.clean_addresses(a)[0].select("id", "street_name", "house_number")
 
@@ -317,3 +350,17 @@ def h05_reproject_round_trip(spark, sf):
 @query("SELECT p_partkey AS id, 1 - levenshtein(lower(p_name), 'almond antique burlywood') / CAST(greatest(length(p_name), 24) AS DOUBLE) AS similarity FROM part")
 def g01_name_similarity(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.similarity(T.normal_name(F.col("p_name")), F.lit("almond antique burlywood")).alias("similarity"))
+
+
+@query("WITH p AS (SELECT c_custkey % 1000 AS px, c_custkey * 7 % 800 AS py, 500000 + 2.5e0 * (c_custkey % 1000) + c_custkey % 3 AS gx, 1e6 - 2e0 * (c_custkey * 7 % 800) + c_custkey % 5 AS gy FROM customer), f AS (SELECT regr_slope(gx, px) AS a, regr_intercept(gx, px) AS b, regr_slope(gy, py) AS c, regr_intercept(gy, py) AS d, count(*) AS n FROM p) SELECT round(a, 6) AS slope_x, round(b, 3) AS intercept_x, round(c, 6) AS slope_y, round(d, 3) AS intercept_y, round(sqrt(avg(power(gx - a * px - b, 2))), 6) AS rms_x, round(sqrt(avg(power(gy - c * py - d, 2))), 6) AS rms_y FROM p, f GROUP BY a, b, c, d")
+def r19_georeference(spark, sf):
+    k = F.col("c_custkey")
+    points = table(spark, sf, "customer").select((k % 1000).alias("px"), (k * 7 % 800).alias("py"), (500000 + 2.5 * (k % 1000) + k % 3).alias("gx"), (1e6 - 2.0 * (k * 7 % 800) + k % 5).alias("gy"))
+    out = D.georeference(points)
+    return out.select(F.round("slope_x", 6).alias("slope_x"), F.round("intercept_x", 3).alias("intercept_x"), F.round("slope_y", 6).alias("slope_y"), F.round("intercept_y", 3).alias("intercept_y"), *r6("rms_x", "rms_y"))
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 IN (0, 3) THEN false ELSE true END AS geographic FROM nation")
+def h06_is_geographic(spark, sf):
+    names = F.array(*[F.lit(x) for x in ("EPSG:5367", "epsg: 4326".replace(" ", ""), " WGS 84 ", "", "+proj=longlat")])
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), D.is_geographic(F.element_at(names, (F.col("n_nationkey") % 5 + 1).cast("int"))).alias("geographic"))

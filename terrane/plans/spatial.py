@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import raster as R
 from ..operators import vector as O
-from .layers import CELLS, CUSTOMERS, FACILITIES, RASTER, SAMPLES, ZONES, customers, facilities, raster, samples, zones
+from .layers import CELLS, CUSTOMERS, FACILITIES, PLOTS, RASTER, SAMPLES, ZONES, customers, facilities, plots, raster, samples, zones
 
 QUERIES: dict[str, tuple] = {}
 
@@ -101,12 +101,12 @@ def j07_difference_distance(spark, sf):
 
 
 @query(
-    f"WITH {CUSTOMERS}, {ZONES}, e AS (SELECT * FROM zones WHERE fid % 2 = 0), m AS (SELECT DISTINCT p.fid FROM pts p JOIN e ON {IN.format(w=20)} WHERE p.fid % 3 = 0), "
-    "c AS (SELECT fid, x0, y0 FROM e), v AS (SELECT fid, unnest([x0, x0 + 20, x0 + 20, x0]) AS x, unnest([y0, y0, y0 + 20, y0 + 20]) AS y FROM c), h AS (SELECT DISTINCT v.fid FROM v JOIN pts p ON p.x = v.x AND p.y = v.y AND p.fid % 3 = 0) "
-    "SELECT fid, 'symmetric_left' AS _diff_type, CAST(fid AS VARCHAR) AS _source_id, '' AS _target_id FROM pts WHERE fid % 3 = 0 AND fid NOT IN (SELECT fid FROM m) UNION ALL SELECT fid, 'symmetric_right', '', CAST(fid AS VARCHAR) FROM e WHERE fid NOT IN (SELECT fid FROM h)"
+    f"WITH {CUSTOMERS}, {ZONES}, e AS (SELECT * FROM zones WHERE fid % 2 = 0), m AS (SELECT DISTINCT p.fid FROM pts p JOIN e ON {IN.format(w=20)} ), "
+    "c AS (SELECT fid, x0, y0 FROM e), v AS (SELECT fid, unnest([x0, x0 + 20, x0 + 20, x0]) AS x, unnest([y0, y0, y0 + 20, y0 + 20]) AS y FROM c), h AS (SELECT DISTINCT v.fid FROM v JOIN pts p ON p.x = v.x AND p.y = v.y) "
+    "SELECT fid, 'symmetric_left' AS _diff_type, CAST(fid AS VARCHAR) AS _source_id, '' AS _target_id FROM pts WHERE fid NOT IN (SELECT fid FROM m) UNION ALL SELECT fid, 'symmetric_right', '', CAST(fid AS VARCHAR) FROM e WHERE fid NOT IN (SELECT fid FROM h)"
 )
 def j08_symmetric_difference(spark, sf):
-    return O.symmetric_difference(customers(spark, sf).where("fid % 3 = 0"), even_zones(spark, sf, 20)).select("fid", "_diff_type", "_source_id", "_target_id")
+    return O.symmetric_difference(customers(spark, sf), even_zones(spark, sf, 20)).select("fid", "_diff_type", "_source_id", "_target_id")
 
 
 @query(f"WITH {CUSTOMERS}, {FACILITIES}, {NEAREST} SELECT fid, t AS nearest_id, round(dist, 6) AS nearest_distance FROM d WHERE k = 1")
@@ -162,9 +162,21 @@ def a05_dissolve_all(spark, sf):
     return O.dissolve(customers(spark, sf)).select("fid", "_union_count")
 
 
-@query(None)
+CHAINS = "ch AS (SELECT CAST(s_suppkey AS BIGINT) AS fid, s_suppkey % 10 * 4 + s_suppkey // 10 % 3 AS x0, s_suppkey // 10 * 10 AS y0, 3 + s_suppkey * 7 % 3 AS w FROM supplier)"
+
+
+def chains(spark, sf):
+    """Boxes in rows of ten, each wide enough to reach the next or not."""
+    from .layers import table
+
+    k = F.col("s_suppkey")
+    x, y, w = k % 10 * 4 + F.floor(k / 10) % 3, F.floor(k / 10) * 10, 3 + k * 7 % 3
+    return table(spark, sf, "supplier").select(k.cast("long").alias("fid"), G.box(x, y, x + w, y + 3).alias("geom"))
+
+
+@query(f"WITH {CHAINS}, l AS (SELECT *, CASE WHEN y0 = lag(y0) OVER o AND x0 <= max(x0 + w) OVER (PARTITION BY y0 ORDER BY x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM ch WINDOW o AS (ORDER BY y0, x0)), g AS (SELECT *, sum(new) OVER (ORDER BY y0, x0) AS g FROM l) SELECT min(fid) AS fid, CAST(max(g.g) OVER () AS VARCHAR) AS _union_group, count(*) AS _union_count FROM g GROUP BY g.g".replace("CAST(max(g.g) OVER () AS VARCHAR)", "(SELECT CAST(max(g) AS VARCHAR) FROM g)"))
 def a05_union_connected(spark, sf):
-    return O.union_connected(zones(spark, sf, 30)).select("fid", "_union_group", "_union_count")
+    return O.union_connected(chains(spark, sf)).select("fid", "_union_group", "_union_count")
 
 
 @query(f"WITH {CUSTOMERS}, v AS (SELECT CAST(x AS DOUBLE) AS v, row_number() OVER (ORDER BY x) - 1 AS k, count(*) OVER () AS n FROM pts WHERE x <> 0) SELECT (SELECT count(*) FROM v) AS count, (SELECT count(*) FROM pts) - (SELECT count(*) FROM v) AS nodata_count, (SELECT count(*) FROM pts) AS total_count, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, sum(v) AS sum, max(v) FILTER (k = n // 2) AS median, max(v) FILTER (k = n // 4) AS p25, max(v) FILTER (k = 3 * n // 4) AS p75 FROM v")
@@ -344,15 +356,15 @@ def a07_equal_interval(spark, sf):
     return _breaks(spark, R.breaks(customers(spark, sf), "acctbal", "equal_interval", 5))
 
 
-@query(f"WITH {ZONES} SELECT CAST(fid AS BIGINT) AS fid, 4e2 AS area, 8e1 AS perimeter, CAST(5 AS BIGINT) AS vertices FROM zones")
+@query(f"WITH {PLOTS} SELECT fid, CAST(w * h AS DOUBLE) AS area, CAST(2 * (w + h) AS DOUBLE) AS perimeter, CAST(5 AS BIGINT) AS vertices FROM plots")
 def v01_measures(spark, sf):
-    return O.measure(zones(spark, sf)).select("fid", *r6("area", "perimeter"), "vertices")
+    return O.measure(plots(spark, sf)).select("fid", *r6("area", "perimeter"), "vertices")
 
 
-@query(f"WITH {ZONES} SELECT CAST(fid AS BIGINT) AS fid, round(x0 + 1e1, 6) AS cx, round(y0 + 1e1, 6) AS cy FROM zones")
+@query(f"WITH {PLOTS} SELECT fid, round(x0 + w / 2e0, 6) AS cx, round(y0 + h / 2e0, 6) AS cy FROM plots")
 def v02_centroid(spark, sf):
     v = F.element_at(G.vertices(F.col("geom")), 1)
-    return O.centroids(zones(spark, sf)).select("fid", F.round(v["x"], 6).alias("cx"), F.round(v["y"], 6).alias("cy"))
+    return O.centroids(plots(spark, sf)).select("fid", F.round(v["x"], 6).alias("cx"), F.round(v["y"], 6).alias("cy"))
 
 
 @query(f"WITH {CUSTOMERS} SELECT fid, CAST(i AS INTEGER) AS k, round(x + 2.5 * cos(i * 2 * pi() / 8), 6) AS bx, round(y + 2.5 * sin(i * 2 * pi() / 8), 6) AS by_ FROM pts, range(9) t(i)")
