@@ -53,21 +53,6 @@ class Stash:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def give_back(spark: SparkSession) -> None:
-    """Returns what the driver's JVM has freed outside its heap (compilers, buffers) to the system; between stages of a
-    long run it would else keep some 200 MB of it. JVMs that can't do so are left as they are."""
-    jvm = spark.sparkContext._jvm
-    beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
-    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
-    if beans.isRegistered(command) and any(o.getName() == "systemTrimNativeHeap" for o in beans.getMBeanInfo(command).getOperations()):
-        text = jvm.java.lang.String
-        kinds = spark.sparkContext._gateway.new_array(text, 1)
-        kinds[0] = "[Ljava.lang.String;"
-        values = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 1)
-        values[0] = spark.sparkContext._gateway.new_array(text, 0)
-        beans.invoke(command, "systemTrimNativeHeap", values, kinds)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
