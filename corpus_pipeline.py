@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm.common import Stash, table
+from terrane.llm.common import Stash, small_batches, table
 from terrane.llm.op2_mixing import sampled
 from terrane.llm.op5_exact_dedup import first_copies
 from terrane.llm.op6_minhash import first_of_groups
@@ -17,6 +17,7 @@ from terrane.llm.op10_packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return accepted(docs)
 
 
@@ -25,6 +26,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return first_of_groups(docs, Stash(spark), words=5, percent=80)
 
 
@@ -35,6 +37,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     return pack(docs, Stash(spark), public_tokenizers.path("word_bpe_49k.json"))
 
 

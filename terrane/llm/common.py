@@ -53,6 +53,19 @@ class Stash:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of texts that go between the JVM and a Python worker at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session hand at most BATCH_ROWS rows at once to Python workers, unless it already hands fewer. Both sides
+    hold a batch and its buffers outside the heap, so whole texts in batches of the default size take hundreds of MB. The
+    setting must hold when a lazy result is computed, so it stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
