@@ -1,5 +1,5 @@
 """Linear referencing. A network is a table of vertices (route_id, seq, x, y, m) and one of routes (route_id, total_length,
-calibrated). Everything is windows over a route's vertices and joins by route."""
+calibrated). Operators are windows over a route's vertices and joins by route; two ways of merging events are folds."""
 
 from __future__ import annotations
 
@@ -103,8 +103,8 @@ def offset_line(vertices: Column, distance: Column) -> Column:
 
 def merge_events(events: DataFrame, mode: str = "both", by: tuple[str, ...] = ()) -> DataFrame:
     """Events of one route (and further keys) joined where they touch (concatenate), overlap (dissolve) or either.
-    For `both` islands come from a running maximum; the others fold a route's sorted events, as there an island depends
-    on the one before."""
+    For `both` islands come from a running maximum. In the others an island depends on the one before, so sorted events
+    are folded in one pass that holds a batch and one island, however many events a route has."""
     keys = ["route_id", *by]
     if mode == "both":
         w = Window.partitionBy(*keys).orderBy("from_measure", "to_measure", "id")
@@ -112,18 +112,39 @@ def merge_events(events: DataFrame, mode: str = "both", by: tuple[str, ...] = ()
         new = F.when(before.isNull() | (F.col("from_measure") > before + GAP), 1).otherwise(0)
         rows = events.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         return rows.groupBy(*keys, "island").agg(F.min("from_measure").alias("from_measure"), F.max("to_measure").alias("to_measure"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from_measure", "to_measure", "id"))), lambda e: e["id"].cast("string")), ";").alias("source_event")).drop("island")
-    item = F.struct(F.col("from_measure").cast("double").alias("a"), F.col("to_measure").cast("double").alias("b"), F.col("id").cast("string").alias("ids"))
-    rows = events.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("e"))
-
-    def fold(done: Column, e: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = F.abs(e["a"] - last["b"]) <= GAP if mode == "concatenate" else e["a"] < last["b"] - GAP
-        merged = F.struct(last["a"].alias("a"), F.greatest(last["b"], e["b"]).alias("b"), F.concat(last["ids"], F.lit(";"), e["ids"]).alias("ids"))
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(merged))
-        return F.when((F.size(done) > 0) & F.coalesce(joins, F.lit(False)), grown).otherwise(F.concat(done, F.array(e)))
-
-    empty = F.array().cast("array<struct<a: double, b: double, ids: string>>")
-    return rows.select(*keys, F.explode(F.aggregate("e", empty, fold)).alias("i")).select(*keys, F.col("i.a").alias("from_measure"), F.col("i.b").alias("to_measure"), F.col("i.ids").alias("source_event"))
+    names = [f"__k{i}" for i in range(len(keys))]  # extra columns may bear the names of the result
+    rows = events.select(*[F.col(c).alias(n) for c, n in zip(keys, names)], F.col("from_measure").cast("double").alias("a"), F.col("to_measure").cast("double").alias("b"), F.col("id").cast("string").alias("ids"))
+    rows = rows.repartition(*names).sortWithinPartitions(*names, "a", "b", "ids")
+    found = rows.mapInArrow(lambda batches: _islands(batches, len(keys), mode == "concatenate"), rows.schema)
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keys, names)], F.col("a").alias("from_measure"), F.col("b").alias("to_measure"), F.col("ids").alias("source_event"))
+
+
+def _islands(batches, keys: int, touching: bool):
+    """Islands of events (keys, a, b, ids) that come in order; batches end anywhere."""
+    import pyarrow as pa
+
+    key, low, high, ids, schema = None, None, None, [], None
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    for t in batches:
+        schema, out = t.schema, []
+        for row in zip(*[c.to_pylist() for c in t.columns]):
+            k, (a, b, i) = row[:keys], row[keys:]
+            joins = k == key and a is not None and high is not None and (abs(a - high) <= GAP if touching else a < high - GAP)
+            if joins:
+                high = max(high, b) if b is not None else high
+            else:
+                if key is not None:
+                    out.append((*key, low, high, ";".join(ids)))
+                key, low, high, ids = k, a, b, []
+            if i is not None:
+                ids.append(i)
+        if out:
+            yield batch(out)
+    if key is not None:
+        yield batch([(*key, low, high, ";".join(ids))])
 
 
 def calibrate(vertices: DataFrame, points: DataFrame, max_dist: float = 1.0) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.condition import parse_condition
 from ..functions.expression import compile_expression, names_in
-
+from .vector import SMALL
 
 
 @dataclass(frozen=True)
@@ -119,13 +119,24 @@ def reclass_by_table(raster: Raster, rules: DataFrame) -> Raster:
 # Statistics
 
 
-def ranked(df: DataFrame, value: str, by: Sequence[str] = (), salts: int = 64) -> DataFrame:
-    """Values with `rank` from 0 and `n` in each group, by counts per distinct value: the ranks of a value are known from
-    the counts below it, so a group of any size is ordered over its distinct values only."""
+def ranked(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Values with `first` and `last` rank from 0 and `n` in each group, by counts per distinct value: the ranks of a
+    value are known from the counts below it, so a group of any size is ordered over its distinct values only. Without
+    groups the distinct values are ordered in ranges between approximate percentiles, as many as the session has shuffle
+    partitions, and each range starts at the total of those below it; where the bounds lie changes no rank."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = F.sum("k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumns({"last": upto - 1, "first": upto - F.col("k"), "n": F.sum("k").over(w)})
+    if by:
+        w = Window.partitionBy(*by)
+        upto = F.sum("k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        return counts.withColumns({"last": upto - 1, "first": upto - F.col("k"), "n": F.sum("k").over(w)})
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = counts.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)]).alias("__bounds"))
+    dealt = counts.crossJoin(F.broadcast(bounds)).withColumn("__part", F.size(F.filter("__bounds", lambda b: b < F.col(value)))).drop("__bounds")
+    few = Window.orderBy("__part")  # one row a range
+    totals = dealt.groupBy("__part").agg(F.sum("k").alias("__k"))
+    totals = totals.select("__part", (F.sum("__k").over(few) - F.col("__k")).alias("__below"), F.sum("__k").over(Window.partitionBy()).alias("n"))
+    upto = F.col("__below") + F.sum("k").over(Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(totals), "__part").withColumn("last", upto - 1).withColumn("first", F.col("last") - F.col("k") + 1).select(value, "k", "last", "first", "n")
 
 
 def statistics(df: DataFrame, value: str, by: Sequence[str] = (), nodata: float | None = None) -> DataFrame:
@@ -398,27 +409,94 @@ def interpolate(samples: DataFrame, header: Header, method: str = "idw", power:
     return Raster(header, predict(cells, ["r", "c"], samples, method, power, neighbors))
 
 
-def predict(places: DataFrame, key: Sequence[str], samples: DataFrame, method: str, power: float, neighbors: int, but_self: Column | None = None) -> DataFrame:
-    """Values at places (key, px, py) from samples; every place weighs every sample, as the method asks for, in partial
-    sums (for k nearest: partial lists of k)."""
-    pairs = places.join(samples.select(F.col("fid").alias("sid"), "x", "y", "z"), but_self if but_self is not None else F.lit(True))
-    pairs = pairs.withColumn("d", F.sqrt(F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2)))
+def predict(places: DataFrame, key: Sequence[str], samples: DataFrame, method: str, power: float, neighbors: int, but_self: str | None = None) -> DataFrame:
+    """Values at places (key, px, py) from samples; `but_self` names the key that holds the id of a sample to leave out.
+    Plain idw weighs every place of samples, as its definition asks, in partial sums: samples in one place weigh as one
+    with their sum. The other methods look for the k nearest in grid cells. Samples that lack a coordinate or a
+    value are left out."""
+    named = samples.where("x is not null and y is not null and z is not null").select(F.col("fid").alias("sid"), "x", "y", "z")
+    if method == "idw":
+        return _weighed(places, key, named, power, but_self)
+    k = 1 if method == "nearest" else neighbors
+    near = _k_nearest(places, key, named, k, but_self)
     d = F.col("d")
     if method == "nearest":
-        return pairs.groupBy(*key).agg(F.min_by("z", F.struct("d", "sid")).alias("v"))
+        return near.groupBy(*key).agg(F.min_by("z", F.struct("d", "sid")).alias("v"))
     weight = 1 / F.pow(F.when(d < 1e-12, 1.0).otherwise(d), power)
-    if method == "idw_neighbors":
-        near = pairs.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("d", "sid"))).where(F.col("k") <= neighbors)
-    else:
-        near = pairs
     total = near.groupBy(*key).agg(F.min_by(F.when(d < 1e-12, F.col("z")), F.struct("d", "sid")).alias("hit"), F.sum(weight * F.col("z")).alias("a"), F.sum(weight).alias("b"))
-    return total.select(*key, F.coalesce("hit", F.when(F.col("b") >= 1e-12, F.col("a") / F.nullif(F.col("b"), F.lit(0.0)))).alias("v"))
+    return total.select(*key, _mean())
+
+
+def _mean() -> Column:
+    return F.coalesce("hit", F.when(F.col("b") >= 1e-12, F.col("a") / F.nullif(F.col("b"), F.lit(0.0)))).alias("v")
+
+
+def _distance() -> Column:
+    return F.sqrt(F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2))
+
+
+def _weighed(places: DataFrame, key: Sequence[str], samples: DataFrame, power: float, but_self: str | None) -> DataFrame:
+    """Inverse distances to all samples. A place's first two samples are kept, so that one can be left out."""
+    two = F.row_number().over(Window.partitionBy("x", "y").orderBy("sid"))
+    first = samples.withColumn("i", two).where(F.col("i") <= 2).groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("sid", "z"))).alias("first"))
+    stacked = samples.groupBy("x", "y").agg(F.sum("z").alias("z"), F.count("*").alias("n")).join(first, ["x", "y"])
+    pairs = places.crossJoin(stacked).withColumn("d", _distance())
+    d, at = F.col("d"), F.col("d") < 1e-12
+    other = F.filter("first", lambda s: s["sid"] != F.col(but_self)) if but_self else F.col("first")
+    pairs = pairs.withColumn("here", F.when(at, F.try_element_at(other, F.lit(1))))
+    weight = F.when(~at, 1 / F.pow(d, power))
+    total = pairs.groupBy(*key).agg(
+        F.min_by("here.z", F.when(F.col("here").isNotNull(), F.struct("d", "here.sid"))).alias("hit"), F.sum(weight * F.col("z")).alias("a"), F.sum(weight * F.col("n")).alias("b")
+    )
+    return total.select(*key, _mean())
+
+
+def _k_nearest(places: DataFrame, key: Sequence[str], samples: DataFrame, k: int, but_self: str | None) -> DataFrame:
+    """(key, sid, z, d) of the k samples nearest to each place, ties to the lowest id. Samples lie in grid cells as wide
+    as the reach; a place that finds k within reach is settled, the others look again with twice the reach. Of samples in
+    one place only as many as can matter go on."""
+    stacked = F.row_number().over(Window.partitionBy("x", "y").orderBy("sid"))
+    samples = samples.withColumn("__i", stacked).where(F.col("__i") <= k + bool(but_self)).drop("__i").persist()
+    other = F.col(but_self) != F.col("sid") if but_self else F.lit(True)
+    best = Window.partitionBy(*key).orderBy("d", "sid")
+
+    def least(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("__k", F.row_number().over(best)).where(F.col("__k") <= k).select(*key, "sid", "z", "d")
+
+    span = lambda df, x, y: df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.count("*").alias("n")).first()
+    b = span(samples, "x", "y")
+    if b["n"] <= SMALL:
+        return least(places.join(F.broadcast(samples), other).withColumn("d", _distance()))
+    p = span(places, "px", "py")
+    if p["x0"] is None:
+        return least(places.join(samples, F.lit(False)).withColumn("d", _distance()))
+    side = max(b["x1"] - b["x0"], b["y1"] - b["y0"], 1e-9)
+    whole = max(max(b["x1"], p["x1"]) - min(b["x0"], p["x0"]), max(b["y1"], p["y1"]) - min(b["y0"], p["y0"]), 1e-9)
+    reach = max(side * (k / b["n"]) ** 0.5, 1e-9)
+    wanted = min(k, b["n"] - bool(but_self))
+    left, settled = places.select(*key, "px", "py"), None
+    while True:
+        cell = lambda v: F.floor(v / F.lit(reach))
+        line = lambda v: F.explode(F.sequence(cell(F.col(v) - reach), cell(F.col(v) + reach)))
+        wide = left.withColumn("cx", line("px")).withColumn("cy", line("py"))
+        pairs = wide.join(samples.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))}), ["cx", "cy"]).where(other).withColumn("d", _distance())
+        if reach > 2 * whole:
+            got = least(pairs)
+            return got if settled is None else settled.unionByName(got)
+        got = least(pairs.where(F.col("d") <= 0.999 * reach)).persist()  # a cell's edge may be a rounding off
+        done = got.groupBy(*key).agg(F.count("*").alias("__n")).where(F.col("__n") >= wanted).select(*key)
+        full = got.join(done, list(key), "left_semi")
+        settled = full if settled is None else settled.unionByName(full)
+        left = left.join(done, list(key), "left_anti").persist()
+        if left.isEmpty():
+            return settled
+        reach *= 2
 
 
 def cross_validate(samples: DataFrame, method: str = "idw", power: float = 2.0, neighbors: int = 8) -> DataFrame:
     """Mean absolute and root mean square error of leaving each sample out."""
     places = samples.select(F.col("fid").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("truth"))
-    got = predict(places.drop("truth"), ["pid"], samples, method, power, neighbors, F.col("pid") != F.col("sid")).join(places.select("pid", "truth"), "pid")
+    got = predict(places.drop("truth"), ["pid"], samples, method, power, neighbors, "pid").join(places.select("pid", "truth"), "pid")
     e = F.col("v") - F.col("truth")
     return got.where(F.col("v").isNotNull() & ~F.isnan("v")).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count("*").alias("n"))
 
