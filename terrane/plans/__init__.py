@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registry() -> dict[str, tuple]:
     """name -> (function of a session and a folder, SQL or None)."""
-    from . import kernels, paths, spatial
+    from . import files, kernels, paths, spatial
 
-    return {**spatial.QUERIES, **paths.QUERIES, **kernels.QUERIES}
+    return {**spatial.QUERIES, **paths.QUERIES, **kernels.QUERIES, **files.QUERIES}

@@ -12,7 +12,7 @@ from ..operators import surfaces as S
 from ..operators import tin as T
 from ..operators import vector as O
 from ..functions import geometry as G
-from .layers import PLOTS, RASTER, SAMPLES, ZONES, facilities, plots, raster, samples, table, zones
+from .layers import FACILITIES, PLOTS, RASTER, SAMPLES, ZONES, facilities, plots, raster, samples, table, zones
 from .paths import LINES, network, streets_as_lines
 
 QUERIES: dict[str, tuple] = {}
@@ -180,6 +180,6 @@ def v06_validate(spark, sf):
     return O.validate(drawn(spark, sf)).select("feature_id", "issue")
 
 
-@query(None)
+@query(f"WITH {FACILITIES} SELECT p.fid AS i, min(f.fid) AS closest_id FROM fac p JOIN fac f ON p.fid <> f.fid GROUP BY 1")
 def j11_matrix_faithful(spark, sf):
     return O.distance_matrix(facilities(spark, sf), faithful=True)[1].select("i", "closest_id")

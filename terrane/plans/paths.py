@@ -90,7 +90,7 @@ def l04_merge_both(spark, sf):
     return L.merge_events(user_events(spark, sf), "both")
 
 
-@query(None)
+@query(f"WITH {EVENTS}, p AS (SELECT *, max(b) OVER (PARTITION BY route_id ORDER BY a, b, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e), i AS (SELECT *, sum(CASE WHEN before IS NULL OR a >= before - 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY a, b, id ROWS UNBOUNDED PRECEDING) AS island FROM p) SELECT route_id, CAST(min(a) AS DOUBLE) AS from_measure, CAST(max(b) AS DOUBLE) AS to_measure, string_agg(CAST(id AS VARCHAR), ';' ORDER BY a, b, CAST(id AS VARCHAR)) AS source_event FROM i GROUP BY route_id, island")
 def l04_merge_dissolve(spark, sf):
     return L.merge_events(user_events(spark, sf), "dissolve")
 

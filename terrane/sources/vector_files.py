@@ -186,11 +186,13 @@ _OSM = {
 
 def read_osm(spark: SparkSession, path: str, filters: Sequence[str] = ()) -> DataFrame:
     """(osm_id, element, tags, geom). A closed way of four references or more is a polygon, another a line; missing
-    nodes are skipped; a relation takes its first usable way. Filters are alternatives: key, key=value, key=* or a pattern."""
+    nodes are skipped; a relation takes its first usable way; of elements with one id the last stays. Filters are alternatives: key, key=value, key=* or a pattern."""
     def load(kind: str) -> DataFrame:
         df = spark.read.format("xml").option("rowTag", kind).schema(_OSM[kind]).load(path)
         tags = F.map_from_entries(F.transform(F.coalesce("tag", F.array().cast(_TAG)), lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))))
-        return df.withColumn("tags", tags).dropDuplicates(["_id"])
+        place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+        last = df.withColumn("tags", tags).select("*", place.alias("at")).groupBy("_id")
+        return last.agg(F.max_by(F.struct(*df.columns, "tags"), "at").alias("e")).select("e.*")
 
     nodes, ways, relations = (load(k) for k in _OSM)
     points = nodes.where(F.size("tags") > 0).select(F.col("_id").alias("osm_id"), F.lit("node").alias("element"), "tags", G.point(F.col("_lon"), F.col("_lat")).alias("geom"))
@@ -236,6 +238,13 @@ def osm_xml(layer: VectorLayer, exclude: Sequence[str] = ()) -> DataFrame:
     return node.unionByName(way)
 
 
+def write_osm(layer: VectorLayer, path: str, exclude: Sequence[str] = ()) -> None:
+    """One document in one file, elements in order."""
+    lines = osm_xml(layer, exclude)
+    ends = layer.df.sparkSession.sql("SELECT * FROM VALUES (-1L, '<osm version=\"0.6\">'), (9223372036854775807L, '</osm>') AS t(ord, value)")
+    lines.unionByName(ends).repartitionByRange(1, "ord").sortWithinPartitions("ord").select("value").write.mode("overwrite").text(path)
+
+
 # Shapefiles
 
 _SHAPES = {0: None, 1: "POINT", 3: "LINESTRING", 5: "POLYGON", 8: "MULTIPOINT"}

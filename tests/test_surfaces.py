@@ -162,6 +162,10 @@ def test_osm(spark, tmp_path):
     got = {(r["element"], r["osm_id"]): r["geom"]["kind"] for r in VF.read_osm(spark, str(f)).collect()}
     assert got == {("node", 1): "POINT", ("way", 10): "POLYGON", ("way", 11): "LINESTRING", ("relation", 20): "POLYGON"}
     assert {r["osm_id"] for r in VF.read_osm(spark, str(f), ["highway=pri*", "amenity"]).collect()} == {1, 11}
+    f.write_text('<osm><node id="1" lat="1" lon="1"><tag k="a" v="old"/></node><node id="1" lat="5" lon="6"><tag k="a" v="new"/></node></osm>')
+    assert [(r["tags"]["a"], r["geom"]["parts"][0][0]["y"]) for r in VF.read_osm(spark, str(f)).collect()] == [("new", 5.0)]
+    VF.write_osm(VF.VectorLayer(layer(spark, [(1, "a&b", "POINT (1 2)"), (2, "", SQUARE)], "name string")), str(tmp_path / "w"))
+    assert sorted((r["element"], r["tags"].get("name")) for r in VF.read_osm(spark, str(tmp_path / "w")).collect()) == [("node", "a&b"), ("way", None)]
     lines = [r["value"] for r in VF.osm_xml(VF.VectorLayer(layer(spark, [(1, "a&b", "POINT (1 2)"), (2, "", SQUARE)], "name string"))).orderBy("ord").collect()]
     assert sum(x.startswith("<node") for x in lines) == 5 and 'v="a&amp;b"' in lines[0] and 'k="area"' in lines[-1] and lines[-1].count("<nd") == 5
 
