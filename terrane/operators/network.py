@@ -237,16 +237,31 @@ def find_node(nodes: DataFrame, text: str) -> DataFrame:
 class Graph:
     """Adjacency of a network that fits in memory."""
 
-    def __init__(self, rows: Sequence[tuple], node_ids: Sequence[int]):
-        self.ids = np.array(sorted(node_ids), np.int64)
-        at = {int(n): i for i, n in enumerate(self.ids)}
-        self.at = at
-        u = np.array([at[r[0]] for r in rows], np.int64)
-        order = np.lexsort((np.array([at[r[1]] for r in rows], np.int64), u)) if len(rows) else u
-        self.v = np.array([at[rows[i][1]] for i in order], np.int64)
-        self.w = np.array([rows[i][2] for i in order], float)
-        self.e = np.array([rows[i][3] for i in order], np.int64)
-        self.ptr = np.searchsorted(u[order], np.arange(len(self.ids) + 1)) if len(rows) else np.zeros(len(self.ids) + 1, np.int64)
+    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, e: np.ndarray, node_ids: np.ndarray):
+        self.ids = np.unique(node_ids)
+        u, v = self.place(u), self.place(v)
+        order = np.lexsort((e, w, v, u))
+        self.v, self.w, self.e = v[order], w[order], e[order]
+        self.ptr = np.searchsorted(u[order], np.arange(len(self.ids) + 1))
+
+    @classmethod
+    def of(cls, t) -> "Graph":
+        """From an Arrow table of arcs (u, v, w, e); a row without v names a node."""
+        import pyarrow.compute as pc
+
+        alone = t.column("v").is_null()
+        column = lambda x, c, kind: x.column(c).to_numpy().astype(kind, copy=False)
+        a = t.filter(pc.invert(alone))
+        return cls(column(a, "u", np.int64), column(a, "v", np.int64), column(a, "w", float), column(a, "e", np.int64), column(t.filter(alone), "u", np.int64))
+
+    def place(self, nodes: Sequence[int]) -> np.ndarray:
+        """Where nodes stand among the sorted ids."""
+        nodes = np.asarray(nodes, np.int64)
+        at = np.searchsorted(self.ids, nodes)
+        lost = (at >= len(self.ids)) | (self.ids[np.minimum(at, len(self.ids) - 1)] != nodes) if len(self.ids) else np.ones(len(nodes), bool)
+        if lost.any():
+            raise KeyError(int(nodes[lost][0]))
+        return at
 
     def search(self, source: int, targets: Sequence[int] = (), limit: float = float("inf")):
         """Distances, previous nodes and previous edges; stops when all targets are settled."""
@@ -273,11 +288,17 @@ class Graph:
         return dist, prev, edge
 
 
-def graph(nodes: DataFrame, edges: DataFrame, cost: str = "length") -> Graph:
-    a = arcs(edges, cost)
-    if a.limit(MOST_ARCS + 1).count() > MOST_ARCS:
+def whole(nodes: DataFrame, edges: DataFrame, cost: str = "length") -> DataFrame:
+    """What Graph.of reads: arcs (u, v, w, e), and nodes as u alone."""
+    a = arcs(edges, cost).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("w").cast("double").alias("w"), F.col("edge_id").cast("long").alias("e"))
+    if a.count() > MOST_ARCS:
         raise ValueError("the network is too large for one search; use distances()")
-    return Graph([tuple(r) for r in a.select("u", "v", "w", "edge_id").collect()], [r[0] for r in nodes.select("node_id").collect()])
+    return a.unionByName(nodes.select(F.col("node_id").cast("long").alias("u"), *[F.lit(None).cast(k).alias(c) for c, k in (("v", "long"), ("w", "double"), ("e", "long"))]))
+
+
+def graph(nodes: DataFrame, edges: DataFrame, cost: str = "length") -> Graph:
+    """On the driver, for a broadcast."""
+    return Graph.of(whole(nodes, edges, cost).toArrow())
 
 
 def distances(nodes: DataFrame, edges: DataFrame, source: int, cost: str = "length", limit: float | None = None, rounds: int = 10_000) -> DataFrame:
@@ -299,16 +320,22 @@ def distances(nodes: DataFrame, edges: DataFrame, source: int, cost: str = "leng
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: int, target: int, cost: str = "length") -> DataFrame:
-    """The path's edges in order with the running cost; empty if there is none."""
-    g = graph(nodes, edges, cost)
-    s, t = g.at[source], g.at[target]
-    dist, prev, edge = g.search(s, [t])
-    rows, v = [], t
-    while np.isfinite(dist[t]) and v != s:
-        rows.append((int(g.ids[prev[v]]), int(g.ids[v]), int(edge[v]), float(dist[v])))
-        v = prev[v]
-    rows = [(i, *r) for i, r in enumerate(reversed(rows))]
-    return nodes.sparkSession.createDataFrame(rows, "seq int, from_node long, to_node long, edge_id long, total_cost double")
+    """The path's edges in order with the running cost; empty if there is none. One task holds the graph, as arrays;
+    nothing but the path leaves it."""
+    import pyarrow as pa
+
+    def run(t):
+        g = Graph.of(t)
+        s, at = g.place([source, target]).tolist()
+        dist, prev, edge = g.search(s, [at])
+        steps, v = [], at
+        while np.isfinite(dist[at]) and v != s:
+            steps.append((int(g.ids[prev[v]]), int(g.ids[v]), int(edge[v]), float(dist[v])))
+            v = prev[v]
+        rows = [dict(zip(("seq", "from_node", "to_node", "edge_id", "total_cost"), (i, *r))) for i, r in enumerate(reversed(steps))]
+        return pa.Table.from_pylist(rows, pa.schema([("seq", pa.int32()), ("from_node", pa.int64()), ("to_node", pa.int64()), ("edge_id", pa.int64()), ("total_cost", pa.float64())]))
+
+    return whole(nodes, edges, cost).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "seq int, from_node long, to_node long, edge_id long, total_cost double")
 
 
 def centrality(nodes: DataFrame, edges: DataFrame, cost: str = "length") -> DataFrame:
@@ -324,7 +351,7 @@ def centrality(nodes: DataFrame, edges: DataFrame, cost: str = "length") -> Data
         g, score, close = shared.value, np.zeros(n), []
         for b in batches:
             for node in b.column(0).to_pylist():
-                s = g.at[node]
+                s = int(g.place([node])[0])
                 dist, sigma, before = np.full(n, np.inf), np.zeros(n), [[] for _ in range(n)]
                 dist[s], sigma[s] = 0.0, 1.0
                 heap, order, done = [(0.0, s)], [], np.zeros(n, bool)
@@ -449,7 +476,7 @@ def cost_matrix(nodes: DataFrame, edges: DataFrame, stops: Sequence[int], cost:
     """Costs between stops, one search a stop, dealt to tasks."""
     g = graph(nodes, edges, cost)
     spark = nodes.sparkSession
-    shared, at = spark.sparkContext.broadcast(g), [g.at[s] for s in stops]
+    shared, at = spark.sparkContext.broadcast(g), g.place(stops).tolist()
 
     def run(batches):
         import pyarrow as pa
