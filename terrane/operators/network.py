@@ -472,23 +472,29 @@ def limited(issues: DataFrame, most: int = 10) -> DataFrame:
     return issues.withColumns({"__k": first, "total": F.count("*").over(w)}).where(F.col("__k") <= most).drop("__k")
 
 
+#: Searches that one copy of a graph serves in a task.
+SEARCHES = 64
+
+
 def cost_matrix(nodes: DataFrame, edges: DataFrame, stops: Sequence[int], cost: str = "length") -> np.ndarray:
-    """Costs between stops, one search a stop, dealt to tasks."""
-    g = graph(nodes, edges, cost)
-    spark = nodes.sparkSession
-    shared, at = spark.sparkContext.broadcast(g), g.place(stops).tolist()
+    """Costs between stops, one search a stop. Tasks hold the graph, as arrays, and search for SEARCHES stops each;
+    the matrix alone comes to the driver."""
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
+    stops = [int(s) for s in stops]
+    n = len(stops)
 
-        for b in batches:
-            for i in b.column(0).to_pylist():
-                d = shared.value.search(at[i], at)[0][at]
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int64()), pa.array(range(len(at)), pa.int64()), pa.array(d)], ["i", "j", "d"])
+    def run(key, t):
+        g, first = Graph.of(t), key[0].as_py() * SEARCHES
+        at = g.place(stops)
+        found = [(i, g.search(int(at[i]), at.tolist())[0][at]) for i in range(first, min(n, first + SEARCHES))]
+        return pa.table([pa.array(np.repeat([i for i, _ in found], n), pa.int64()), pa.array(np.tile(np.arange(n), len(found)), pa.int64()), pa.array(np.concatenate([d for _, d in found]))], ["i", "j", "d"])
 
-    out = np.full((len(stops), len(stops)), np.inf)
-    for r in spark.range(len(stops)).mapInArrow(run, "i long, j long, d double").collect():
-        out[r["i"], r["j"]] = r["d"]
+    parts = F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1) // SEARCHES)))
+    out = np.full((n, n), np.inf)
+    if n:
+        for r in whole(nodes, edges, cost).withColumn("part", parts).groupBy("part").applyInArrow(run, "i long, j long, d double").collect():
+            out[r["i"], r["j"]] = r["d"]
     return out
 
 

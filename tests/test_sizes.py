@@ -42,3 +42,10 @@ def test_paths_are_found_off_the_driver(spark, no_graph):
     assert N.shortest_path(nodes, edges.where("source <> 7 and target <> 7"), ids[0], ids[-1]).count() == 0
     with pytest.raises(Exception, match="KeyError"):
         N.shortest_path(nodes, edges, ids[0], 8).collect()
+
+
+def test_costs_between_stops_are_found_off_the_driver(spark, no_graph, monkeypatch):
+    monkeypatch.setattr(N, "SEARCHES", 2)
+    nodes, edges, ids, cost = square(spark)
+    at = [0, 35, 14, 3, 20]
+    assert np.array_equal(N.cost_matrix(nodes, edges, [ids[i] for i in at]), cost[np.ix_(at, at)])
