@@ -112,7 +112,7 @@ def test_geocoding_against_brute_force(spark):
             assert got[i] == want, (i, fuzzy)
 
 
-@pytest.mark.parametrize("fuzzy", [False])
+@pytest.mark.parametrize("fuzzy", [False, True])
 def test_addresses_do_not_meet_all_streets_of_their_name(spark, fuzzy):
     k = F.col("id")
     s = on_line(spark.range(2000).select(k.alias("row"), F.lit("Main St").alias("name"), (k % 50 * 2).alias("left_from"), (k % 50 * 2 + 40).alias("left_to"), F.lit(0).alias("right_from"), F.lit(0).alias("right_to")))
