@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrane.operators import geocode as C
 from terrane.operators import network as N
+from terrane.operators import vector as O
 
 EDGE = "edge_id long, source long, target long, length double, travel_time double, oneway int"
 
@@ -118,3 +119,25 @@ def test_addresses_do_not_meet_all_streets_of_their_name(spark, fuzzy):
     s = on_line(spark.range(2000).select(k.alias("row"), F.lit("Main St").alias("name"), (k % 50 * 2).alias("left_from"), (k % 50 * 2 + 40).alias("left_to"), F.lit(0).alias("right_from"), F.lit(0).alias("right_to")))
     a = spark.range(2000).select("id", (k % 120).cast("string").alias("house_number"), F.lit("main st").alias("street_name"))
     assert most_rows(C.geocode(s, a, fuzzy=fuzzy)) < 40_000
+
+
+@pytest.mark.parametrize("most", [5_000_000, 3])
+def test_components_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(O, "LINKS", most)
+    rng = np.random.default_rng(2)
+    ids, pairs = [int(3 * i - 50) for i in range(120)], rng.integers(0, 120, (85, 2))
+    label = {k: k for k in ids}
+    for _ in ids:
+        for a, b in pairs:
+            label[ids[a]] = label[ids[b]] = min(label[ids[a]], label[ids[b]])
+    edges = [(ids[a], ids[b]) for a, b in pairs.tolist()] + [(ids[0], 7_000_001), (7_000_001, ids[1]), (None, ids[2])]  # a row that is not there links nothing
+    got = O.connected(spark.createDataFrame([(k,) for k in ids], "fid long"), spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert {r["fid"]: r["root"] for r in got} == label and len(got) == len(ids)
+
+
+def test_a_long_line_is_one_component_without_rounds(spark, monkeypatch):
+    monkeypatch.setattr(O, "_spread", None, raising=False)
+    made, checkpoint = [], type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda df, *a: made.append(1) or checkpoint(df, *a))
+    line = spark.range(1, 5000).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    assert O.connected(spark.range(5000).withColumnRenamed("id", "fid"), line).where("root <> 0").count() == 0 and len(made) <= 3
