@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrane.functions import geometry as G
 from terrane.operators import geocode as C
 from terrane.operators import network as N
 from terrane.operators import vector as O
@@ -141,3 +142,26 @@ def test_a_long_line_is_one_component_without_rounds(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda df, *a: made.append(1) or checkpoint(df, *a))
     line = spark.range(1, 5000).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert O.connected(spark.range(5000).withColumnRenamed("id", "fid"), line).where("root <> 0").count() == 0 and len(made) <= 3
+
+
+def points(spark, n, side):
+    k = F.col("id")
+    return spark.range(n).select((k * 2).alias("fid"), k.alias("id"), G.point((k * 53 % side).cast("double"), (k * 17 % (side - 3)).cast("double")).alias("geom"))
+
+
+@pytest.mark.parametrize("side, threshold", [(5, None), (5, 1.0), (40, None), (40, 4.0), (5, -1.0)])
+def test_distance_summaries_against_the_pairs(spark, side, threshold):
+    df = points(spark, 90, side)
+    pairs = O.distance_matrix(df)[0].toPandas()
+    assert len(pairs) == 90 * 89
+    ok = pairs if threshold is None else pairs[pairs.dist <= threshold]
+    for faithful in (False, True):
+        got = {r["i"]: tuple(r)[1:] for r in O.distance_matrix(df, threshold, faithful)[1].collect()}
+        assert set(got) == set(ok.i)
+        for i, g in ok.groupby("i"):
+            closest = g.j.min() if faithful else g.sort_values(["dist", "j"]).j.iloc[0]
+            assert got[i] == pytest.approx((g.dist.min(), g.dist.max(), g.dist.mean(), closest), abs=1e-9)
+
+
+def test_summaries_compare_places_and_not_rows(spark):
+    assert most_rows(O.distance_matrix(points(spark, 3000, 10))[1]) < 10_000
