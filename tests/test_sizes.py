@@ -165,3 +165,23 @@ def test_distance_summaries_against_the_pairs(spark, side, threshold):
 
 def test_summaries_compare_places_and_not_rows(spark):
     assert most_rows(O.distance_matrix(points(spark, 3000, 10))[1]) < 10_000
+
+
+@pytest.mark.parametrize("invert", [True, False])
+def test_rows_do_not_meet_all_targets_of_a_place(spark, invert):
+    source, target = points(spark, 1000, 40), points(spark, 3000, 10)
+    out = O.query_distance(source, target, 3.0, invert=invert)
+    assert most_rows(out) < 60_000
+    place = lambda df: {r["fid"]: tuple(r["geom"]["parts"][0][0]) for r in df.collect()}
+    far = lambda p, q: float(np.hypot(p[0] - q[0], p[1] - q[1]))
+    others, got = place(target), {r["fid"]: (r["_target_id"], r["_query_distance"]) for r in out.collect()}
+    spots = {q: min(k for k, x in others.items() if x == q) for q in set(others.values())}
+    want = {}
+    for k, p in place(source).items():
+        near = [(t, far(p, q)) for q, t in spots.items() if far(p, q) <= 3]
+        if invert and not near:
+            want[k] = ("", min(far(p, q) for q in spots))
+        elif near and not invert:
+            want[k] = (str(min(near)[0] // 2), min(near)[1])
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(got[k][0] == w[0] and got[k][1] == pytest.approx(w[1]) for k, w in want.items())
