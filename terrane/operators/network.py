@@ -319,17 +319,17 @@ def distances(nodes: DataFrame, edges: DataFrame, source: int, cost: str = "leng
     raise RuntimeError(f"distances are not settled after {rounds} rounds")
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, source: int, target: int, cost: str = "length") -> DataFrame:
-    """The path's edges in order with the running cost; empty if there is none. One task holds the graph, as arrays;
+def shortest_path(nodes: DataFrame, edges: DataFrame, source: int, target: int, cost: str = "length", limit: float = float("inf")) -> DataFrame:
+    """The path's edges in order with the running cost; empty if there is none of at most the limit's cost. One task holds the graph, as arrays;
     nothing but the path leaves it."""
     import pyarrow as pa
 
     def run(t):
         g = Graph.of(t)
         s, at = g.place([source, target]).tolist()
-        dist, prev, edge = g.search(s, [at])
+        dist, prev, edge = g.search(s, [at], limit)
         steps, v = [], at
-        while np.isfinite(dist[at]) and v != s:
+        while np.isfinite(dist[at]) and dist[at] <= limit and v != s:
             steps.append((int(g.ids[prev[v]]), int(g.ids[v]), int(edge[v]), float(dist[v])))
             v = prev[v]
         rows = [dict(zip(("seq", "from_node", "to_node", "edge_id", "total_cost"), (i, *r))) for i, r in enumerate(reversed(steps))]

@@ -185,3 +185,18 @@ def test_rows_do_not_meet_all_targets_of_a_place(spark, invert):
             want[k] = (str(min(near)[0] // 2), min(near)[1])
     assert got.keys() == want.keys() and len(want) > 20
     assert all(got[k][0] == w[0] and got[k][1] == pytest.approx(w[1]) for k, w in want.items())
+
+
+def test_path_cost_beyond_the_limit_of_its_sql_has_no_row(spark, tmp_path):
+    import duckdb
+
+    from terrane.plans import registry
+
+    run, sql = registry()["n06_path_cost"]
+    for size in (15, 40):  # paths of 62 and of 162; the SQL goes up to 90
+        at = f"{tmp_path}/{size}"
+        k = F.col("id")
+        spark.range(150).select(k.alias("p_partkey"), F.lit("a").alias("p_name"), F.lit(size).cast("int").alias("p_size")).write.parquet(f"{at}/part.parquet")
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW part AS SELECT * FROM '{at}/part.parquet/*.parquet'")
+        assert [tuple(r) for r in run(spark, at).collect()] == db.execute(sql).fetchall()
