@@ -560,21 +560,34 @@ def tour_heuristic(cost: np.ndarray, closed: bool = True, rounds: int = 500, see
     return best, least
 
 
+#: Segments that may be broadcast.
+MOST_SEGMENTS = 100_000
+
+
 def crossings(lines: DataFrame, size: float) -> DataFrame:
-    """Proper crossings of segments of different lines: (a, ai, b, bi, x, y). Segments meet in the grid cells they
-    cover, and a pair counts in the first cell that both have."""
+    """Proper crossings of segments of different lines: (a, ai, b, bi, x, y). Segments meet in the grid cells of
+    their boxes, and a pair counts in the first cell that both have; or, where cells would make more pairs than there are,
+    each segment meets each."""
     n = F.size("vertices")
-    seg = lines.select("fid", F.posexplode(F.arrays_zip(F.slice("vertices", 1, n - 1).alias("p"), F.slice("vertices", 2, n - 1).alias("q"))).alias("i", "s")).select("fid", "i", "s.p", "s.q")
-    line = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
-    cells = F.flatten(F.transform(line(F.col("p.x"), F.col("q.x")), lambda cx: F.transform(line(F.col("p.y"), F.col("q.y")), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
-    keyed = seg.withColumn("cells", cells).withColumn("cell", F.explode("cells"))
-    a, b = (keyed.select(*[F.col(c).alias(f"{s}_{c}") for c in ("fid", "i", "p", "q", "cells")], "cell") for s in ("a", "b"))
-    side = lambda p, q, r: (F.col(f"{q}.x") - F.col(f"{p}.x")) * (F.col(f"{r}.y") - F.col(f"{p}.y")) - (F.col(f"{q}.y") - F.col(f"{p}.y")) * (F.col(f"{r}.x") - F.col(f"{p}.x"))
-    pairs = a.join(b, "cell").where("a_fid < b_fid").where(F.array_min(F.array_intersect("a_cells", "b_cells")) == F.col("cell"))
+    seg = lines.select("fid", F.posexplode(F.arrays_zip(F.slice("vertices", 1, n - 1).alias("p"), F.slice("vertices", 2, n - 1).alias("q"))).alias("i", "s")).select("fid", "i", *[F.col(f"s.{p}.{c}").cast("double").alias(f"{p}{c}") for p in "pq" for c in "xy"])
+    low, high = (lambda c, f=f: F.floor(f(f"p{c}", f"q{c}") / size) for f in (F.least, F.greatest))
+    line = lambda c: F.sequence(low(c), high(c))
+    keyed = seg.withColumns({"x0": low("x"), "y0": low("y"), "cx": F.explode(line("x"))}).withColumn("cy", F.explode(line("y")))
+    met = keyed.groupBy("cx", "cy").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    count = seg.count()
+    dense = met >= count * count
+    side = lambda p, q, r: (F.col(f"{q}x") - F.col(f"{p}x")) * (F.col(f"{r}y") - F.col(f"{p}y")) - (F.col(f"{q}y") - F.col(f"{p}y")) * (F.col(f"{r}x") - F.col(f"{p}x"))
+    a, b = ((seg if dense else keyed).select(*[F.col(c).alias(f"{s}_{c}") for c in (seg if dense else keyed).columns]) for s in "ab")
     d1, d2, d3, d4 = side("a_p", "a_q", "b_p"), side("a_p", "a_q", "b_q"), side("b_p", "b_q", "a_p"), side("b_p", "b_q", "a_q")
+    test = (F.col("a_fid") < F.col("b_fid")) & (d1 * d2 < 0) & (d3 * d4 < 0)
+    if dense:
+        hit = a.repartition(a.sparkSession.sparkContext.defaultParallelism).join(F.broadcast(b) if count <= MOST_SEGMENTS else b, test)
+    else:
+        same = (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy"))
+        hit = a.join(b, same & (F.col("a_cx") == F.greatest("a_x0", "b_x0")) & (F.col("a_cy") == F.greatest("a_y0", "b_y0")) & test)
     t: Column = d3 / F.nullif(d3 - d4, F.lit(0.0))
-    hit = pairs.where((d1 * d2 < 0) & (d3 * d4 < 0)).withColumn("t", t)
-    return hit.select(F.col("a_fid").alias("a"), F.col("a_i").alias("ai"), F.col("b_fid").alias("b"), F.col("b_i").alias("bi"), (F.col("a_p.x") + F.col("t") * (F.col("a_q.x") - F.col("a_p.x"))).alias("x"), (F.col("a_p.y") + F.col("t") * (F.col("a_q.y") - F.col("a_p.y"))).alias("y"))
+    hit = hit.withColumn("t", t)
+    return hit.select(F.col("a_fid").alias("a"), F.col("a_i").alias("ai"), F.col("b_fid").alias("b"), F.col("b_i").alias("bi"), *[(F.col(f"a_p{c}") + F.col("t") * (F.col(f"a_q{c}") - F.col(f"a_p{c}"))).alias(c) for c in "xy"])
 
 
 def split_at_crossings(lines: DataFrame, size: float) -> DataFrame:

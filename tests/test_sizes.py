@@ -217,3 +217,16 @@ def test_overlaps_are_counted_and_not_joined(spark):
     assert sorted(r["row"] for r in out.where("issue = 'OVERLAP'").collect()) == want and len(want) > 200
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("<" in x for x in plan if "Join" in x)
+
+
+@pytest.mark.parametrize("size", [3.0, 40.0])
+def test_crossings_against_brute_force(spark, size):
+    rng = np.random.default_rng(1)
+    raw = [(i, [tuple(map(float, p)) for p in rng.integers(-20, 20, (4, 2))]) for i in range(60)]
+    df = spark.createDataFrame(raw, "fid long, vertices array<struct<x: double, y: double>>")
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    seg = [(i, k, v[k], v[k + 1]) for i, v in raw for k in range(3)]
+    want = sorted((a[0], a[1], b[0], b[1]) for a in seg for b in seg if a[0] < b[0] and side(*a[2:], b[2]) * side(*a[2:], b[3]) < 0 and side(*b[2:], a[2]) * side(*b[2:], a[3]) < 0)
+    assert sorted(tuple(r)[:4] for r in N.crossings(df, size).collect()) == want and len(want) > 100
+    assert most_rows(N.crossings(df, size)) <= max(len(want), 60 * 3 * 400)
+    assert "array_intersect" not in N.crossings(df, size)._jdf.queryExecution().optimizedPlan().toString()
