@@ -16,8 +16,9 @@ pass over the texts brings each chunk's tokens to its answers; chunks are known
 another order the second time (no files, and no written table) are an error and never a wrong score. So what is
 shuffled follows the distinct triples of chunks and the tree grows with the corpus, at any size. A bucket takes a range
 of the last context symbol, so states, parents and their tests lie in one bucket; buckets follow the number of tokens.
-A symbol with more tokens than a bucket should have is split by the symbol before it into groups, each of which then
-stands for it as the first context ("this symbol after one of that group").
+A symbol with more tokens than a bucket should have is split by the symbol before it into groups. What follows it in all
+groups is added up first, by ranges of the symbols that follow, and brought to each group, so its first context is one
+state whatever the number of groups, and buckets change no score.
 
 Defined results: null text is empty text, the end alone; rows that repeat are scored one by one and alike; without
 training rows the base is 0 and every token is unseen; an empty table gives an empty result; a text longer than a chunk
@@ -115,9 +116,11 @@ def triples(hashes: np.ndarray, start: np.ndarray, before: np.ndarray) -> np.nda
     return (c1 << (2 * BITS)) | (c2 << BITS) | s
 
 
-def grow(keys: np.ndarray, counts: np.ndarray, root: np.ndarray) -> np.ndarray:
+def grow(keys: np.ndarray, counts: np.ndarray, root: np.ndarray, first: tuple | None = None, flag: bool = False):
     """log10 of the probability of each (context, symbol) of one bucket by the longest retained state. keys: distinct
-    triples, sorted; counts: how often each occurs in training; root: the root's distribution."""
+    triples, sorted; counts: how often each occurs in training; root: the root's distribution. first: for a group of one
+    first symbol, what follows it in all groups, as (symbols, counts, their sum, their number, whether it is a state).
+    flag: only tell whether a context of two symbols is a state."""
     n = counts.astype(float)
     w = keys & _LAST
     p = root[w]
@@ -138,12 +141,20 @@ def grow(keys: np.ndarray, counts: np.ndarray, root: np.ndarray) -> np.ndarray:
         return q[pair], state
 
     if not len(keys):
-        return np.zeros(0)
+        return False if flag else np.zeros(0)
     c1 = np.unique(keys >> (2 * BITS), return_inverse=True)[1]
     c2 = np.unique(keys >> BITS, return_inverse=True)[1]
     pair1 = np.unique(c1 * np.int64(SYMBOLS) + w, return_inverse=True)[1]
-    q1, state1 = level(c1, pair1, p)
+    if first is None:
+        q1, state1 = level(c1, pair1, p)
+    else:
+        after, m, total, kinds, state = first
+        at = np.minimum(np.searchsorted(after, w), max(0, len(after) - 1))
+        q1 = (np.where(after[at] == w, m[at], 0) if len(after) else 0) + kinds * p
+        q1, state1 = q1 / max(total + kinds, 1), np.array([state])
     q2, state2 = level(c2, np.arange(len(keys)), q1)
+    if flag:
+        return bool(state2.any())
     of1 = np.zeros(c2.max() + 1, np.int64)
     of1[c2] = c1
     state1 |= np.bincount(of1[state2], minlength=len(state1)) > 0
@@ -265,6 +276,55 @@ def score(docs: DataFrame, train_where, id_col: str = "doc_id", text_col: str =
             digest.update(start.tobytes() + held.tobytes() + before.tobytes())
             yield np.uint64(digest.intdigest()).astype(np.int64).item(), (rows, ids, held, hashes, start, before)
 
+    def follow(batches):
+        """What follows the symbols that are split, by ranges of the symbols that follow."""
+        shape = shared.value[0]
+        for _, (_, _, held, hashes, start, before) in chunks(batches):
+            k = triples(hashes, start, before)[np.repeat(~held, np.diff(np.append(start, len(hashes))))]
+            at = np.minimum(np.searchsorted(shape.hot, k >> (2 * BITS)), len(shape.hot) - 1)
+            mine = shape.hot[at] == k >> (2 * BITS)
+            keys, n = np.unique((at[mine] << BITS) | (k[mine] & _LAST), return_counts=True)
+            for b, k, c in _dealt(keys, n, keys >> (BITS - 4)):
+                yield pa.RecordBatch.from_pylist([{"bucket": b, "n": len(k), "keys": pack_sorted(k), "counts": pack_plain(c.astype(np.int64))}], pa.schema([arrow.field(c) for c in ("bucket", "n", "keys", "counts")]))
+
+    def unpacked(t):
+        n = t.column("n").to_pylist()
+        keys = np.concatenate([unpack_sorted(x, m) for x, m in zip(t.column("keys").to_pylist(), n)])
+        counts = np.concatenate([unpack_plain(x, m, np.int64) for x, m in zip(t.column("counts").to_pylist(), n)])
+        return n, keys, counts
+
+    def followed(t):
+        _, keys, counts = unpacked(t)
+        keys, at = np.unique(keys, return_inverse=True)
+        counts = np.bincount(at, counts, len(keys)).astype(np.int64)
+        seen, after = shared.value[1], keys.astype(np.int64) & _LAST
+        gain = float((counts * (np.log(counts) - np.log((seen[after] + 0.5) / (seen.sum() + 0.5 * SYMBOLS)))).sum())
+        return pa.table([[int(keys[0]) >> BITS], [len(keys)], [int(counts.sum())], [gain], pa.array([pack_sorted(after.astype(np.uint64))], pa.binary()), pa.array([pack_plain(counts)], pa.binary())], ["hot", "n", "total", "gain", "keys", "counts"])
+
+    def to_groups(batches):
+        shape = shared.value[0]
+        for b in batches:
+            for r in b.to_pylist():
+                for g in range(int(shape.groups[r["hot"]])):
+                    yield pa.RecordBatch.from_pylist([{"chunk": None, "kind": 2, "bucket": int(shape.first[r["hot"]]) + g, "n": r["n"], "keys": r["keys"], "counts": r["counts"]}], arrow)
+
+    def tree(key, t, flag=False):
+        """The posts of a bucket and the values of their distinct keys; a group's first context comes without a chunk."""
+        (shape, seen), of = shared.value, key[1].as_py() - (1 << shared.value[0].log)
+        root, first = (seen + 0.5) / (seen.sum() + 0.5 * SYMBOLS), None
+        if of >= 0:
+            own = t.filter(t.column("chunk").is_null())
+            t = t.filter(t.column("chunk").is_valid())
+            if not t.num_rows:
+                return t, [], np.zeros(0, np.int64), False if flag else np.zeros(0)
+            h = int(np.searchsorted(shape.first, of + (1 << shape.log), side="right")) - 1
+            after, m = unpacked(own)[1:] if own.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            order = np.argsort(after)
+            first = (after[order].astype(np.int64), m[order], *[x[h] for x in whole.value])
+        n, keys, counts = unpacked(t)
+        keys, at = np.unique(keys, return_inverse=True)
+        return t, n, at, grow(keys.astype(np.int64), np.bincount(at, counts, len(keys)).astype(np.int64), root, first, flag)
+
     def tell(batches):
         """Kind 0: the chunk's tokens, as places in its sorted distinct ones."""
         import pickle
@@ -290,15 +350,15 @@ def score(docs: DataFrame, train_where, id_col: str = "doc_id", text_col: str =
 
     def answer(key, t):
         """Each chunk's distinct tokens get their counts in training, its triples their log probabilities."""
-        n, chunk = t.column("n").to_pylist(), t.column("chunk")
-        keys = np.concatenate([unpack_sorted(x, m) for x, m in zip(t.column("keys").to_pylist(), n)])
-        counts = np.concatenate([unpack_plain(x, m, np.int64) for x, m in zip(t.column("counts").to_pylist(), n)])
-        keys, at = np.unique(keys, return_inverse=True)
-        values = np.bincount(at, counts, len(keys)).astype(np.int64)
         if key[0].as_py() == 2:
-            seen = shared.value[1]
-            values = grow(keys.astype(np.int64), values, (seen + 0.5) / (seen.sum() + 0.5 * SYMBOLS)).astype(np.float32)
-        parts = np.split(values[at], np.cumsum(n)[:-1])
+            t, n, at, values = tree(key, t)
+            values = values.astype(np.float32)
+        else:
+            n, keys, counts = unpacked(t)
+            keys, at = np.unique(keys, return_inverse=True)
+            values = np.bincount(at, counts, len(keys)).astype(np.int64)
+        chunk = t.column("chunk")
+        parts = np.split(values[at], np.cumsum(n)[:-1]) if n else []
         return pa.table([chunk, t.column("kind"), t.column("bucket"), t.column("n"), pa.array([pack_plain(v) for v in parts], pa.binary()), pa.nulls(len(n), pa.binary())], arrow)
 
     def add_up(t):
@@ -343,7 +403,24 @@ def score(docs: DataFrame, train_where, id_col: str = "doc_id", text_col: str =
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema_id = to_arrow_type(texts.schema["id"].dataType)
-    answered = texts.mapInArrow(post, fields).groupBy("kind", "bucket").applyInArrow(answer, fields)
+    posted, whole = texts.mapInArrow(post, fields), None
+    if len(shape.hot):
+        after = texts.mapInArrow(follow, "bucket long, n long, keys binary, counts binary").groupBy("bucket").applyInArrow(followed, "hot long, n long, total long, gain double, keys binary, counts binary").persist()
+        total1, kinds1, gain1 = (np.zeros(len(shape.hot)) for _ in range(3))
+        for r in after.groupBy("hot").agg(F.sum("total").alias("t"), F.sum("n").alias("n"), F.sum("gain").alias("g")).toLocalIterator():  # a row for each split symbol
+            total1[r["hot"]], kinds1[r["hot"]], gain1[r["hot"]] = r["t"], r["n"], r["g"] - r["t"] * math.log(r["t"])
+        state1 = gain1 > 0.5 * kinds1 * np.log(np.maximum(total1, 2))
+        whole = spark.sparkContext.broadcast((total1, kinds1, state1))
+        posted = posted.unionByName(after.mapInArrow(to_groups, fields))
+        if not state1.all():  # it is one if a longer context is, in any group
+            def longer(key, t):
+                return pa.table([[key[1].as_py()], [tree(key, t, flag=True)[3]]], ["bucket", "any"])
+
+            least = [int(shape.first[h]) + g for h in np.flatnonzero(~state1) for g in range(int(shape.groups[h]))]
+            for r in posted.where((F.col("kind") == 2) & F.col("bucket").isin(least)).groupBy("kind", "bucket").applyInArrow(longer, "bucket long, any boolean").where("any").collect():
+                state1[np.searchsorted(shape.first, r["bucket"], side="right") - 1] = True
+            whole = spark.sparkContext.broadcast((total1, kinds1, state1))
+    answered = posted.groupBy("kind", "bucket").applyInArrow(answer, fields)
     parts = answered.unionByName(texts.mapInArrow(tell, fields)).groupBy("chunk").applyInArrow(add_up, f"row long, id {id_type}, n_tokens long, n_known long, base double, score double")
     out = parts.groupBy("row").agg(F.first("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score")
