@@ -47,10 +47,11 @@ def normal_name(s: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.coalesce(s, F.lit("")))), r"[ \t]+", " ")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 less the edit distance over the longer length."""
+def similarity(a: Column, b: Column, least: float | None = None) -> Column:
+    """1 less the edit distance over the longer length; with least, null may stand for what is below it."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1 - F.levenshtein(a, b) / F.nullif(longest, F.lit(0)))
+    edits = F.levenshtein(a, b) if least is None else F.nullif(F.call_function("levenshtein", a, b, F.ceil(longest * (1 - least)).cast("int")), F.lit(-1))
+    return F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1 - edits / F.nullif(longest, F.lit(0)))
 
 
 def house_number(s: Column) -> Column:

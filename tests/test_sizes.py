@@ -122,6 +122,22 @@ def test_addresses_do_not_meet_all_streets_of_their_name(spark, fuzzy):
     assert most_rows(C.geocode(s, a, fuzzy=fuzzy)) < 40_000
 
 
+def test_geocoding_by_blocks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(C, "FEW", 0)
+    test_geocoding_against_brute_force(spark)
+
+
+def test_similar_names_do_not_meet_all_numbers_of_an_address(spark):
+    k = F.col("id")
+    name = F.concat(F.lit("Long Main Street "), F.lpad(k.cast("string"), 3, "0"))
+    s = on_line(spark.range(300).select(k.alias("row"), name.alias("name"), (k * 20).alias("left_from"), (k * 20 + 40).alias("left_to"), F.lit(0).alias("right_from"), F.lit(0).alias("right_to")))
+    a = spark.range(200).select("id", (k * 2).cast("string").alias("house_number"), F.lit("long main street 9").alias("street_name"))
+    out = C.geocode(s, a, fuzzy=True)
+    assert most_rows(out) < 5_000  # all numbers of 300 names made 300,000
+    holding = [[k for k in range(300) if 20 * k <= n <= 20 * k + 40] for n in range(0, 400, 2)]
+    assert [r["street_segment"] for r in out.orderBy("id").collect()] == [min(ks, key=lambda k: ("9" not in f"{k:03d}", k)) for ks in holding]
+
+
 @pytest.mark.parametrize("most", [5_000_000, 3])
 def test_components_against_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(O, "LINKS", most)
