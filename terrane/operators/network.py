@@ -19,6 +19,10 @@ from .vector import connected, ready_for_checkpoints
 #: Arcs of a network that may be broadcast.
 MOST_ARCS = 5_000_000
 
+#: Pairs of a source and a node that a task of the centralities holds at once, and the cost that all arcs are over for that.
+STATES = 6_000_000
+LEAST_COST = 1e-6
+
 
 def build(lines: DataFrame, speed: float = 40.0, geographic: bool = False, unit_scale: float = 1.0, snap: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Lines (fid, vertices, optional speed and oneway in -1, 0, 1). Each straight piece is an edge, pieces without
@@ -338,47 +342,118 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: int, target: int,
     return whole(nodes, edges, cost).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "seq int, from_node long, to_node long, edge_id long, total_cost double")
 
 
+def _dependencies(g: Graph, s: int):
+    """Of one source: distances, and what each node adds to the betweenness, with a heap."""
+    n = len(g.ids)
+    dist, sigma, before = np.full(n, np.inf), np.zeros(n), [[] for _ in range(n)]
+    dist[s], sigma[s] = 0.0, 1.0
+    heap, order, done = [(0.0, s)], [], np.zeros(n, bool)
+    while heap:
+        d, u = heapq.heappop(heap)
+        if done[u]:
+            continue
+        done[u] = True
+        order.append(u)
+        for k in range(g.ptr[u], g.ptr[u + 1]):
+            v, nd = int(g.v[k]), d + g.w[k]
+            if nd < dist[v] - 1e-12:
+                dist[v], sigma[v], before[v] = nd, sigma[u], [u]
+                heapq.heappush(heap, (nd, v))
+            elif abs(nd - dist[v]) <= 1e-12 and not done[v]:
+                sigma[v] += sigma[u]
+                before[v].append(u)
+    part = np.zeros(n)
+    for v in reversed(order):
+        for u in before[v]:
+            part[u] += sigma[u] / sigma[v] * (1 + part[v])
+    part[s] = 0.0
+    return dist, part
+
+
+def _dependencies_of_many(g: Graph, sources: np.ndarray, back: tuple):
+    """The same of many sources at once, as rows, where all arcs cost more than LEAST_COST. A state is a source and a node.
+    Buckets are half as wide as the least cost, so the states of one settle together, and no tie is within one. back: arcs by
+    their heads (ptr, tails, costs)."""
+    n, m = len(g.ids), len(sources)
+    width = float(g.w.min()) / 2 if len(g.w) else 1.0
+    dist, sigma, done, mark = np.full(m * n, np.inf), np.zeros(m * n), np.zeros(m * n, bool), np.zeros(m * n, np.int32)
+    start = np.arange(m) * n + sources
+    dist[start], sigma[start] = 0.0, 1.0
+
+    def around(states, ptr, ends, costs):
+        """Arcs of the nodes of states: (which state, the state at the other end, cost)."""
+        u = states % n
+        first, count = ptr[u], ptr[u + 1] - ptr[u]
+        i = np.repeat(np.arange(len(u)), count)
+        k = np.arange(len(i)) + (first - np.cumsum(count) + count)[i]
+        return i, (states - u)[i] + ends[k], costs[k]
+
+    buckets: dict[int, list] = {0: [start]}
+    heap, settled = [0], []
+    while heap:
+        at = heapq.heappop(heap)
+        x = np.concatenate(buckets.pop(at))
+        x = x[~done[x]]
+        mark[x] = np.arange(len(x))
+        x = x[mark[x] == np.arange(len(x))]
+        if not len(x):
+            continue
+        done[x] = True
+        settled.append(x)
+        i, u, w = around(x, *back)
+        tight = np.abs(dist[u] + w - dist[x][i]) <= 1e-12
+        sigma[x] += np.bincount(i[tight], sigma[u[tight]], len(x))
+        i, v, w = around(x, g.ptr, g.v, g.w)
+        nd = dist[x][i] + w
+        less = nd < dist[v] - 1e-12
+        v, nd = v[less], nd[less]
+        np.minimum.at(dist, v, nd)
+        v = v[nd == dist[v]]
+        to = np.floor(dist[v] / width).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        v, to = v[order], to[order]
+        cuts = [*np.flatnonzero(np.diff(to, prepend=-1)).tolist(), len(v)]
+        for k, i0, i1 in zip(to[cuts[:-1]].tolist(), cuts, cuts[1:]):
+            if k not in buckets:
+                buckets[k] = []
+                heapq.heappush(heap, k)
+            buckets[k].append(v[i0:i1])
+    part = np.zeros(m * n)
+    for x in reversed(settled):
+        i, v, w = around(x, g.ptr, g.v, g.w)
+        tight = np.abs(dist[x][i] + w - dist[v]) <= 1e-12
+        i, v = i[tight], v[tight]
+        part[x] = sigma[x] * np.bincount(i, (1 + part[v]) / sigma[v], len(x))
+    part[start] = 0.0
+    return dist.reshape(m, n), part.reshape(m, n)
+
+
 def centrality(nodes: DataFrame, edges: DataFrame, cost: str = "length") -> DataFrame:
     """Betweenness (Brandes, weighted, over ordered pairs) and closeness (scaled by the reachable share). Sources are
-    dealt to tasks; each task adds up its sources, and the sums meet in one aggregation."""
+    dealt to tasks; each task adds up its sources, as many at once as make STATES states, and the sums meet in one
+    aggregation."""
     g = graph(nodes, edges, cost)
     n = len(g.ids)
     shared = nodes.sparkSession.sparkContext.broadcast(g)
+    at_once, least = max(1, STATES // max(1, n)), LEAST_COST
 
     def run(batches):
         import pyarrow as pa
 
         g, score, close = shared.value, np.zeros(n), []
-        for b in batches:
-            for node in b.column(0).to_pylist():
-                s = int(g.place([node])[0])
-                dist, sigma, before = np.full(n, np.inf), np.zeros(n), [[] for _ in range(n)]
-                dist[s], sigma[s] = 0.0, 1.0
-                heap, order, done = [(0.0, s)], [], np.zeros(n, bool)
-                while heap:
-                    d, u = heapq.heappop(heap)
-                    if done[u]:
-                        continue
-                    done[u] = True
-                    order.append(u)
-                    for k in range(g.ptr[u], g.ptr[u + 1]):
-                        v, nd = int(g.v[k]), d + g.w[k]
-                        if nd < dist[v] - 1e-12:
-                            dist[v], sigma[v], before[v] = nd, sigma[u], [u]
-                            heapq.heappush(heap, (nd, v))
-                        elif abs(nd - dist[v]) <= 1e-12 and not done[v]:
-                            sigma[v] += sigma[u]
-                            before[v].append(u)
-                part = np.zeros(n)
-                for v in reversed(order):
-                    for u in before[v]:
-                        part[u] += sigma[u] / sigma[v] * (1 + part[v])
-                    if v != s:
-                        score[v] += part[v]
-                total, reached = float(dist[order].sum()), len(order)
-                close.append((node, (reached - 1) / (n - 1) * (reached - 1) / total if total > 0 and n > 1 else 0.0))
-        ids = [*g.ids.tolist(), *[c[0] for c in close]]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([*score.tolist(), *[0.0] * len(close)]), pa.array([*[0.0] * n, *[c[1] for c in close]])], ["node_id", "b", "c"])
+        tails = np.repeat(np.arange(n), np.diff(g.ptr))
+        order = np.argsort(g.v, kind="stable")
+        back = np.searchsorted(g.v[order], np.arange(n + 1)), tails[order], g.w[order]
+        many = bool(np.all((g.w > least) & np.isfinite(g.w)))
+        ids = [node for b in batches for node in b.column(0).to_pylist()]
+        for k in range(0, len(ids), at_once):
+            sources = g.place(ids[k : k + at_once])
+            for dist, part in [_dependencies_of_many(g, sources, back)] if many else (map(np.atleast_2d, _dependencies(g, int(s))) for s in sources):
+                score += part.sum(axis=0)
+                there = np.isfinite(dist)
+                for total, reached in zip(np.where(there, dist, 0.0).sum(axis=1).tolist(), there.sum(axis=1).tolist()):
+                    close.append((reached - 1) / (n - 1) * (reached - 1) / total if total > 0 and n > 1 else 0.0)
+        yield pa.RecordBatch.from_arrays([pa.array([*g.ids.tolist(), *ids], pa.int64()), pa.array([*score.tolist(), *[0.0] * len(close)], pa.float64()), pa.array([*[0.0] * n, *close], pa.float64())], ["node_id", "b", "c"])
 
     sums = nodes.select("node_id").repartition(min(64, max(1, n // 50))).mapInArrow(run, "node_id long, b double, c double")
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0

@@ -54,6 +54,49 @@ def test_costs_between_stops_are_found_off_the_driver(spark, no_graph, monkeypat
     assert np.array_equal(N.cost_matrix(nodes, edges, [ids[i] for i in at]), cost[np.ix_(at, at)])
 
 
+def counted_paths(edges, ids, cost) -> np.ndarray:
+    """Least paths between all pairs."""
+    arc = [(p // 10, q // 10, w) for _, a, b, w, _, one in edges for p, q in [(a, b)] + [(b, a)] * (not one)]
+    paths = np.eye(len(ids))
+    for s in range(len(ids)):
+        for t in np.argsort(cost[s], kind="stable"):
+            if t != s and np.isfinite(cost[s, t]):
+                paths[s, t] = sum(paths[s, u] for u, v, w in arc if v == t and cost[s, u] + w == cost[s, t])
+    return paths
+
+
+@pytest.mark.parametrize("states, least", [(6_000_000, 1e-6), (80, 1e-6), (80, float("inf"))])
+def test_centrality_of_many_sources_against_brute_force(spark, monkeypatch, states, least):
+    monkeypatch.setattr(N, "STATES", states)
+    monkeypatch.setattr(N, "LEAST_COST", least)
+    nodes, edges, ids, cost = square(spark)
+    edges = edges.unionByName(edges.where("edge_id % 5 = 0").withColumn("edge_id", F.col("edge_id") + 1000))  # a second path of the same cost
+    nodes = nodes.unionByName(spark.createDataFrame([(5000, 9.0, 9.0)], nodes.schema))  # alone
+    n, paths = len(ids), counted_paths(edges.collect(), ids, cost)
+    got = {r["node_id"]: r for r in N.centrality(nodes, edges).collect()}
+    assert len(got) == n + 1 and got[5000]["betweenness"] == got[5000]["closeness"] == 0
+    for v, k in enumerate(ids):
+        between = sum(paths[s, v] * paths[v, t] / paths[s, t] for s in range(n) for t in range(n) if len({s, v, t}) == 3 and np.isfinite(cost[s, t]) and cost[s, v] + cost[v, t] == cost[s, t])
+        reach = cost[v][np.isfinite(cost[v])]
+        assert got[k]["betweenness"] == pytest.approx(between / (n * (n - 1)))
+        assert got[k]["closeness"] == pytest.approx((len(reach) - 1) ** 2 / n / reach.sum())
+
+
+def test_sources_are_searched_together(monkeypatch):
+    """A step of the search serves all sources."""
+    side, steps = 20, []
+    at = np.arange(side * side)
+    right, down = at[at % side < side - 1], at[: -side]
+    u, v = np.concatenate([right, right + 1, down, down + side]), np.concatenate([right + 1, right, down + side, down])
+    g = N.Graph(u, v, np.ones(len(u)), np.arange(len(u)), at)
+    monkeypatch.setattr(N.heapq, "heappop", lambda h, pop=N.heapq.heappop: steps.append(0) or pop(h))
+    order = np.argsort(g.v, kind="stable")
+    back = np.searchsorted(g.v[order], np.arange(len(at) + 1)), np.repeat(at, np.diff(g.ptr))[order], g.w[order]
+    dist, _ = N._dependencies_of_many(g, at, back)
+    x, y = at % side, at // side
+    assert np.array_equal(dist, np.abs(x[:, None] - x) + np.abs(y[:, None] - y)) and len(steps) < 3 * side
+
+
 def most_rows(df) -> int:
     """Rows of the operator of the executed plan that makes the most."""
     run = df._jdf.queryExecution()
