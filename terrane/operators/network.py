@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import haversine
+from . import bands as B
 from .vector import connected, ready_for_checkpoints
 
 #: Arcs of a network that may be broadcast.
@@ -23,6 +24,10 @@ MOST_ARCS = 5_000_000
 STATES = 6_000_000
 LEAST_COST = 1e-6
 
+#: Bands of a network that goes by them, at least, and bands of a task.
+LEAST_BANDS = 5
+BANDS_AT_ONCE = 3
+
 
 def build(lines: DataFrame, speed: float = 40.0, geographic: bool = False, unit_scale: float = 1.0, snap: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Lines (fid, vertices, optional speed and oneway in -1, 0, 1). Each straight piece is an edge, pieces without
@@ -428,12 +433,44 @@ def _dependencies_of_many(g: Graph, sources: np.ndarray, back: tuple):
     return dist.reshape(m, n), part.reshape(m, n)
 
 
+def _by_bands(spark, bands: B.Bands, ids: np.ndarray) -> DataFrame:
+    """What sources add to nodes (node_id, b, c), by tasks of a few bands; first what searches need around each band's edge."""
+    shared = spark.sparkContext.broadcast(bands)
+
+    def around(batches):
+        import pyarrow as pa
+
+        for k in (k for batch in batches for k in batch.column(0).to_pylist()):
+            on = shared.value.between(k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), k), pa.int64()), pa.array(on, pa.int64())], ["band", "node"])
+
+    per = lambda k: spark.range(0, len(bands), 1, -(-len(bands) // k))
+    on = per(BANDS_AT_ONCE).mapInArrow(around, "band long, node long").toArrow()
+    bands.learn(on.column("band").to_numpy(), on.column("node").to_numpy())
+    shared = spark.sparkContext.broadcast(bands)
+
+    def run(batches):
+        import pyarrow as pa
+
+        sums = B.Sums(shared.value)
+        sums.add([k for batch in batches for k in batch.column(0).to_pylist()])
+        sums.end()
+        at = np.flatnonzero((sums.score != 0) | sums.own)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[shared.value.order[at]], pa.int64()), pa.array(sums.score[at], pa.float64()), pa.array(sums.close[at], pa.float64())], ["node_id", "b", "c"])
+
+    return per(BANDS_AT_ONCE).mapInArrow(run, "node_id long, b double, c double")
+
+
 def centrality(nodes: DataFrame, edges: DataFrame, cost: str = "length") -> DataFrame:
     """Betweenness (Brandes, weighted, over ordered pairs) and closeness (scaled by the reachable share). Sources are
-    dealt to tasks; each task adds up its sources, as many at once as make STATES states, and the sums meet in one
-    aggregation."""
+    dealt to tasks, and the sums of tasks meet in one aggregation. A network that can be cut into bands goes by them; in
+    others each source is searched from by itself, as many at once as make STATES states."""
     g = graph(nodes, edges, cost)
     n = len(g.ids)
+    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    tails = np.repeat(np.arange(n), np.diff(g.ptr))
+    if B.suits(tails, g.v, g.w) and len(bands := B.Bands(tails, g.v, g.w, n)) >= LEAST_BANDS:
+        return _by_bands(nodes.sparkSession, bands, g.ids).groupBy("node_id").agg((F.sum("b") * scale).alias("betweenness"), F.sum("c").alias("closeness"))
     shared = nodes.sparkSession.sparkContext.broadcast(g)
     at_once, least = max(1, STATES // max(1, n)), LEAST_COST
 
@@ -456,7 +493,6 @@ def centrality(nodes: DataFrame, edges: DataFrame, cost: str = "length") -> Data
         yield pa.RecordBatch.from_arrays([pa.array([*g.ids.tolist(), *ids], pa.int64()), pa.array([*score.tolist(), *[0.0] * len(close)], pa.float64()), pa.array([*[0.0] * n, *close], pa.float64())], ["node_id", "b", "c"])
 
     sums = nodes.select("node_id").repartition(min(64, max(1, n // 50))).mapInArrow(run, "node_id long, b double, c double")
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     return sums.groupBy("node_id").agg((F.sum("b") * scale).alias("betweenness"), F.sum("c").alias("closeness"))
 
 

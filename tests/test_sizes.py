@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import geometry as G
 from terrane.operators import geocode as C
+from terrane.operators import bands as B
 from terrane.operators import network as N
 from terrane.operators import vector as O
 
@@ -97,6 +98,59 @@ def test_sources_are_searched_together(monkeypatch):
     assert np.array_equal(dist, np.abs(x[:, None] - x) + np.abs(y[:, None] - y)) and len(steps) < 3 * side
 
 
+def strip(n: int, width: int, seed: int):
+    """Arcs (u, v, w) of a grid with gaps, so of several parts, some of them one way, with many ties; the nodes are mixed."""
+    rng = np.random.default_rng(seed)
+    k = np.arange(n)
+    a = np.concatenate([k[(k % width < width - 1) & (k + 1 < n)], k[k + width < n]])
+    b = a + np.where(np.arange(len(a)) < len(k[(k % width < width - 1) & (k + 1 < n)]), 1, width)
+    kept, w, mixed = rng.random(len(a)) > 0.05, rng.integers(1, 5, len(a)) * 0.5, rng.permutation(n)
+    a, b, w, two = mixed[a[kept]], mixed[b[kept]], w[kept], rng.random(kept.sum()) > 0.3
+    return np.concatenate([a, b[two]]), np.concatenate([b, a[two]]), np.concatenate([w, w[two]])
+
+
+def one_by_one(u, v, w, n):
+    """Sums of dependencies, and closeness, by a heap for each source."""
+    g, score, close = N.Graph(u, v, w, np.arange(len(u)), np.arange(n)), np.zeros(n), np.zeros(n)
+    for s in range(n):
+        dist, part = N._dependencies(g, s)
+        score += part
+        there = dist[np.isfinite(dist)]
+        close[s] = (len(there) - 1) ** 2 / (n - 1) / there.sum() if there.sum() > 0 else 0
+    return score, close
+
+
+@pytest.mark.parametrize("n, width, size", [(600, 1, 20), (600, 2, 30), (601, 6, 40)])
+def test_centrality_by_bands_against_brute_force(spark, monkeypatch, n, width, size):
+    monkeypatch.setattr(B, "BAND", size)
+    u, v, w = strip(n, width, width)
+    assert len(B.Bands(u, v, w, n)) >= N.LEAST_BANDS
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node_id long")
+    edges = spark.createDataFrame([(i, *x, 1) for i, x in enumerate(zip(u.tolist(), v.tolist(), w.tolist()))], "edge_id long, source long, target long, length double, oneway int")
+    got = N.centrality(nodes, edges).orderBy("node_id").toPandas()
+    score, close = one_by_one(u, v, w, n)
+    assert len(got) == n and np.allclose(got.closeness, close, rtol=1e-12, atol=0)
+    assert np.allclose(got.betweenness * (n - 1) * (n - 2), score, rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("kept", [10**9, 0])
+def test_a_search_beyond_a_band_serves_many_sources(monkeypatch, kept):
+    monkeypatch.setattr(B, "KEPT", kept)
+    n, states = 3000, []
+    monkeypatch.setattr(B.Window, "search", lambda self, dist, sigma, f=B.Window.search: states.append(dist.size) or f(self, dist, sigma))
+    u, v, w = strip(n, 5, 0)
+    g = B.Bands(u, v, w, n, 60)
+    on = [g.between(b) for b in range(len(g))]
+    g.learn(np.repeat(np.arange(len(g)), [len(x) for x in on]), np.concatenate(on))
+    sums = B.Sums(g)
+    for b in range(0, len(g), 3):
+        sums.add(list(range(b, min(len(g), b + 3))))
+    sums.end()
+    score, close = one_by_one(u, v, w, n)
+    assert sum(states) < n * n / 4 and sums.own.all()
+    assert np.allclose(sums.score[g.place], score, rtol=1e-9, atol=1e-9) and np.allclose(sums.close[g.place], close, rtol=1e-12, atol=0)
+
+
 def most_rows(df) -> int:
     """Rows of the operator of the executed plan that makes the most."""
     run = df._jdf.queryExecution()
