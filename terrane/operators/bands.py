@@ -14,7 +14,7 @@ import numpy as np
 
 #: Nodes of a band at least, states (a source and a node) of a search, bytes of searches that are kept for the way back, and
 #: arcs of a node at most.
-BAND = 800
+BAND = 1_600
 STATES = 1_000_000
 KEPT = 300_000_000
 DEGREE = 16
@@ -227,7 +227,7 @@ class Window:
         as wide as the least cost, so its states settle together."""
         n, width = self.n, self.width
         shape, dist, sigma = dist.shape, dist.reshape(-1), sigma.reshape(-1)
-        done, mark = np.zeros(len(dist), bool), np.zeros(len(dist), np.int32)
+        done = np.zeros(len(dist), bool)
         buckets: dict[int, list] = {}
         heap, settled = [], []
 
@@ -248,25 +248,25 @@ class Window:
         put(start, dist[start])
         while heap:
             x = np.concatenate(buckets.pop(heapq.heappop(heap)))
-            x = x[~done[x]]
-            here = np.arange(len(x), dtype=np.int32)
-            mark[x] = here
-            x = x[mark[x] == here]
+            x = x[~done.take(x)]
             if not len(x):
                 continue
+            x.sort()  # neighbours in memory together, and equal ones
+            if len(x) > 1:
+                x = x[np.append(True, x[1:] != x[:-1])]
             done[x] = True
             settled.append(x.astype(np.int32))
-            u, d = x % n, dist[x][:, None]
-            p = self.into[u]
+            u, d = x % n, dist.take(x)[:, None]
+            p = self.into.take(u, axis=0)
             p += x[:, None]
-            tight = dist[p]
-            tight += self.into_cost[u]
-            sigma[x] += np.einsum("ij,ij->i", sigma[p], (tight == d).astype(float))
-            q = self.out[u]
+            tight = dist.take(p)
+            tight += self.into_cost.take(u, axis=0)
+            sigma[x] += np.einsum("ij,ij->i", sigma.take(p), (tight == d).astype(float))
+            q = self.out.take(u, axis=0)
             q += x[:, None]
-            nd = self.out_cost[u]
+            nd = self.out_cost.take(u, axis=0)
             nd += d
-            less = nd < dist[q]
+            less = nd < dist.take(q)
             v, nd = q[less], nd[less]
             a, b = v, nd
             while len(a):  # of equal ones the last is written; again, where another is less
@@ -284,11 +284,11 @@ class Window:
         dist, sigma, one = dist.reshape(-1), sigma.reshape(-1), one.reshape(-1)
         for x in reversed(settled):
             u = x % self.n
-            q = self.out[u]
+            q = self.out.take(u, axis=0)
             q += x[:, None]
-            nd = self.out_cost[u]
-            nd += dist[x][:, None]
-            got = np.einsum("ij,ij->i", share[q], (nd == dist[q]).astype(float))
+            nd = self.out_cost.take(u, axis=0)
+            nd += dist.take(x)[:, None]
+            got = np.einsum("ij,ij->i", share.take(q), (nd == dist.take(q)).astype(float))
             gain[x] = got * sigma[x]
             share[x] += got * sigma[x] * one[x]
         return gain.reshape(put.shape)

@@ -26,7 +26,7 @@ LEAST_COST = 1e-6
 
 #: Bands of a network that goes by them, at least, and bands of a task.
 LEAST_BANDS = 5
-BANDS_AT_ONCE = 3
+BANDS_AT_ONCE = 2
 
 
 def build(lines: DataFrame, speed: float = 40.0, geographic: bool = False, unit_scale: float = 1.0, snap: float = 0.0) -> tuple[DataFrame, DataFrame]:
